@@ -1,0 +1,66 @@
+"""Connected components of an edge table: union-find in each partition, then star contraction.
+
+Each partition first reduces its edges to a spanning forest with union-find, so
+what is shuffled is at most one edge per node and partition. Alternating large-star
+and small-star rounds then link the forests until every node points at the smallest
+id of its component.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .frames import cut
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for every node that isn't its own root; a root is the smallest id that union-find reaches."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    parent = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    half = len(a)
+    for x, y in zip(at[:half].tolist(), at[half:].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    root = np.fromiter((find(x) for x in range(len(ids))), np.int64, len(ids))
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:  # the forest so far joins the next batch, so memory follows the nodes and not the edges
+        a, b = forest(np.concatenate((a, batch.column(0).to_numpy())), np.concatenate((b, batch.column(1).to_numpy())))
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of long ids for each node of ``edges`` (a, b) that isn't the smallest of its component."""
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = cut(now.mapInArrow(_local, "a long, b long").distinct())
+    while True:
+        # large star: a node's larger neighbours go to its smallest neighbour, or to itself
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), "m").where("a <> m").select("a", F.col("m").alias("b")).distinct()
+        small = cut(small)
+        tally = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1_000_000_007))]
+        if small.agg(*tally).first() == now.agg(*tally).first():
+            return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now = small
