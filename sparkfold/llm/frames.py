@@ -15,22 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where it is unset a
-    temporary folder serves on a local master only; on a cluster that is an error,
-    because other machines could not read it.
+    Where it is unset, a folder set on the context or else a temporary one serves on a
+    local master only; on a cluster that is an error, because other machines could not
+    read it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="sparkfold-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkfold-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

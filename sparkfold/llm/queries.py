@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, minhash, mixing, sharding
+from . import exact_dedup, langid, minhash, mixing, packing, sharding
 from .frames import table
 
 SHARD_BYTES = 2 << 20
@@ -25,6 +25,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -34,7 +38,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_language_id, op5_exact_dedup, op7_sharding, op9_mixing]
+    found = [op1_minhash_dedup, op2_language_id, op5_exact_dedup, op6_best_fit_packing, op7_sharding, op9_mixing]
     return {f.__name__: f for f in found}
 
 
