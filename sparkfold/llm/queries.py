@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, minhash, mixing, packing, sharding
+from . import chat, exact_dedup, langid, minhash, mixing, packing, quality, sharding, topk, toxicity
 from .frames import table
 
 SHARD_BYTES = 2 << 20
+TOP_K = 10
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), TOP_K)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -33,17 +43,32 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents"), carry=False)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_language_id, op5_exact_dedup, op6_best_fit_packing, op7_sharding, op9_mixing]
+    found = [op1_minhash_dedup, op2_language_id, op3_exact_topk, op4_toxicity, op5_exact_dedup, op6_best_fit_packing, op7_sharding, op8_chat_format, op9_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_exact_topk": f"""
+            WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+            p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+            r AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id)::INT AS rank, neighbour_id, score FROM p)
+            SELECT * FROM r WHERE rank <= {TOP_K}""",
+        "op8_chat_format": chat.ORACLE_SQL,
         "op5_exact_dedup": """
             SELECT doc_id,
                    CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS kept_id,
