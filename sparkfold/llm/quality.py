@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 A text is its byte trigrams (case and punctuation kept, digits as one), hashed to 2^12
-cells; a cell's value is log(1 + count) times its weight, and vectors have length 1.
-The labelled rows' vectors, centred by nothing and scaled by inverse row frequency,
-are factorised by a randomised singular value decomposition; the leading DIMENSIONS
-right factors project every text into the latent space.
+cells with the value log(1 + count), scaled to length 1; beside them stands how much the
+text repeats itself, log(distinct cells) / log(trigrams), spread over a few soft bins.
+The labelled rows' vectors, scaled by inverse row frequency, are factorised by a
+randomised singular value decomposition; the leading DIMENSIONS right factors project
+every text into the latent space.
 
 The labelled rows' latent vectors (at most 2 * LABELLED_PER_CLASS, whatever the input
 holds) go to every task. Each text's cosines with all of them are computed exactly, one
@@ -43,22 +44,26 @@ from .words import _flat, slices
 
 LABELLED_PER_CLASS = 1500
 CELL_BITS = 12
-DIMENSIONS = 64
-NEIGHBOURS = 25
+DIMENSIONS = 128
+NEIGHBOURS = 9
 THRESHOLD = 0.5
 DIGITS = 5
 #: Texts in a dense block of counts.
 BLOCK = 512
+#: Centres of the bins for repetition, their width, and their weight against the trigrams.
+BINS = np.arange(0.35, 1.01, 0.05, dtype=np.float32)
+WIDTH, REPETITION = 0.04, 0.5
+FEATURES = (1 << CELL_BITS) + len(BINS)
 _BYTE = np.arange(256, dtype=np.uint32)
 _BYTE[0x30:0x3A] = 0x30
 
 
 def counts(texts: pa.Array) -> np.ndarray:
-    """Texts x cells: log(1 + trigrams)."""
+    """Texts x features, 0 for a text without a trigram."""
     raw, bounds = _flat(pc.fill_null(texts, ""))
     n, cells = len(texts), 1 << CELL_BITS
     if len(raw) < 3:
-        return np.zeros((n, cells), np.float32)
+        return np.zeros((n, FEATURES), np.float32)
     b = _BYTE[raw]
     key = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - CELL_BITS)
     doc = np.repeat(np.arange(n), np.diff(bounds))[:-2]
@@ -67,7 +72,14 @@ def counts(texts: pa.Array) -> np.ndarray:
         at = bounds[1:] - back
         inside[at[(at >= 0) & (at < len(key))]] = False
     flat = np.bincount((doc * cells + key)[inside], minlength=n * cells)
-    return np.log1p(flat.astype(np.float32)).reshape(n, cells)
+    flat = flat.astype(np.float32).reshape(n, cells)
+    total, distinct = flat.sum(1), (flat > 0).sum(1)
+    out = np.zeros((n, FEATURES), np.float32)
+    out[:, :cells] = _unit(np.log1p(flat))
+    share = np.log(np.maximum(distinct, 1)) / np.log(np.maximum(total, 2))
+    near = np.exp(-0.5 * ((share[:, None] - BINS) / WIDTH) ** 2)
+    out[:, cells:] = np.where(total[:, None] > 0, REPETITION * near, 0)
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -83,7 +95,7 @@ class Model:
     projection: np.ndarray
 
     def embed(self, texts: pa.Array) -> np.ndarray:
-        return _unit(_unit(counts(texts)) @ self.projection)
+        return _unit(counts(texts) @ self.projection)
 
     def vote(self, ids: np.ndarray, x: np.ndarray, neighbours: int) -> np.ndarray:
         """The quality of each row of x, NaN where nobody votes."""
@@ -108,10 +120,11 @@ def fit(rows: list[tuple[int, int, str]], dimensions: int = DIMENSIONS) -> Model
     ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.string())], names=["t"])
     parts = [counts(p.column(0).slice(at, BLOCK)) for p in slices(batch, 0) for at in range(0, p.num_rows, BLOCK)]
-    x = _unit(np.concatenate(parts)) if parts else np.zeros((0, 1 << CELL_BITS), np.float32)
+    x = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
     if not len(x):
-        return Model(ids, labels, np.zeros((0, dimensions), np.float32), np.zeros((1 << CELL_BITS, dimensions), np.float32))
+        return Model(ids, labels, np.zeros((0, dimensions), np.float32), np.zeros((FEATURES, dimensions), np.float32))
     scale = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
+    scale[1 << CELL_BITS :] = 1
     x = x * scale
     # randomised SVD: a few power iterations on a random start, then the small problem
     k = min(dimensions, len(x))

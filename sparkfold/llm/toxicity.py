@@ -1,11 +1,12 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-Features of a text are the words in it and the beginnings of its words (5, 6 and 7
-bytes; they reach unseen inflections), hashed to 2^18 cells, present or not. Fitting:
+Features of a text are the words in it and the beginnings of its words (4 to 7 bytes;
+they reach unseen inflections), hashed to 2^18 cells; a cell that occurs in the text is
+one feature, and one that occurs twice or more another. Fitting:
 
-1. Screening. A cell stays if its share of toxic training rows differs from that of
-   the others by more than SCREEN standard errors and it occurs in LEAST of them; the
-   cells of identity terms always stay.
+1. Screening. A feature stays if its share of toxic training rows differs from that of
+   the others by more than SCREEN standard errors and it occurs in LEAST of them; those
+   of identity terms always stay.
 2. Counterfactuals. Each labelled text that names a group is rewritten with every
    identity term swapped for another of its category.
 3. Proximal gradient descent on
@@ -43,12 +44,13 @@ from .words import Words, mix, slices, words
 
 TRAIN_PER_CLASS = 3000
 BITS = 18
-PREFIXES = (5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 SCREEN = 4.0
 LEAST = 5
 SWAP = 4.0
 L1 = 2e-3
-STEPS = 600
+RELAX = 20
+STEPS = 400
 THRESHOLD = 0.5
 #: Terms that are swapped for one another, by category and language.
 IDENTITIES = (
@@ -105,88 +107,103 @@ def cells(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs).astype(np.int64), (np.concatenate(found) >> _U(64 - BITS)).astype(np.int64)
 
 
+def features(doc: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs: the cell, and 2^BITS more than it if it occurs again."""
+    key, times = np.unique(doc << BITS | cell, return_counts=True)
+    doc, cell = key >> BITS, key & ((1 << BITS) - 1)
+    again = np.flatnonzero(times > 1)
+    return np.concatenate((doc, doc[again])), np.concatenate((cell, cell[again] + (1 << BITS)))
+
+
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, cell) pairs of a list of texts, ordered."""
-    keys, base = [np.zeros(0, np.int64)], 0
+    """The (text, feature) pairs of a list of texts."""
+    found, base = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
     for part in slices(batch, 0):
-        d, c = cells(words(part.column(0)))
-        keys.append(np.unique((d + base) << BITS | c))
+        d, f = features(*cells(words(part.column(0))))
+        found.append((d + base, f))
         base += part.num_rows
-    key = np.concatenate(keys)
-    return key >> BITS, key & ((1 << BITS) - 1)
+    return np.concatenate([d for d, _ in found]), np.concatenate([f for _, f in found])
 
 
 @dataclass
 class Model:
-    #: weight of each cell, and the intercept
+    #: weight of each feature, and the intercept
     weights: np.ndarray
     intercept: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """The probability of toxicity of each text."""
         d, c = cells(words(texts))
-        weight = self.weights[c]
-        some = np.flatnonzero(weight)  # few cells have a weight, so few pairs are left to make distinct
-        key = np.unique(d[some] << BITS | c[some])
-        total = np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], minlength=len(texts))
+        used = (self.weights[: 1 << BITS] != 0) | (self.weights[1 << BITS :] != 0)
+        some = np.flatnonzero(used[c])  # few cells have a weight, so few pairs are left to make distinct
+        d, f = features(d[some], c[some])
+        total = np.bincount(d, self.weights[f], minlength=len(texts))
         return 1 / (1 + np.exp(-(total + self.intercept)))
 
 
-def fit(rows: list[tuple[int, str]], swap: float = SWAP, l1: float = L1, steps: int = STEPS) -> Model:
-    """A model of (label 0 or 1, text) rows."""
-    y = np.array([r[0] for r in rows], np.float64)
-    texts = [r[1] or "" for r in rows]
-    blank = Model(np.zeros(1 << BITS), 0.0)
-    if not len(y) or y.min() == y.max():
-        return blank
-    doc, cell = presence(texts)
-    pos = np.bincount(cell[y[doc] == 1], minlength=1 << BITS)
-    neg = np.bincount(cell[y[doc] == 0], minlength=1 << BITS)
-    n1, n0 = y.sum(), (1 - y).sum()
-    rate = (pos + neg) / len(y)
-    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-    keep = (np.abs(pos / n1 - neg / n0) > SCREEN * error) & (pos + neg >= LEAST)
-    terms = sorted(_NEXT)
-    keep[presence(terms)[1]] = True
-    used = np.flatnonzero(keep)
-    column = np.full(1 << BITS, -1)
-    column[used] = np.arange(len(used))
-
-    def matrix(doc: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, len(used)), np.float32)
-        at = column[cell] >= 0
-        out[doc[at], column[cell[at]]] = 1
-        return out
-
-    x = matrix(doc, cell, len(texts))
-    named = [i for i, t in enumerate(texts) if _PATTERN.search(t)]
-    pairs = [(i, s) for i in named for s in (1, 2)]
-    changed = x[[i for i, _ in pairs]] - matrix(*presence([swapped(texts[i], s) for i, s in pairs]), len(pairs)) if pairs else np.zeros((0, len(used)), np.float32)
-    weight = (np.where(y == 1, 0.5 / n1, 0.5 / n0)).astype(np.float32)
-    lift = np.float32(swap / max(len(pairs), 1))
-    # the largest eigenvalue of the quadratic bound, by power iteration
-    v = np.ones(len(used) + 1, np.float32)
-    for _ in range(20):
+def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, changed: np.ndarray, lift: np.float32, l1: float, steps: int) -> np.ndarray:
+    """Weights and intercept by accelerated proximal gradient descent."""
+    v = np.ones(x.shape[1] + 1, np.float32)
+    for _ in range(20):  # the largest eigenvalue of the quadratic bound, by power iteration
         g = weight * (x @ v[:-1] + v[-1])
         u = np.append(x.T @ g / 4 + lift * (changed.T @ (changed @ v[:-1])), g.sum() / 4)
         size = float(np.linalg.norm(u))
         v = (u / size).astype(np.float32)
     rate = 1 / (1.1 * size)
-    w = np.zeros(len(used) + 1, np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     ahead, momentum = w.copy(), 1.0
-    target = y.astype(np.float32)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ ahead[:-1] + ahead[-1])))
-        g = weight * (p - target)
+        g = weight * (1 / (1 + np.exp(-(x @ ahead[:-1] + ahead[-1]))) - y)
         grad = np.append(x.T @ g + lift * (changed.T @ (changed @ ahead[:-1])), g.sum()).astype(np.float32)
         new = ahead - np.float32(rate) * grad
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * l1, 0)
         after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead = new + np.float32((momentum - 1) / after) * (new - w)
         w, momentum = new, after
-    blank.weights[used] = w[:-1]
-    return Model(blank.weights, float(w[-1]))
+    return w
+
+
+def fit(rows: list[tuple[int, str]], swap: float = SWAP, l1: float = L1, steps: int = STEPS) -> Model:
+    """A model of (label 0 or 1, text) rows."""
+    y = np.array([r[0] for r in rows], np.float32)
+    texts = [r[1] or "" for r in rows]
+    model = Model(np.zeros(2 << BITS), 0.0)
+    if not len(y) or y.min() == y.max():
+        return model
+    doc, feature = presence(texts)
+    pos = np.bincount(feature[y[doc] == 1], minlength=2 << BITS)
+    neg = np.bincount(feature[y[doc] == 0], minlength=2 << BITS)
+    n1, n0 = float(y.sum()), float((1 - y).sum())
+    rate = (pos + neg) / len(y)
+    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
+    keep = (np.abs(pos / n1 - neg / n0) > SCREEN * error) & (pos + neg >= LEAST)
+    named_by = np.unique(presence(sorted(_NEXT))[1])
+    keep[named_by] = keep[named_by + (1 << BITS)] = True
+    used = np.flatnonzero(keep & (pos + neg > 0))
+    if not len(used):
+        return model
+
+    def matrix(doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        at = np.searchsorted(used, feature)
+        ok = used[np.minimum(at, len(used) - 1)] == feature
+        out = np.zeros((n, len(used)), np.float32)
+        out[doc[ok], at[ok]] = 1
+        return out
+
+    x = matrix(doc, feature, len(texts))
+    named = [i for i in np.unique(doc[np.isin(feature, named_by)]).tolist() if _PATTERN.search(texts[i])]
+    pairs = [(i, s) for i in named for s in (1, 2)]
+    changed = x[[i for i, _ in pairs]] - matrix(*presence([swapped(texts[i], s) for i, s in pairs]), len(pairs)) if pairs else np.zeros((0, len(used)), np.float32)
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
+    lift = np.float32(swap / max(len(pairs), 1))
+    w = _descend(x, y, weight, changed, lift, l1, steps)
+    left = np.flatnonzero(w[:-1])
+    if not len(left):
+        return Model(model.weights, float(w[-1]))
+    w = _descend(np.ascontiguousarray(x[:, left]), y, weight, np.ascontiguousarray(changed[:, left]), lift, l1 / RELAX, steps)
+    model.weights[used[left]] = w[:-1]
+    return Model(model.weights, float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Model:
