@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of ids or keys is broadcast (about 64 bytes a row in a hash relation).
@@ -60,3 +60,16 @@ def wrapped(docs: DataFrame, **extra: Column) -> DataFrame:
 def hash60(c: Column) -> Column:
     """The first 60 bits of the MD5 of a string, as a non-negative long (the same in any SQL engine)."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+
+
+def bounded(rows: DataFrame, n: int) -> DataFrame:
+    """Of rows (_id, _key), at most ``n`` distinct ids of each key: those with the smallest hashes.
+
+    Most rows leave before the ranking shuffle: only hashes in the lowest part that
+    holds about 2 n ids of a key are ranked.
+    """
+    rows = rows.distinct()
+    counts = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
+    near = rows.join(sized(counts), "_key").withColumn("_u", F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) / float(1 << 52)).where(F.col("_u") * F.col("_n") < 2 * n + 100)
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_u", "_id"))
+    return cut(near.withColumn("_r", rank).where(F.col("_r") <= n).select("_id", "_key"))

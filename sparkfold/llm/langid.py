@@ -33,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import wrapped
+from .frames import bounded, sized, wrapped
 from .words import Words, slices, words
 
 TRAIN_PER_LANGUAGE = 300
@@ -250,11 +250,11 @@ def labeller(model: Model, penalty: float, main_share: float, carry: int):
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Fit a model on at most ``per_language`` rows of each language label."""
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"))
-    labelled = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"), docs[lang].cast("string").alias("_lang")).where("_lang is not null and _text is not null")
-    # ids first: the rank limit prunes each partition, and only chosen rows' texts are read
-    chosen = labelled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
-    return fit([(r[0], r[1]) for r in chosen.select("_lang", "_text").orderBy("_lang", "_text").collect()])
+    labelled = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"), docs[lang].cast("string").alias("_key")).where("_key is not null and _text is not null")
+    # ids first; texts are read for the chosen ones only
+    chosen = sized(bounded(labelled.where("_id is not null").select("_id", "_key"), per_language))
+    rows = labelled.join(chosen, ["_id", "_key"]).select("_key", "_text").distinct()
+    return fit(sorted((r[0], r[1]) for r in rows.collect()))
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = PENALTY, main_share: float = MAIN_SHARE) -> DataFrame:

@@ -14,6 +14,7 @@ shuffled.
 
 Defined results
     * null source: a source of its own.
+    * no source with a positive weight: an empty mixture.
     * null id or text: hashed like an empty string; null and empty texts have the
       smallest measure and can still be drawn.
     * ties and repeated rows (same id, same text): they draw the same number and
@@ -46,7 +47,7 @@ def _targets(rows: DataFrame, weights: Mapping[str, float] | None, temperature:
         weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_source")), F.lit(0.0)) if pairs else F.lit(0.0)
     every = Window.partitionBy()
     total = F.sum("_n").over(every) if size is None else F.lit(size).cast("long")
-    share = F.round(F.col("_w") / F.sum("_w").over(every), 12)
+    share = F.round(F.try_divide(F.col("_w"), F.sum("_w").over(every)), 12)
     quota = counts.withColumn("_w", weight).withColumn("_total", total).withColumn("_quota", F.coalesce(F.round(share * F.col("_total"), 6), F.lit(0.0)))
     quota = quota.withColumn("_t", F.floor("_quota").cast("long")).withColumn("_left", F.when(F.sum("_w").over(every) > 0, F.col("_total") - F.sum("_t").over(every)).otherwise(F.lit(0)))
     place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_quota") - F.col("_t"), 6)), F.col("_source").asc_nulls_last()))

@@ -37,9 +37,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded, sized
 from .words import _flat, slices
 
 LABELLED_PER_CLASS = 1500
@@ -140,12 +141,11 @@ def fit(rows: list[tuple[int, int, str]], dimensions: int = DIMENSIONS) -> Model
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = LABELLED_PER_CLASS) -> Model:
     """Fit a model on at most ``per_class`` rows of each label; labels has ``doc_id`` and the label."""
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    marked = labels.select(labels[doc_id].cast("long").alias("_id"), labels[label].cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
+    marked = labels.select(labels[doc_id].cast("long").alias("_id"), labels[label].cast("int").alias("_key")).where("_id is not null and _key in (0, 1)")
     # at most 2 * per_class ids, chosen before any text is read
-    chosen = marked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r")
-    rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text")).join(F.broadcast(chosen), "_id").where("_text is not null")
-    return fit([(r[0], r[1], r[2]) for r in rows.select("_id", "_y", "_text").collect()])
+    chosen = sized(bounded(marked, per_class))
+    rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text")).where("_text is not null").join(chosen, "_id")
+    return fit([(r[0], r[1], r[2]) for r in rows.select("_id", "_key", "_text").distinct().collect()])
 
 
 def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
