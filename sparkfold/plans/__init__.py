@@ -1,6 +1,6 @@
 """The registered queries and their oracle SQL."""
 
-from . import profiles, redundancy  # noqa: F401
+from . import encoding, profiles, redundancy  # noqa: F401
 from .common import ORACLES, QUERIES
 
 
