@@ -28,7 +28,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded, sized, wrapped
-from .words import Words, slices, words
+from .words import Words, slices, slices_of, words
 
 TRAIN_PER_LANGUAGE = 300
 CELLS = 1 << 16
 PENALTY = 18.0
 #: Share of a text's words that its main language needs; with less the text is rejected.
 MAIN_SHARE = 0.5
-GROUP_WORDS = 1 << 20
+GROUP_WORDS = 1 << 19
 FLOOR = -1e4
 SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "devanagari", "thai", "hangul", "kana", "han", "other", "number")
 #: Languages of scripts for which no training rows are needed.
@@ -132,19 +132,33 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.05) -> Model:
     return Model(languages, table, allowed)
 
 
-def score(w: Words, model: Model) -> np.ndarray:
-    """Words x languages: log scores, FLOOR for languages that a word's script excludes, 0 where no language is a candidate."""
-    n, k = len(w.start), len(model.languages)
-    out = np.zeros((n, k), np.float32)
+def score(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Words x trained languages: log scores; and each word's script."""
+    n = len(w.start)
     if not n:
-        return out
-    if model.trained:
-        at, first = cells(w)
-        out[:, : model.trained] = np.add.reduceat(model.table[at], first[:-1], axis=0)
-    ok = model.allowed[scripts(w)]
-    known = ok.any(1)
-    out[:, model.trained :] = 0
-    return np.where(known[:, None], np.where(ok, out, np.float32(FLOOR)), np.float32(0))
+        return np.zeros((0, model.trained), np.float32), np.zeros(0, np.int8)
+    at, first = cells(w)
+    found = np.add.reduceat(model.table[at], first[:-1], axis=0) if model.trained else np.zeros((n, 0), np.float32)
+    return found, scripts(w)
+
+
+def choices(found: np.ndarray, script: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, languages, known): a column for each language that some script here allows; FLOOR where a word's script doesn't, 0 where it allows none (not known)."""
+    present = np.flatnonzero(np.bincount(script, minlength=len(SCRIPTS)))
+    columns = np.flatnonzero(model.allowed[present].any(0))
+    if not len(columns):
+        return np.zeros((len(script), 1), np.float32), np.zeros(1, np.int64), np.zeros(len(script), bool)
+    allowed = model.allowed[:, columns]
+    out = np.zeros((len(script), len(columns)), np.float32)
+    trained = columns < model.trained
+    out[:, trained] = found[:, columns[trained]]
+    for s in present:
+        words_of = np.flatnonzero(script == s)
+        if not allowed[s].any():
+            out[words_of] = 0
+        elif not allowed[s].all():
+            out[np.ix_(words_of, ~allowed[s])] = FLOOR
+    return out, columns, allowed.any(1)[script]
 
 
 def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
@@ -185,19 +199,13 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def label(w_ptr: np.ndarray, scores: np.ndarray, model: Model, penalty: float = PENALTY) -> tuple[list, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def label(w_ptr: np.ndarray, found: np.ndarray, script: np.ndarray, model: Model, penalty: float = PENALTY) -> tuple[list, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(language or None, share, counted words) of each text, and its spans as (offsets, language index, first word, words)."""
-    docs = len(w_ptr) - 1
-    n = np.diff(w_ptr)
-    doc = np.repeat(np.arange(docs), n)
-    k = len(model.languages)
-    used = np.flatnonzero((scores > FLOOR / 2).any(0) & (scores != 0).any(0)) if len(scores) else np.zeros(0, np.int64)
-    extra = [i for i in range(model.trained, k) if len(scores) and (scores[:, i] > FLOOR / 2).any() and (scores[:, i] != scores[:, 0]).any()]
-    columns = np.array(sorted({*used.tolist(), *extra}) or [0], np.int64)
-    small = scores[:, columns] if len(scores) else np.zeros((0, len(columns)), np.float32)
-    path = columns[viterbi(small, w_ptr, penalty)] if len(scores) else np.zeros(0, np.int64)
-    counted = (scores != 0).any(1) if len(scores) else np.zeros(0, bool)
-    tally = np.bincount(doc[counted] * k + path[counted], minlength=docs * k).reshape(docs, k) if k else np.zeros((docs, 1))
+    docs, k = len(w_ptr) - 1, len(model.languages)
+    doc = np.repeat(np.arange(docs), np.diff(w_ptr))
+    scores, columns, counted = choices(found, script, model)
+    path = columns[viterbi(scores, w_ptr, penalty)]
+    tally = np.bincount(doc[counted] * k + path[counted], minlength=docs * k).reshape(docs, k) if k else np.zeros((docs, 1), np.int64)
     total = tally.sum(1)
     main = tally.argmax(1)
     share = tally[np.arange(docs), main] / np.maximum(total, 1)
@@ -215,37 +223,34 @@ def label(w_ptr: np.ndarray, scores: np.ndarray, model: Model, penalty: float =
 SPANS = "array<struct<lang:string,first_word:int,words:int>>"
 
 
-def labeller(model: Model, penalty: float, main_share: float, carry: int):
-    """A mapInArrow function over (``carry`` columns, text)."""
+def grouped(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], model: Model, penalty: float) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray, tuple]]:
+    """Each input slice with its labels; texts are labelled about GROUP_WORDS words at a time."""
+    parts, words_of, held = [], [], 0
 
-    def flush(parts: list[pa.RecordBatch], ptrs: list[np.ndarray], scores: list[np.ndarray]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks()
+    def flush() -> Iterator[tuple]:
+        ptrs = [p for p, _, _ in words_of]
         base = np.concatenate(([0], np.cumsum([p[-1] for p in ptrs])))
         ptr = np.concatenate([[0], *[p[1:] + b for p, b in zip(ptrs, base, strict=False)]]).astype(np.int64)
-        names, share, total, (offsets, which, first, count) = label(ptr, np.concatenate(scores), model, penalty)
-        every = pa.array(model.languages, pa.string())
-        spans = pa.StructArray.from_arrays([every.take(pa.array(which)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=["lang", "first_word", "words"])
-        keep = [n is not None and s >= main_share for n, s in zip(names, share.tolist(), strict=True)]
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns[:carry]]
-        columns += [pa.array(names, pa.string()), pa.array(np.round(share, 6)), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), pa.array(keep, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=[*rows.column_names[:carry], "lang", "share", "words", "spans", "keep"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ptrs, scores, held = [], [], [], 0
-        for whole in batches:
-            for part in slices(whole, carry):
-                w = words(part.column(carry))
-                parts.append(part)
-                ptrs.append(w.ptr)
-                scores.append(score(w, model))
-                held += len(w.start)
-                if held >= GROUP_WORDS:
-                    yield flush(parts, ptrs, scores)
-                    parts, ptrs, scores, held = [], [], [], 0
-        if parts:
-            yield flush(parts, ptrs, scores)
-
-    return run
+        names, share, total, (offsets, which, first, count) = label(ptr, np.concatenate([f for _, f, _ in words_of]), np.concatenate([s for _, _, s in words_of]), model, penalty)
+        lo = 0
+        for part in parts:
+            hi = lo + part.num_rows
+            spans = slice(offsets[lo], offsets[hi])
+            yield part, names[lo:hi], share[lo:hi], total[lo:hi], (offsets[lo : hi + 1] - offsets[lo], which[spans], first[spans], count[spans])
+            lo = hi
+
+    for whole in batches:
+        texts = text(whole)
+        for at, part in slices_of(texts):
+            w = words(part)
+            parts.append(whole.slice(at, len(part)))
+            words_of.append((w.ptr, *score(w, model)))
+            held += len(w.start)
+            if held >= GROUP_WORDS:
+                yield from flush()
+                parts, words_of, held = [], [], 0
+    if parts:
+        yield from flush()
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
@@ -260,12 +265,27 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = PENALTY, main_share: float = MAIN_SHARE) -> DataFrame:
     """(doc_id, lang, share, words, spans, keep) for every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    every = pa.array(model.languages, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, names, share, total, (offsets, which, first, count) in grouped(batches, lambda b: b.column(1), model, penalty):
+            spans = pa.StructArray.from_arrays([every.take(pa.array(which)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=["lang", "first_word", "words"])
+            keep = [n is not None and s >= main_share for n, s in zip(names, share.tolist(), strict=True)]
+            columns = [part.column(0), pa.array(names, pa.string()), pa.array(np.round(share, 6)), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), pa.array(keep, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "share", "words", "spans", "keep"])
+
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(labeller(model, penalty, main_share, 1), f"doc_id {kind}, lang string, share double, words long, spans {SPANS}, keep boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, lang string, share double, words long, spans {SPANS}, keep boolean")
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, main_share: float = MAIN_SHARE) -> DataFrame:
     """The rows of ``docs`` that have a main language, all columns unchanged."""
-    rows = wrapped(docs, _text=docs[text])
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(labeller(model, penalty, main_share, 1), f"_row {kind}, lang string, share double, words long, spans {SPANS}, keep boolean").where("keep").select("_row.*")
+    at = docs.columns.index(text)  # the text travels once, inside the row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, names, share, _, _ in grouped(batches, lambda b: b.column(0).field(at), model, penalty):
+            stay = np.flatnonzero([n is not None and s >= main_share for n, s in zip(names, share.tolist(), strict=True)])
+            yield part if len(stay) == part.num_rows else part.take(pa.array(stay, pa.int64()))
+
+    rows = wrapped(docs)
+    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
+#: Texts of a slice at most, however short.
+ROWS = 4096
 _U = np.uint64
 _WORD = np.zeros(256, bool)
 for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -111,15 +113,20 @@ def words(texts: pa.Array, original: bool = False) -> Words:
     return Words(norm, start, end, doc, ptr, raw, bounds)
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have about ``size`` bytes together."""
-    if not batch.num_rows:
+def slices_of(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) for runs of texts that have about ``size`` bytes together."""
+    if not len(texts):
         return
-    lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
-    total = np.cumsum(lens)
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64))
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + size, side="right")))
-        yield batch.slice(at, to - at)
+        to = min(max(at + 1, int(np.searchsorted(total, before + size, side="right"))), at + ROWS)
+        yield at, texts.slice(at, to - at)
         at = to
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about ``size`` bytes together."""
+    for at, part in slices_of(batch.column(column), size):
+        yield batch.slice(at, len(part))

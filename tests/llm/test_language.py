@@ -35,7 +35,7 @@ def labelled(spark, sf_dir):
 def test_held_out_accuracy(labelled):
     model = langid.fit(labelled[:500])
     w = words(pa.array([t for _, t in labelled[500:]]))
-    names, share, _, _ = langid.label(w.ptr, langid.score(w, model), model)
+    names, share, _, _ = langid.label(w.ptr, *langid.score(w, model), model)
     right = [a == b for a, (b, t) in zip(names, labelled[500:], strict=True) if len(t) >= 40]
     assert np.mean(right) >= 0.97
 
