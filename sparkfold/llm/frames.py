@@ -2,53 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of ids or keys is broadcast (about 64 bytes a row in a hash relation).
-BROADCAST_ROWS = 1_000_000
+from sparkfold.functions.lineage import cut, shared_folder, sized  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset, a folder set on the context or else a temporary one serves on a
-    local master only; on a cluster that is an error, because other machines could not
-    read it.
-    """
-    sc = spark.sparkContext
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkfold-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark an already materialised table for broadcast if it has at most ``limit`` rows.
-
-    A larger table is returned as it is, and the join that uses it shuffles.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def wrapped(docs: DataFrame, **extra: Column) -> DataFrame:
     """Every column of ``docs`` in one struct ``_row`` beside ``extra``, so no name can clash.
 
@@ -68,8 +31,8 @@ def bounded(rows: DataFrame, n: int) -> DataFrame:
     Most rows leave before the ranking shuffle: only hashes in the lowest part that
     holds about 2 n ids of a key are ranked.
     """
-    rows = rows.distinct()
-    counts = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
-    near = rows.join(sized(counts), "_key").withColumn("_u", F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) / float(1 << 52)).where(F.col("_u") * F.col("_n") < 2 * n + 100)
+    counts = cut(rows.groupBy("_key").agg(F.approx_count_distinct("_id").alias("_n")))
+    near = rows.join(sized(counts), "_key").withColumn("_u", F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) / float(1 << 52))
+    near = near.where(F.col("_u") * F.col("_n") < 2 * n + 100).distinct()
     rank = F.row_number().over(Window.partitionBy("_key").orderBy("_u", "_id"))
     return cut(near.withColumn("_r", rank).where(F.col("_r") <= n).select("_id", "_key"))

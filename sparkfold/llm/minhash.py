@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from sparkfold.operators.graph import components
+
 from .frames import cut, sized, wrapped
 from .words import mix, slices, words
 
@@ -48,7 +49,7 @@ SHINGLE = 3
 SLOTS = 192
 ROWS = 4
 BANDS = SLOTS // ROWS
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _STEP = _U(0x9E3779B97F4A7C15)
