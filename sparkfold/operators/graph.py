@@ -40,14 +40,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b) that isn't the smallest of its component; rounds grow with the logarithm of its size."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(pairs.mapInArrow(_local, "a long, b long").distinct())
-    while True:
+    tally = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1_000_000_007))]
+    before = now.agg(*tally).first()
+    while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = cut(small)
-        tally = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1_000_000_007))]
-        if small.agg(*tally).first() == now.agg(*tally).first():
-            return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = small
+        after = small.agg(*tally).first()
+        now, before, done = small, after, after == before
+        if done:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
