@@ -172,6 +172,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     edges = cut(verified(first, slots))
     roots = components(edges)
 
+    def as_edges(found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
     def labelled(rows: DataFrame, column: str, label: str) -> DataFrame:
         found = roots.select(F.col("node").alias(column), F.col("root").alias(label))
         return rows.join(found, column, "left").withColumn(label, F.coalesce(label, column))
@@ -180,9 +183,8 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     star = labelled(labelled(placed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "a", "ra"), "b", "rb")
     star = star.where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti")
     more = cut(verified(star, slots))
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        roots = components(edges)
+    if not more.isEmpty():  # what is joined so far is a forest of stars, far smaller than its edges
+        roots = components(as_edges(roots).unionByName(more))
 
     # whatever is left: pairs of one bucket in different groups
     own = labelled(placed.select("id", "key", "hub"), "id", "r")
@@ -193,7 +195,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rest = cut(verified(pairs, slots))
     if rest.isEmpty() and equal.isEmpty():
         return roots
-    return components(edges.unionByName(rest).unionByName(equal))
+    return components(as_edges(roots).unionByName(rest).unionByName(equal))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
