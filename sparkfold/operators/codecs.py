@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
 
+from . import jsoncodec
+
 try:
     import brotli
 except ImportError:  # an optional library
@@ -62,7 +64,8 @@ def register_codec(codec: Codec) -> None:
     CODECS[codec.name] = codec
 
 
-for _codec in (_zstd(), _brotli(), _lzma()):
+_json = Codec("semantic_json", jsoncodec.compress, jsoncodec.decompress, "CASE WHEN size > 50000 THEN 80.0D WHEN size > 10000 THEN 40.0D ELSE 15.0D END", "category = 'data'")
+for _codec in (_zstd(), _brotli(), _lzma(), _json):
     register_codec(_codec)
 
 

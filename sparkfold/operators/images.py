@@ -142,6 +142,13 @@ def linear_gradients(px: DataFrame) -> DataFrame:
     return worst.select("img_id", F.when(F.col("h") <= TOLERANCE, "horizontal").when(F.col("v") <= TOLERANCE, "vertical").alias("direction"), F.least("h", "v").cast("long").alias("worst"), (F.least("h", "v") <= TOLERANCE).alias("is_gradient"))
 
 
+def render_gradients(params: DataFrame) -> DataFrame:
+    """The pixel table of gradients (img_id, w, h, direction, start, stop); start and stop are arrays of red, green, blue."""
+    at = params.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    t = F.when(F.col("direction") == "horizontal", F.expr("x / greatest(w - 1, 1)")).otherwise(F.expr("y / greatest(h - 1, 1)"))
+    return at.select("img_id", "x", "y", *[F.bround(F.col("start")[i] + (F.col("stop")[i] - F.col("start")[i]) * t).cast("int").alias(c) for i, c in enumerate("rgb")])
+
+
 def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
     """(img_id, mse, psnr) of two pixel tables; null for equal images, whose ratio is infinite."""
     two = a.join(b.select("img_id", "x", "y", *[F.col(c).alias(f"_{c}") for c in "rgb"]), ["img_id", "x", "y"])

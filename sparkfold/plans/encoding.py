@@ -226,6 +226,6 @@ def bench_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strategy, count(*) AS files, round(min(r), 6) AS least, round(max(r), 6) AS most FROM (SELECT unnest(['traditional_brotli', 'traditional_lzma']) AS strategy, e FROM range(0, 80) AS t(k), (SELECT 1), LATERAL (SELECT k / 10.0::DOUBLE AS e)) s, LATERAL (SELECT CASE WHEN strategy = 'traditional_lzma' THEN CASE WHEN e < 3 THEN 12 WHEN e < 5 THEN 6 WHEN e < 7 THEN 3 ELSE 2.5 END ELSE CASE WHEN e < 3 THEN 10 WHEN e < 5 THEN 5 WHEN e < 7 THEN 2.5 ELSE 2 END END::DOUBLE AS r) GROUP BY strategy")
 def codec_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = spark.range(80).select(F.col("id").alias("file_id"), (F.col("id") / 10).alias("entropy"), F.lit("text").alias("category"))
+    reports = spark.range(80).select(F.col("id").alias("file_id"), (F.col("id") / 10).alias("entropy"), F.lit("text").alias("category"), F.lit(1000).alias("size"))
     e = codecs.estimates(reports).where("strategy <> 'traditional_zstd'")
     return e.groupBy("strategy").agg(F.count(F.lit(1)).alias("files"), F.round(F.min("est_ratio"), 6).alias("least"), F.round(F.max("est_ratio"), 6).alias("most"))

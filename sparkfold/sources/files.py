@@ -9,7 +9,7 @@ from sparkfold.functions import content as C
 
 
 def binary(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, size, modified, content) of files."""
+    """(path, size, modified, content) of files. Spark's file scan leaves out files of zero bytes, so they have no row."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     return read.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
