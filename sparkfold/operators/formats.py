@@ -27,15 +27,22 @@ SIGNATURES = (
     ("7ZIP", 0, "377ABCAF271C", "application/7z", "archive", None),
     ("RAR", 0, "526172211A07", "application/rar", "archive", None),
 )
+#: extension to (name, MIME type, category)
 EXTENSIONS = {
-    ".txt": ("TXT", "text/plain", "text"),
-    ".csv": ("CSV", "text/csv", "data"),
-    ".json": ("JSON", "application/json", "data"),
-    ".xml": ("XML", "application/xml", "data"),
-    ".svg": ("SVG", "image/svg+xml", "image"),
-    ".dwg": ("DWG", "image/vnd.dwg", "cad"),
-    ".dxf": ("DXF", "image/vnd.dxf", "cad"),
-    ".dcm": ("DICOM", "application/dicom", "medical"),
+    f".{row[0]}": tuple(row[1:])
+    for row in map(
+        str.split,
+        """
+        txt  TXT   text/plain        text
+        csv  CSV   text/csv          data
+        json JSON  application/json  data
+        xml  XML   application/xml   data
+        svg  SVG   image/svg+xml     image
+        dwg  DWG   image/vnd.dwg     cad
+        dxf  DXF   image/vnd.dxf     cad
+        dcm  DICOM application/dicom medical
+        """.strip().splitlines(),
+    )
 }
 OFFICE = {"word/document.xml": ("DOCX", "wordprocessingml.document"), "xl/workbook.xml": ("XLSX", "spreadsheetml.sheet"), "ppt/presentation.xml": ("PPTX", "presentationml.presentation")}
 CATEGORIES = ("image", "document", "cad", "medical", "audio", "video", "archive", "data", "text", "unknown")

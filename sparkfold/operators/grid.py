@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REPORT_COLUMNS = ("file_name", "file_size", "file_format", "strategy", "compressed_size", "ratio", "compression_ms", "decompression_ms", "peak_memory_kb", "lossless_verified", "error")
+REPORT_COLUMNS = tuple("file_name file_size file_format strategy compressed_size ratio compression_ms decompression_ms peak_memory_kb lossless_verified error".split())
 
 
 def grid(files: DataFrame, strategies: Sequence[str]) -> DataFrame:
