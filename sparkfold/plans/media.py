@@ -155,9 +155,9 @@ def component_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.stored_or_reference(_parts(spark, sf_dir), "page_id").select("page_id", "type", "ord", "stored")
 
 
-@query(f"SELECT hash, type, list_sort(list(DISTINCT page_id)) AS places, count(*) AS n FROM {_PARTS} WHERE hash <> '' GROUP BY hash, type HAVING count(DISTINCT page_id) > 1")
+@query(f"SELECT hash, type, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS places, count(*) AS n FROM {_PARTS} WHERE hash <> '' GROUP BY hash, type HAVING count(DISTINCT page_id) > 1")
 def duplicate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.duplicate_map(_parts(spark, sf_dir), "page_id")
+    return components.duplicate_map(_parts(spark, sf_dir), "page_id").withColumn("places", F.array_join("places", ","))
 
 
 @query(f"SELECT page_id, sum(c)::BIGINT AS components, count(*) AS distinct_components, sum(c - 1)::BIGINT AS duplicates, sum(s)::BIGINT AS raw_bytes, sum((c - 1) * one)::BIGINT AS duplicate_bytes FROM (SELECT page_id, hash, count(*) AS c, sum(octet_length(encode(data))) AS s, max(octet_length(encode(data))) AS one FROM {_PARTS} GROUP BY ALL) GROUP BY page_id")
@@ -182,10 +182,11 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("matrix", F.when(F.col("type") == "image", F.array("a", F.lit(0.0), F.lit(0.0), "d", "e", "f"))).drop("a", "d", "e", "f")
 
 
-@query(f"SELECT doc_id, page, element_id, CASE WHEN type = 'image' THEN [round(e, 2), round(f, 2), round(e + abs(a), 2), round(f + abs(d), 2)] ELSE [0.0::DOUBLE, 0.0::DOUBLE, 612.0::DOUBLE, 792.0::DOUBLE] END AS bbox FROM {_ELEMENTS}")
+@query(f"SELECT doc_id, page, element_id, CASE WHEN type = 'image' THEN round(e, 2) ELSE 0 END AS x0, CASE WHEN type = 'image' THEN round(f, 2) ELSE 0 END AS y0, CASE WHEN type = 'image' THEN round(e + abs(a), 2) ELSE 612 END AS x1, CASE WHEN type = 'image' THEN round(f + abs(d), 2) ELSE 792 END AS y1 FROM {_ELEMENTS}")
 def element_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "doc_id long, page long, width double, height double")
-    return components.placed(_elements(spark, sf_dir), none).select("doc_id", "page", "element_id", "bbox")
+    box = components.placed(_elements(spark, sf_dir), none)
+    return box.select("doc_id", "page", "element_id", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 @query(f"SELECT doc_id, page, element_id, (row_number() OVER (PARTITION BY doc_id, page ORDER BY z_order, element_id))::INT AS place FROM {_ELEMENTS}")

@@ -174,9 +174,9 @@ _RANKED = f"""(SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY
     FROM (SELECT *, row_number() OVER (PARTITION BY file_id, strategy ORDER BY priority, est_ratio DESC) AS r FROM {{}}) WHERE r = 1)"""
 
 
-@query("SELECT file_id, hints, hints[1] AS recommended FROM (SELECT file_id, list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in selection.HINTS) + f"], lambda x: x IS NOT NULL) AS hints FROM {_REPORTS})")
+@query("SELECT file_id, array_to_string(hints, ',') AS hints, hints[1] AS recommended FROM (SELECT file_id, list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in selection.HINTS) + f"], lambda x: x IS NOT NULL) AS hints FROM {_REPORTS})")
 def strategy_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.hints(reports(spark, sf_dir))
+    return selection.hints(reports(spark, sf_dir)).withColumn("hints", F.array_join("hints", ","))
 
 
 @query(f"SELECT * FROM {_CANDIDATES}")
