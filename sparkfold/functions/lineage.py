@@ -35,3 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table, marked for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if there are fewer input partitions than cores; larger inputs aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
-from sparkfold.functions.lineage import cut
+from sparkfold.functions.lineage import cut, spread
 
 from .graph import components
 
@@ -76,7 +76,8 @@ def shingle_count(content: pa.Array) -> pa.Array:
 def signatures(items: DataFrame, id_col: str = "id", content: str = "content", permutations: int = PERMUTATIONS, sample: int = C.SAMPLE) -> DataFrame:
     """(id, sig) of items with content; large content is sampled at three points."""
     data = C.three_point_sample(F.col(content), sample)
-    return items.where(C.size_of(F.col(content)) > 0).select(F.col(id_col).alias("id"), signature_udf(permutations)(data).alias("sig"))
+    some = spread(items.where(C.size_of(F.col(content)) > 0).select(id_col, content))
+    return some.select(F.col(id_col).alias("id"), signature_udf(permutations)(data).alias("sig"))
 
 
 def band_table(signed: DataFrame, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
