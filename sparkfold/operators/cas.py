@@ -79,6 +79,14 @@ def similarity_matrix(ids: DataFrame, pairs: DataFrame, id_col: str = "id") -> D
     return i.crossJoin(j).join(both, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("score"))
 
 
+def similarity_cells(ids: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
+    """(i, j, score): the cells of the matrix over all ids that aren't zero, both ways and the diagonal; every other cell is 0."""
+    ways = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))
+    shared = pairs.where("a <> b").select(F.explode(ways).alias("w"), F.col("jaccard").alias("score")).select("w.i", "w.j", "score")
+    own = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).distinct()
+    return shared.unionByName(own.select("i", F.col("i").alias("j"), F.lit(1.0).alias("score")))
+
+
 def duplicate_groups(items: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
     """(hash, members, first_id) of content that occurs more than once; empty content has no hash and doesn't count."""
     hashed = items.where(C.size_of(F.col(content)) > 0).select(id_col, F.sha2(content, 256).alias("hash"))

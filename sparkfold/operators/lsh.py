@@ -140,6 +140,25 @@ def is_duplicate(queries: DataFrame, index: DataFrame, id_col: str = "id", conte
     return every.join(hit.withColumn("_hit", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
 
 
+def query_all(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(query_id, id, jaccard): every item a query against all others. Items without an id can't be named and take no part."""
+    pairs = similar_pairs(items.where(F.col(id_col).isNotNull()), id_col, content, threshold, bands).where("a <> b")
+    ways = F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("id")))
+    return pairs.select(F.explode(ways).alias("w"), "jaccard").select("w.query_id", "w.id", "jaccard")
+
+
+def duplicates_all(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = DUPLICATE, bands: int = BANDS) -> DataFrame:
+    """(query_id, is_duplicate) of every row, against all other rows; rows are matched by their signatures, so null and repeated ids take part."""
+    key = F.sha2(F.array_join("sig", "-"), 256)
+    signed = cut(signatures(items, id_col, content).select(F.col("id").alias("query_id"), "sig", key.alias("k")))
+    heads = cut(signed.groupBy(F.col("k").alias("id")).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")))
+    near = verified(candidates(band_table(heads, bands)), heads.select("id", "sig"), threshold)
+    hit = heads.where("n > 1").select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    found = signed.join(hit.select(F.col("id").alias("k"), F.lit(True).alias("_hit")), "k", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
+    blank = items.where(F.coalesce(C.size_of(F.col(content)), F.lit(0)) == 0).select(F.col(id_col).alias("query_id"), F.lit(False).alias("is_duplicate"))
+    return found.unionByName(blank)
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster_root) of every item in a pair; the root is the smallest id."""
     found = components(pairs.select("a", "b"))

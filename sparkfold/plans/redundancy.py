@@ -74,6 +74,13 @@ def similarity_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cas.similarity_matrix(ids, cas.jaccard_pairs(some, BLOCK, "doc_id"))
 
 
+@query(f"SELECT doc_id AS i, doc_id AS j, 1.0::DOUBLE AS score FROM documents UNION ALL SELECT a, b, jaccard FROM {_JACCARD} UNION ALL SELECT b, a, jaccard FROM {_JACCARD}")
+def similarity_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of all documents, without its zeros."""
+    docs = contents(spark, sf_dir)
+    return cas.similarity_cells(docs.select("doc_id"), cas.jaccard_pairs(docs.where("doc_id IS NOT NULL"), BLOCK, "doc_id"), "doc_id")
+
+
 @query("SELECT sha256(encode(text)) AS hash, count(*) AS members, min(doc_id) AS first_id FROM documents WHERE length(text) > 0 GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cas.duplicate_groups(contents(spark, sf_dir), "doc_id")
@@ -140,6 +147,18 @@ def lsh_is_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.is_duplicate(*_halves(spark, sf_dir), "doc_id")
 
 
+@query(f"{_WITH} SELECT a AS query_id, b AS doc_id, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs")
+def lsh_query_similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a query against all others."""
+    return lsh.query_all(contents(spark, sf_dir), "doc_id").withColumnRenamed("id", "doc_id")
+
+
+@query(f"{_WITH} SELECT doc_id AS query_id, doc_id IN (SELECT unnest([a, b]) FROM pairs WHERE jaccard >= 0.95) AS is_duplicate FROM documents")
+def lsh_is_duplicate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, whether any other one nearly equals it."""
+    return lsh.duplicates_all(contents(spark, sf_dir), "doc_id")
+
+
 @query(f"{_WITH}, {_REACH} SELECT * FROM clu")
 def lsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.clusters(lsh.similar_pairs(contents(spark, sf_dir), "doc_id")).withColumnRenamed("id", "doc_id")
