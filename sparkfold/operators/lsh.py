@@ -22,6 +22,8 @@ from .graph import components
 
 P = (1 << 31) - 1
 PERMUTATIONS, BANDS, THRESHOLD, DUPLICATE = 128, 32, 0.5, 0.95
+#: Bytes of content whose shingles are held at once, a multiple of 4.
+PIECE = 1 << 20
 
 
 def coefficients(n: int = PERMUTATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +57,15 @@ def signature_udf(n: int = PERMUTATIONS, seed: int = 42):
     def signature(content: pa.Array) -> pa.Array:
         out = []
         for v in content:
-            x = reduced_shingles(v.as_buffer().to_pybytes()) if v.is_valid else np.zeros(0, np.int64)
-            if not len(x):
-                out.append(None)
-                continue
-            best = np.full(n, P, np.int64)
-            for lo in range(0, len(x), 2048):  # in pieces that stay in the cache
-                best = np.minimum(best, _mod(a[:, None] * x[None, lo : lo + 2048] + b[:, None]).min(1))
+            data, best = memoryview(v.as_buffer()) if v.is_valid else b"", None
+            for at in range(0, len(data), PIECE):  # pieces share a word, so no shingle is lost between them
+                piece = data[at : at + PIECE + 4]
+                if at and len(piece) < 8:
+                    break
+                x = reduced_shingles(piece)
+                best = np.full(n, P, np.int64) if best is None else best
+                for lo in range(0, len(x), 2048):  # in parts that stay in the cache
+                    best = np.minimum(best, _mod(a[:, None] * x[None, lo : lo + 2048] + b[:, None]).min(1))
             out.append(best)
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -73,11 +77,10 @@ def shingle_count(content: pa.Array) -> pa.Array:
     return pa.array([len(reduced_shingles(v.as_buffer().to_pybytes())) if v.is_valid else None for v in content], pa.int64())
 
 
-def signatures(items: DataFrame, id_col: str = "id", content: str = "content", permutations: int = PERMUTATIONS, sample: int = C.SAMPLE) -> DataFrame:
-    """(id, sig) of items with content; large content is sampled at three points."""
-    data = C.three_point_sample(F.col(content), sample)
+def signatures(items: DataFrame, id_col: str = "id", content: str = "content", permutations: int = PERMUTATIONS) -> DataFrame:
+    """(id, sig) of items with content, of the whole content."""
     some = spread(items.where(C.size_of(F.col(content)) > 0).select(id_col, content))
-    return some.select(F.col(id_col).alias("id"), signature_udf(permutations)(data).alias("sig"))
+    return some.select(F.col(id_col).alias("id"), signature_udf(permutations)(F.col(content)).alias("sig"))
 
 
 def band_table(signed: DataFrame, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:

@@ -41,3 +41,20 @@ def test_matrix_over_all_ids(spark):
     want = {(x, y): 1.0 if x == y else round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 6) for x in range(30) for y in range(30) if x == y or sets[x] & sets[y]}
     rows = cas.similarity_cells(items(spark, *data).select("id"), cas.jaccard_pairs(items(spark, *data), 64)).collect()
     assert len(rows) == len(want) and {(r["i"], r["j"]): r["score"] for r in rows} == want
+
+
+def test_signatures_of_long_content_are_whole(spark):
+    """Two texts that agree in three pieces only, and one shifted by 4 KiB, all over 1 MiB."""
+    rng = random.Random(13)
+    third, n = (1 << 20) // 3, 3 << 20
+    base = bytearray(rng.randbytes(n))
+    other = bytearray(rng.randbytes(n))
+    for at in (0, n // 2, n - third):
+        other[at : at + third] = base[at : at + third]
+    data = [(1, bytes(base)), (2, bytes(other)), (3, bytes(base) + rng.randbytes(4096))]
+    a, b = lsh.coefficients()
+    shingles = [lsh.reduced_shingles(d) for _, d in data]
+    want = [[int(((int(x) * s + int(y)) % lsh.P).min()) for x, y in zip(a, b, strict=True)] for s in shingles]
+    df = items(spark, *data)
+    assert {r["id"]: r["sig"] for r in lsh.signatures(df).collect()} == dict(zip((1, 2, 3), want, strict=True))
+    assert {(r["a"], r["b"]) for r in lsh.similar_pairs(df).collect()} == {(1, 3)}
