@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 PREFIX = 4 << 20
 SAMPLE = 1 << 20
+#: Bytes counted at once.
+PIECE = 1 << 20
 
 
 def utf8(text: Column) -> Column:
@@ -58,21 +60,27 @@ def _bytes(values: pa.Array, i: int) -> np.ndarray:
     return np.frombuffer(values[i].as_buffer(), np.uint8)
 
 
+def _counts(b: np.ndarray) -> np.ndarray:
+    """How often each byte occurs, counted in pieces."""
+    return sum((np.bincount(b[lo : lo + PIECE], minlength=256) for lo in range(0, len(b), PIECE)), np.zeros(256, np.int64))
+
+
 @F.arrow_udf(T.DoubleType())
 def entropy(content: pa.Array) -> pa.Array:
     """Shannon entropy of the bytes, at 6 digits."""
-    out = [None if not v.is_valid else float(_entropy(np.bincount(np.frombuffer(v.as_buffer(), np.uint8), minlength=256))) for v in content]
+    out = [None if not v.is_valid else float(_entropy(_counts(np.frombuffer(v.as_buffer(), np.uint8)))) for v in content]
     return pa.array([None if e is None else round(abs(e), 6) for e in out], pa.float64())
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def histogram(content: pa.Array) -> pa.Array:
     """How often each of the 256 bytes occurs."""
-    return pa.array([np.bincount(np.frombuffer(v.as_buffer(), np.uint8), minlength=256) if v.is_valid else None for v in content], pa.list_(pa.int64()))
+    return pa.array([_counts(np.frombuffer(v.as_buffer(), np.uint8)) if v.is_valid else None for v in content], pa.list_(pa.int64()))
 
 
 def block_entropies(block: int):
     """A function of binary content to the entropies of its blocks, at 6 digits."""
+    step = max(1, PIECE // block) * block
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def of(content: pa.Array) -> pa.Array:
@@ -82,9 +90,13 @@ def block_entropies(block: int):
                 out.append(None)
                 continue
             b = np.frombuffer(v.as_buffer(), np.uint8)
-            n = -(-len(b) // block)
-            key = (np.arange(len(b)) // block) * 256 + b
-            out.append(np.round(np.abs(_entropy(np.bincount(key, minlength=n * 256).reshape(n, 256))), 6) if n else [])
+            found = [np.zeros(0)]
+            for lo in range(0, len(b), step):
+                part = b[lo : lo + step]
+                n = -(-len(part) // block)
+                key = (np.arange(len(part)) // block) * 256 + part
+                found.append(np.round(np.abs(_entropy(np.bincount(key, minlength=n * 256).reshape(n, 256))), 6))
+            out.append(np.concatenate(found))
         return pa.array(out, pa.list_(pa.float64()))
 
     return of

@@ -20,7 +20,7 @@ def analyse(files: DataFrame) -> DataFrame:
     """(path, content) with format, entropy, hints and the recommended strategy beside each file."""
     shaped = formats.detect(files.withColumn("header", C.slice_of(F.col("content"), 0, 256))).drop("header")
     e = F.col("entropy")
-    rows = shaped.withColumns({"size": C.size_of(F.col("content")), "entropy": C.entropy(C.prefix_sample(F.col("content")))})
+    rows = shaped.withColumns({"size": C.size_of(F.col("content")), "entropy": C.entropy(F.col("content"))})
     rows = rows.withColumns({"est_ratio": C.ratio_estimate(e), "label": C.compressibility_label(e), "is_random": C.is_random(e)})
     none = {"content_type": F.lit(None).cast("string"), "content_confidence": F.lit(None).cast("double"), "generation": F.lit(None).cast("string"), "generation_confidence": F.lit(None).cast("double")}
     rows = rows.withColumnsRenamed({"type": "format_type", "confidence": "format_confidence"}).withColumns(none)

@@ -14,21 +14,20 @@ def byte_histogram(items: DataFrame, id_col: str = "id", content: str = "content
     return counted.where("n > 0")
 
 
-def entropy_report(items: DataFrame, id_col: str = "id", content: str = "content", prefix: int = C.PREFIX) -> DataFrame:
-    """(id, n_bytes, entropy, est_ratio, label, is_random, is_highly_compressible) over the first ``prefix`` bytes."""
+def entropy_report(items: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
+    """(id, n_bytes, entropy, est_ratio, label, is_random, is_highly_compressible) over the whole content."""
     e = F.col("entropy")
-    base = items.select(id_col, C.size_of(F.col(content)).alias("n_bytes"), C.entropy(C.prefix_sample(F.col(content), prefix)).alias("entropy"))
+    base = items.select(id_col, C.size_of(F.col(content)).alias("n_bytes"), C.entropy(F.col(content)).alias("entropy"))
     return base.withColumns({"est_ratio": C.ratio_estimate(e), "label": C.compressibility_label(e), "is_random": C.is_random(e), "is_highly_compressible": C.is_highly_compressible(e)})
 
 
-def block_entropies(items: DataFrame, block: int, id_col: str = "id", content: str = "content", prefix: int = C.PREFIX) -> DataFrame:
+def block_entropies(items: DataFrame, block: int, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, block_index, entropy) of consecutive blocks; the tail is a block."""
-    sample = C.prefix_sample(F.col(content), prefix)
-    return items.select(id_col, F.posexplode(C.block_entropies(block)(sample)).alias("block_index", "entropy"))
+    return items.select(id_col, F.posexplode(C.block_entropies(block)(F.col(content))).alias("block_index", "entropy"))
 
 
-def block_entropy_stats(items: DataFrame, block: int, id_col: str = "id", content: str = "content", prefix: int = C.PREFIX) -> DataFrame:
+def block_entropy_stats(items: DataFrame, block: int, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, n_blocks, min_e, max_e, mean_e), without a shuffle; null statistics for empty content; halves of the last digit round up."""
-    each = items.select(id_col, C.block_entropies(block)(C.prefix_sample(F.col(content), prefix)).alias("e"))
+    each = items.select(id_col, C.block_entropies(block)(F.col(content)).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return each.select(id_col, F.size("e").cast("long").alias("n_blocks"), F.array_min("e").alias("min_e"), F.array_max("e").alias("max_e"), F.round(F.try_divide(total, F.size("e")) + 1e-9, 6).alias("mean_e"))

@@ -1,9 +1,12 @@
 """Queries over whole tables and whole texts, where cuts once were."""
 
 import itertools
+import math
 import random
 
-from sparkfold.operators import cas, lsh
+from pyspark.sql import functions as F
+
+from sparkfold.operators import cas, lsh, orchestrate, profile
 
 
 def items(spark, *data):
@@ -58,3 +61,22 @@ def test_signatures_of_long_content_are_whole(spark):
     df = items(spark, *data)
     assert {r["id"]: r["sig"] for r in lsh.signatures(df).collect()} == dict(zip((1, 2, 3), want, strict=True))
     assert {(r["a"], r["b"]) for r in lsh.similar_pairs(df).collect()} == {(1, 3)}
+
+
+def test_entropy_of_long_content_is_whole(spark):
+    """Zeros for 4 MiB, then every byte equally often."""
+    tail = bytes(range(256)) * (1 << 14)
+    df = items(spark, (1, bytes(4 << 20) + tail + b"tail"))
+    counts = [(4 << 20) + (1 << 14)] + [1 << 14] * 255
+    for c in b"tail":
+        counts[c] += 1
+    n = sum(counts)
+    e = -sum(c / n * math.log2(c / n) for c in counts)
+    r = profile.entropy_report(df).first()
+    assert r["n_bytes"] == n and abs(r["entropy"] - e) < 1e-6
+    blocks = [x["entropy"] for x in profile.block_entropies(df, 1 << 16).orderBy("block_index").collect()]
+    assert blocks == [0.0] * 64 + [8.0] * 64 + [2.0]
+    s = profile.block_entropy_stats(df, 1 << 16).first()
+    assert (s["n_blocks"], s["min_e"], s["max_e"]) == (129, 0.0, 8.0) and abs(s["mean_e"] - 514 / 129) < 1e-6
+    files = df.select(F.lit("a.txt").alias("path"), "content")
+    assert abs(orchestrate.analyse(files).first()["entropy"] - e) < 1e-6
