@@ -20,9 +20,9 @@ TYPES = ("int", "float", "str", "bool")
 SPARK_TYPES = {"int": T.LongType(), "float": T.DoubleType(), "str": T.StringType(), "bool": T.BooleanType()}
 
 
-def infer_schema(rows: DataFrame, pos: str = "pos", json: str = "json", sample: int = SAMPLE, uniform: float = UNIFORM) -> DataFrame:
-    """(key, n_present, dominant_type, kept) of the keys of the rows with pos < sample; values of other types count as str, nulls as nothing."""
-    head = rows.where(F.col(pos) < sample).select(F.parse_json(json).alias("v"))
+def infer_schema(rows: DataFrame, pos: str = "pos", json: str = "json", sample: int | None = SAMPLE, uniform: float = UNIFORM) -> DataFrame:
+    """(key, n_present, dominant_type, kept) of the keys of the rows with pos < sample, or of all rows; values of other types count as str, nulls as nothing."""
+    head = (rows if sample is None else rows.where(F.col(pos) < sample)).select(F.parse_json(json).alias("v"))
     keyed = rows.sparkSession.sql("SELECT e.key, schema_of_variant(e.value) AS t FROM {head}, LATERAL variant_explode(v) AS e", head=head)
     kind = F.when(F.col("t") == "VOID", F.lit(None)).when(F.col("t") == "BOOLEAN", "bool").when(F.col("t") == "BIGINT", "int").when(F.col("t").rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").otherwise("str")
     counts = keyed.select("key", kind.alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("n_present"), *[F.count(F.when(F.col("k") == t, 1)).alias(f"_{t}") for t in TYPES])
@@ -38,13 +38,25 @@ def uniformity(schema: DataFrame, uniform: float = UNIFORM) -> DataFrame:
     return n.withColumn("is_uniform", (F.col("all_keys") > 0) & (F.col("kept_keys") >= uniform * F.col("all_keys")))
 
 
-def to_columns(rows: DataFrame, schema: dict[str, str], pos: str = "pos", json: str = "json") -> DataFrame:
-    """One typed column for each key of ``schema`` {key: int, float, str or bool}; ``bad_values`` counts values of another type, which become null."""
+def to_columns(rows: DataFrame, schema: dict[str, str], pos: str = "pos", json: str = "json", rest: str | None = None) -> DataFrame:
+    """One typed column for each key of ``schema`` {key: int, float, str or bool}; ``bad_values`` counts values of another type, which become null.
+
+    ``rest`` names a column for what the typed columns don't hold, as a JSON object:
+    all other keys, and the values of another type; null where there is nothing.
+    """
+    if not schema:
+        left = [F.when(F.col(json) != "{}", F.col(json)).alias(rest)] if rest else []
+        return rows.select(pos, F.lit(0).alias("bad_values"), *left)
     typed = F.from_json(json, T.StructType([T.StructField(k, SPARK_TYPES[t]) for k, t in schema.items()]))
     raw = F.from_json(json, T.StructType([T.StructField(k, T.StringType()) for k in schema]))
-    both = rows.select(pos, typed.alias("t"), raw.alias("r"))
+    every = [F.from_json(json, "map<string,variant>").alias("m")] if rest else []
+    both = rows.select(pos, typed.alias("t"), raw.alias("r"), *every)
     bad = sum((F.when(F.col("r")[k].isNotNull() & F.col("t")[k].isNull(), 1).otherwise(0) for k in schema), F.lit(0))
-    return both.select(pos, "t.*", bad.alias("bad_values"))
+    if not rest:
+        return both.select(pos, "t.*", bad.alias("bad_values"))
+    held = F.array_compact(F.array(*[F.when(F.col("r")[k].isNull() | F.col("t")[k].isNotNull(), F.lit(k)) for k in schema]))
+    left = F.map_filter("m", lambda k, _: ~F.array_contains(held, k))
+    return both.select(pos, "t.*", bad.alias("bad_values"), F.when(F.size(left) > 0, F.to_json(left)).alias(rest))
 
 
 def ordered(rows: DataFrame, by: str) -> DataFrame:

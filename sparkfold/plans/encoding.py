@@ -35,12 +35,36 @@ def json_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columnar.uniformity(columnar.infer_schema(_rows(spark, sf_dir)))
 
 
+_SCHEMA_ALL = _SCHEMA.replace(" WHERE pos < 100", "")
+
+
+@query(f"SELECT * FROM {_SCHEMA_ALL}")
+def json_infer_schema_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of all rows."""
+    return columnar.infer_schema(_rows(spark, sf_dir), sample=None)
+
+
+@query(f"SELECT count(*) AS all_keys, sum(kept::INT)::BIGINT AS kept_keys, sum(kept::INT) >= 0.9 * count(*) AS is_uniform FROM {_SCHEMA_ALL}")
+def json_uniformity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columnar.uniformity(columnar.infer_schema(_rows(spark, sf_dir), sample=None))
+
+
 @query(f"SELECT pos, (json->>'$.id')::BIGINT AS id, json->>'$.type' AS type, (json->>'$.ratio')::DOUBLE AS ratio, (json->>'$.even')::BOOLEAN AS even, json->>'$.note' AS note, 0 AS bad_values FROM {_ROWS}")
 def json_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept keys as typed columns; the schema of a bounded sample is the plan's only input from the driver."""
+    """The kept keys of all rows as typed columns; the schema is the plan's only input from the driver."""
+    rows = _rows(spark, sf_dir)
+    return columnar.to_columns(rows, _kept(rows))
+
+
+def _kept(rows: DataFrame) -> dict[str, str]:
+    return {r["key"]: r["dominant_type"] for r in columnar.infer_schema(rows, sample=None).where("kept").orderBy("key").collect()}
+
+
+@query(f"SELECT pos, (json->>'$.id')::BIGINT AS id, json->>'$.type' AS type, (json->>'$.ratio')::DOUBLE AS ratio, (json->>'$.even')::BOOLEAN AS even, json->>'$.note' AS note, 0 AS bad_values, CASE WHEN json_exists(json, '$.user') THEN '{{\"user\":' || (json->>'$.user') || '}}' END AS rest FROM {_ROWS}")
+def json_transpose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept keys as typed columns, and every other key in a column of JSON."""
     rows = _rows(spark, sf_dir)
-    kept = {r["key"]: r["dominant_type"] for r in columnar.infer_schema(rows).where("kept").collect()}
-    return columnar.to_columns(rows, kept)
+    return columnar.to_columns(rows, _kept(rows), rest="rest")
 
 
 _DELTA = "(SELECT event_id AS pos, user_id AS v, user_id - coalesce(lag(user_id) OVER (ORDER BY event_id), 0) AS d FROM events)"

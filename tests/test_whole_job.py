@@ -1,12 +1,13 @@
 """Queries over whole tables and whole texts, where cuts once were."""
 
 import itertools
+import json
 import math
 import random
 
 from pyspark.sql import functions as F
 
-from sparkfold.operators import cas, lsh, orchestrate, profile
+from sparkfold.operators import cas, columnar, lsh, orchestrate, profile
 
 
 def items(spark, *data):
@@ -80,3 +81,16 @@ def test_entropy_of_long_content_is_whole(spark):
     assert (s["n_blocks"], s["min_e"], s["max_e"]) == (129, 0.0, 8.0) and abs(s["mean_e"] - 514 / 129) < 1e-6
     files = df.select(F.lit("a.txt").alias("path"), "content")
     assert abs(orchestrate.analyse(files).first()["entropy"] - e) < 1e-6
+
+
+def test_transposition_drops_nothing(spark):
+    """A key of few rows, one that first occurs late, one value of another type, and positions from 100 on."""
+    docs = [{"id": i, "note": "a"} | ({"user": i} if i % 8 else {}) | ({"late": [1, {"x": None}]} if i > 380 else {}) for i in range(100, 400)]
+    docs[7]["id"] = "seven"
+    rows = spark.createDataFrame([(100 + n, json.dumps(d)) for n, d in enumerate(docs)], "pos long, json string")
+    schema = {r["key"]: r["dominant_type"] for r in columnar.infer_schema(rows, sample=None).where("kept").collect()}
+    assert schema == {"id": "int", "note": "str"} and columnar.infer_schema(rows, sample=None).count() == 4
+    for kept in (schema, {}):
+        got = columnar.to_columns(rows, kept, rest="rest").orderBy("pos").collect()
+        back = [{k: r[k] for k in kept if r[k] is not None} | json.loads(r["rest"] or "{}") for r in got]
+        assert back == docs and sum(r["bad_values"] for r in got) == bool(kept)
