@@ -17,7 +17,7 @@ from sparkfold.llm.frames import shared_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a main language (no words, or no language with half of them)."""
+    """Drops documents of which known languages, one or more, explain less than half of the words."""
     return langid.keep(docs, langid.train(docs))
 
 

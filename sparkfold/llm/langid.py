@@ -9,6 +9,9 @@
 3. Viterbi. Words of a text form a chain; staying in a language is free, switching
    costs PENALTY. The best path labels every word, and runs of one label are spans.
    All texts of a group advance together, one word position at a time.
+4. Rejection. A text stays if KNOWN_SHARE of its words, numbers aside, are explained
+   by the language of their span, whichever it is. A word without a candidate isn't,
+   nor one that scores no better than cells never seen in that language.
 
 The model is fitted on at most TRAIN_PER_LANGUAGE rows of each value of the language
 column (those with the smallest hash of their id), whole texts. That bound is the
@@ -42,8 +45,8 @@ from .words import Words, slices, slices_of, words
 TRAIN_PER_LANGUAGE = 300
 CELLS = 1 << 16
 PENALTY = 18.0
-#: Share of a text's words that its main language needs; with less the text is rejected.
-MAIN_SHARE = 0.5
+#: Share of a text's words, numbers aside, that known languages must explain; with less the text is rejected.
+KNOWN_SHARE = 0.5
 GROUP_WORDS = 1 << 19
 FLOOR = -1e4
 SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "devanagari", "thai", "hangul", "kana", "han", "other", "number")
@@ -201,10 +204,20 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
 
 def label(w_ptr: np.ndarray, found: np.ndarray, script: np.ndarray, model: Model, penalty: float = PENALTY) -> tuple[list, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(language or None, share, counted words) of each text, and its spans as (offsets, language index, first word, words)."""
+    names, share, total, _, spans = judged(w_ptr, found, script, np.ones(len(script), np.int64), model, penalty)
+    return names, share, total, spans
+
+
+def judged(w_ptr: np.ndarray, found: np.ndarray, script: np.ndarray, size: np.ndarray, model: Model, penalty: float = PENALTY) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What label gives, and before the spans the share of words, numbers aside, that their language explains: some cell of them was seen in it, or their script alone decides. size: bytes of each word."""
     docs, k = len(w_ptr) - 1, len(model.languages)
     doc = np.repeat(np.arange(docs), np.diff(w_ptr))
     scores, columns, counted = choices(found, script, model)
-    path = columns[viterbi(scores, w_ptr, penalty)]
+    best = viterbi(scores, w_ptr, penalty)
+    path = columns[best]
+    unseen = np.append(model.table.min(0), np.full(k - model.trained, -np.inf)) if k else np.zeros(1)
+    explained = counted & (scores[np.arange(len(best)), best] > unseen[path] * size + 1.5)  # one seen cell adds log 21 or more
+    known = np.bincount(doc[explained], minlength=docs) / np.maximum(np.bincount(doc[counted | (script != _INDEX["number"])], minlength=docs), 1)
     tally = np.bincount(doc[counted] * k + path[counted], minlength=docs * k).reshape(docs, k) if k else np.zeros((docs, 1), np.int64)
     total = tally.sum(1)
     main = tally.argmax(1)
@@ -217,26 +230,26 @@ def label(w_ptr: np.ndarray, found: np.ndarray, script: np.ndarray, model: Model
     offsets = np.searchsorted(doc[at], np.arange(docs + 1))
     stop = np.append(at[1:], len(path))
     stop = np.minimum(stop, w_ptr[1:][doc[at]]) if len(at) else stop[:0]
-    return names, share, total, (offsets, path[at], at - w_ptr[:-1][doc[at]], stop - at)
+    return names, share, total, known, (offsets, path[at], at - w_ptr[:-1][doc[at]], stop - at)
 
 
 SPANS = "array<struct<lang:string,first_word:int,words:int>>"
 
 
-def grouped(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], model: Model, penalty: float) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray, tuple]]:
+def grouped(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], model: Model, penalty: float) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray, np.ndarray, tuple]]:
     """Each input slice with its labels; texts are labelled about GROUP_WORDS words at a time."""
     parts, words_of, held = [], [], 0
 
     def flush() -> Iterator[tuple]:
-        ptrs = [p for p, _, _ in words_of]
+        ptrs = [w[0] for w in words_of]
         base = np.concatenate(([0], np.cumsum([p[-1] for p in ptrs])))
         ptr = np.concatenate([[0], *[p[1:] + b for p, b in zip(ptrs, base, strict=False)]]).astype(np.int64)
-        names, share, total, (offsets, which, first, count) = label(ptr, np.concatenate([f for _, f, _ in words_of]), np.concatenate([s for _, _, s in words_of]), model, penalty)
+        names, share, total, known, (offsets, which, first, count) = judged(ptr, *(np.concatenate([w[i] for w in words_of]) for i in (1, 2, 3)), model, penalty)
         lo = 0
         for part in parts:
             hi = lo + part.num_rows
             spans = slice(offsets[lo], offsets[hi])
-            yield part, names[lo:hi], share[lo:hi], total[lo:hi], (offsets[lo : hi + 1] - offsets[lo], which[spans], first[spans], count[spans])
+            yield part, names[lo:hi], share[lo:hi], total[lo:hi], known[lo:hi], (offsets[lo : hi + 1] - offsets[lo], which[spans], first[spans], count[spans])
             lo = hi
 
     for whole in batches:
@@ -244,7 +257,7 @@ def grouped(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch],
         for at, part in slices_of(texts):
             w = words(part)
             parts.append(whole.slice(at, len(part)))
-            words_of.append((w.ptr, *score(w, model)))
+            words_of.append((w.ptr, *score(w, model), w.end - w.start))
             held += len(w.start)
             if held >= GROUP_WORDS:
                 yield from flush()
@@ -262,15 +275,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(sorted((r[0], r[1]) for r in rows.collect()))
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = PENALTY, main_share: float = MAIN_SHARE) -> DataFrame:
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = PENALTY, known_share: float = KNOWN_SHARE) -> DataFrame:
     """(doc_id, lang, share, words, spans, keep) for every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     every = pa.array(model.languages, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, names, share, total, (offsets, which, first, count) in grouped(batches, lambda b: b.column(1), model, penalty):
+        for part, names, share, total, known, (offsets, which, first, count) in grouped(batches, lambda b: b.column(1), model, penalty):
             spans = pa.StructArray.from_arrays([every.take(pa.array(which)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=["lang", "first_word", "words"])
-            keep = [n is not None and s >= main_share for n, s in zip(names, share.tolist(), strict=True)]
+            keep = [n is not None and s >= known_share for n, s in zip(names, known.tolist(), strict=True)]
             columns = [part.column(0), pa.array(names, pa.string()), pa.array(np.round(share, 6)), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), pa.array(keep, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "share", "words", "spans", "keep"])
 
@@ -278,13 +291,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, share double, words long, spans {SPANS}, keep boolean")
 
 
-def keep(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, main_share: float = MAIN_SHARE) -> DataFrame:
-    """The rows of ``docs`` that have a main language, all columns unchanged."""
+def keep(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, known_share: float = KNOWN_SHARE) -> DataFrame:
+    """The rows of ``docs`` that known languages explain, however many; all columns unchanged."""
     at = docs.columns.index(text)  # the text travels once, inside the row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, names, share, _, _ in grouped(batches, lambda b: b.column(0).field(at), model, penalty):
-            stay = np.flatnonzero([n is not None and s >= main_share for n, s in zip(names, share.tolist(), strict=True)])
+        for part, names, _, _, known, _ in grouped(batches, lambda b: b.column(0).field(at), model, penalty):
+            stay = np.flatnonzero([n is not None and s >= known_share for n, s in zip(names, known.tolist(), strict=True)])
             yield part if len(stay) == part.num_rows else part.take(pa.array(stay, pa.int64()))
 
     rows = wrapped(docs)
