@@ -47,6 +47,7 @@ from .frames import cut
 BLOCK = 2048
 #: Depths of the sorted lists at which the bound is tested.
 DEPTHS = (4, 32, 128, 512)
+#: Least tolerance of the filters; the error of single precision comes on top of it.
 SLACK = 1e-4
 DIGITS = 9
 ACROSS = 16
@@ -98,11 +99,15 @@ class Best:
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
         self.single = x.astype(np.float32)
-        self.slack = SLACK * max(1.0, float(np.abs(x).max(initial=0)) ** 2)
+        self.norms = np.sqrt((x * x).sum(1))
         self.score = np.full((len(ids), k), -np.inf)
         self.answer = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.seen = 0
 
+    def slack(self, rows: np.ndarray, norm: float) -> np.ndarray:
+        """What single precision may add to the difference of two scores of each query with vectors of at most this norm."""
+        return SLACK + (self.x.shape[1] + 3) * 2.0**-23 * self.norms[rows] * norm
+
     def offer(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, own: bool) -> None:
         """Score these vectors for these queries and keep what is among the k best. own: some of them are the queries themselves."""
         rough = self.single[rows] @ x.astype(np.float32).T
@@ -112,7 +117,8 @@ class Best:
         kth = self.score[rows, -1]
         if len(ids) > self.k and np.isneginf(kth).any():  # what these vectors offer themselves is a limit too
             kth = np.maximum(kth, np.partition(rough, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-        a, b = np.nonzero((rough >= (kth - self.slack)[:, None]) & (rough > -np.inf))
+        slack = self.slack(rows, float(np.sqrt((x * x).sum(1).max(initial=0))))
+        a, b = np.nonzero((rough >= (kth - slack)[:, None]) & (rough > -np.inf))
         if not len(a):
             return
         exact = np.empty(len(a))
@@ -140,7 +146,7 @@ class Best:
             begin = end
             if t < len(high):
                 bound = unseen_bound(self.x[rows], high[t], low[t], norm)
-                rows = rows[bound >= self.score[rows, -1] - self.slack]
+                rows = rows[bound >= self.score[rows, -1] - self.slack(rows, norm)]
                 if not len(rows):
                     return
 
