@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow table is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,12 +33,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised table, marked for broadcast if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised table, marked for broadcast if it has at most ``limit`` rows and ``most`` bytes, strings and binaries counted as long as they are."""
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((_width(f) for f in df.schema.fields), F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most else df
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, about."""
+    c = F.col(_quoted(field.name))
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, if there are fewer input partitions than cores; larger inputs aren't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate data, wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
