@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, sized, wrapped
+from .frames import cut, of, sized, wrapped
 
 
 def content_hash(text: Column) -> Column:
@@ -38,7 +38,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, hash_fn: Callable[[Column], Column], carry: bool) -> DataFrame:
-    cols = {"_id": docs[doc_id], "_text": docs[text], "_h": hash_fn(docs[text])}
+    cols = {"_id": of(docs, doc_id), "_text": of(docs, text), "_h": hash_fn(of(docs, text))}
     return wrapped(docs, **cols) if carry else docs.select(*[c.alias(k) for k, c in cols.items()])
 
 

@@ -4,20 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfold.functions.lineage import cut, shared_folder, sized  # noqa: F401
+from sparkfold.operators.columnar import with_position
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name that may have dots, blanks or backticks in it, as a reference."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def of(docs: DataFrame, name: str) -> Column:
+    """The column called exactly ``name``."""
+    return docs[quoted(name)]
+
+
 def wrapped(docs: DataFrame, **extra: Column) -> DataFrame:
     """Every column of ``docs`` in one struct ``_row`` beside ``extra``, so no name can clash.
 
     ``extra`` is computed from the columns of ``docs``; ``select("_row.*")`` restores them.
     """
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in extra.items()])
+    return docs.select(F.struct(*[of(docs, c).alias(c) for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in extra.items()])
+
+
+def typed(*fields: T.StructField | str) -> T.StructType:
+    """A schema of fields and DDL strings, for types that a DDL string can't name (columns with odd names)."""
+    return T.StructType([f for x in fields for f in (T.StructType.fromDDL(x).fields if isinstance(x, str) else [x])])
+
+
+def id_field(docs: DataFrame, name: str, called: str) -> T.StructField:
+    """The id column's field under another name."""
+    return T.StructField(called, docs.schema[name].dataType)
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, n) of a table of distinct ids: numbers in the order of the ids, without a global sort."""
+    return cut(with_position(ids.select("id"), "id", "n").select("id", "n"))
+
+
+def comparable(a: Column, b: Column, left: T.DataType, right: T.DataType) -> Column:
+    """a = b for id columns of two tables; as strings, if their types differ."""
+    return a == b if left == right else a.cast("string") == b.cast("string")
 
 
 def hash60(c: Column) -> Column:

@@ -14,16 +14,29 @@ Verification. A pair is an edge if the share of equal slots is at least THRESHOL
 Slots are compared by one byte each; the chance agreement of 1/256 is taken out.
 
 Which pairs are verified. Groups only need connectivity, so pairs that are already
-in one group are skipped, exactly: first every text against the smallest id it shares
-a band with, then every member of a bucket against its bucket's smallest id, then all
-remaining pairs of each bucket that lie in different groups. Nothing is capped.
+in one group are skipped, exactly:
+
+1. every text against the smallest id it shares a band with;
+2. every member of a bucket against its bucket's smallest id;
+3. what is left are buckets that hold several groups. Two signatures that agree in
+   half of their slots must agree in one of the PREFIX slots that are rarest among
+   these texts, so only such pairs are formed, and only across groups: the groups at
+   a slot value are numbered, and two members meet at the highest bit in which the
+   numbers of their groups differ. Boilerplate that thousands of unlike texts share
+   is not rare in any of them and pairs none of them; one large group isn't paired
+   with itself. Nothing is capped.
 
 The result is the set of connected components of the graph whose edges are all the
 candidate pairs that pass verification.
 
+No group is collected in one task: the smallest ids of copies and of buckets are
+aggregates that are combined before the shuffle, and joins on them may be split.
+
 Defined results
     * null, empty and wordless texts: no elements, never a near duplicate.
     * null id: takes no part; the row is kept, its group is null.
+    * ids of any type that can be ordered; ids that aren't whole numbers are numbered
+      in their order first.
     * repeated ids: one document with several texts; its groups are united and its
       rows stay or go together.
     * ties: the smallest id of a group stays.
@@ -39,10 +52,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkfold.operators.columnar import with_position
 from sparkfold.operators.graph import components
 
-from .frames import cut, sized, wrapped
+from .frames import cut, id_field, of, sized, typed, wrapped
 from .words import mix, slices, words
 
 SHINGLE = 3
@@ -50,6 +65,9 @@ SLOTS = 192
 ROWS = 4
 BANDS = SLOTS // ROWS
 THRESHOLD = 0.5
+#: Slots of which two signatures that pass must share one, if the rarest are taken: all but as many as may differ, and
+#: 12 more, for slots that agree in the compared byte by chance (13 of them do so once in 10^16 pairs).
+PREFIX = SLOTS - int(THRESHOLD * SLOTS) + 12
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -118,7 +136,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band + np.arange(BANDS, dtype=np.uint64) * _STEP)
             for i in range(SLOTS):
                 whole_key = mix(whole_key * _U(0x100000001B3) + fold[:, i : i + 1] + np.array([[3, 5]], np.uint64))
-            short = (fold >> _U(56)).astype(np.uint8)
+            short, more = (fold >> _U(56)).astype(np.uint8), (fold >> _U(40)).astype(np.uint16)
             size = len(some)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -127,11 +145,30 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.ascontiguousarray(whole_key[:, 1]).view(np.int64) if size else [], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * BANDS, pa.int32()), pa.array(band.reshape(-1).view(np.int64), pa.int64())),
                     pa.array([r.tobytes() for r in short], pa.binary()),
+                    pa.array([r.tobytes() for r in more], pa.binary()),
                 ],
-                names=["id", "k0", "k1", "bands", "slots"],
+                names=["id", "k0", "k1", "bands", "slots", "more"],
             )
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, r, tokens): each slot and three bytes of its value as one number."""
+    at = np.arange(SLOTS, dtype=np.int64) << 24
+    for batch in batches:
+        n = batch.num_rows
+        slots = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, SLOTS)
+        more = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(n, SLOTS)
+        flat = (at + (slots.astype(np.int64) << 16) + more).reshape(-1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SLOTS, pa.int32()), pa.array(flat))], names=["id", "r", "tokens"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, sa, sb) that share a band."""
+    for batch in batches:
+        sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS, ROWS) for i in (2, 3)]
+        yield batch.take(pa.array(np.flatnonzero((sides[0] == sides[1]).all(2).any(1))))
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch], least: float = THRESHOLD) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -144,28 +181,78 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float = THRESHOLD) -> It
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, k0, k1, bands, slots) of every row with an id and at least one word."""
-    rows = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
-    return rows.mapInArrow(_signed, "id long, k0 long, k1 long, bands array<long>, slots binary")
+    """(id, k0, k1, bands, slots, more) of every row with an id and at least one word."""
+    rows = docs.select(of(docs, doc_id).alias("id"), of(docs, text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(_signed, typed(id_field(docs, doc_id, "id"), "k0 long, k1 long, bands array<long>, slots binary, more binary"))
 
 
-def verified(pairs: DataFrame, slots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree enough."""
+def verified(pairs: DataFrame, slots: DataFrame, banded: bool = False) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough; with ``banded``, if they share a band too."""
     one = pairs.join(slots.select(F.col("id").alias("a"), F.col("slots").alias("sa")), "a")
-    two = one.join(slots.select(F.col("id").alias("b"), F.col("slots").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
+    two = one.join(slots.select(F.col("id").alias("b"), F.col("slots").alias("sb")), "b").select("a", "b", "sa", "sb")
+    if banded:
+        two = two.mapInArrow(_banded, two.schema)
+    return two.mapInArrow(_agreeing, "a long, b long")
+
+
+def across(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (id, r, slots, more) in different groups r that share one of their PREFIX rarest slot values; no pair that agrees in half of the slots is missing."""
+    tokens = cut(left.select("id", "r", "slots", "more").mapInArrow(_tokens, "id long, r long, tokens array<long>")).select("id", "r", F.explode("tokens").alias("token"))
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("n > 1"))
+    shared = tokens.join(sized(counts), "token")
+    # slot values of their own come first in the order of rarity and pair nothing; 192 rows a window at most
+    mine = Window.partitionBy("id")
+    ranked = shared.withColumn("_rank", F.row_number().over(mine.orderBy("n", "token"))).withColumn("_all", F.count(F.lit(1)).over(mine))
+    some = cut(ranked.where(F.col("_rank") <= PREFIX - SLOTS + F.col("_all")).where("lo <> hi").select("id", "r", "token"))
+    # the groups at a slot value, numbered; a pair of groups meets at the highest bit in which its numbers differ
+    groups = some.select("token", "r").distinct()
+    place = groups.withColumn("g", (F.row_number().over(Window.partitionBy("token").orderBy("r")) - 1).cast("long"))
+    places = cut(place.join(groups.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "token"))
+    bits = F.sequence(F.lit(0), F.ceil(F.log2("_n")).cast("int") - 1)
+    at = some.join(sized(places), ["token", "r"]).select("id", "token", "g", F.explode(bits).alias("bit"))
+    at = at.select("id", "token", "bit", F.call_function("shiftright", "g", F.col("bit") + 1).alias("above"), F.call_function("shiftright", "g", "bit").bitwiseAND(F.lit(1).cast("long")).alias("side"))
+    one, two = (at.where(F.col("side") == s).drop("side").withColumnRenamed("id", x) for s, x in ((0, "x"), (1, "y")))
+    return one.join(two, ["token", "bit", "above"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(signed with whole numbers as ids, (id, node) or None): each distinct pair of id and signature is a node if ids aren't whole numbers, or one has several signatures."""
+    whole = isinstance(signed.schema["id"].dataType, T.IntegralType)
+    if whole and signed.groupBy("id").agg(F.min("k0").alias("a"), F.max("k0").alias("b"), F.min("k1").alias("c"), F.max("k1").alias("d")).where("a <> b OR c <> d").isEmpty():
+        return signed.withColumn("id", F.col("id").cast("long")), None
+    keys = signed.select("id", "k0", "k1").distinct().withColumn("_by", F.struct("id", "k0", "k1"))
+    keys = cut(with_position(keys, "_by", "node").select("id", "k0", "k1", "node"))
+    placed = signed.join(keys, ["id", "k0", "k1"]).drop("id").withColumnRenamed("node", "id")
+    return cut(placed), keys.select("id", "node")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root) for every id that is a near duplicate of a smaller one; root is its group's smallest id."""
-    alike = Window.partitionBy("k0", "k1")
-    signed = cut(signatures(docs, doc_id, text).withColumn("first", F.min("id").over(alike)))
-    equal = signed.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    alone = signed.where("id = first")
-    slots = alone.select("id", "slots").dropDuplicates(["id"])
-    bucket = Window.partitionBy("key")
-    placed = alone.select("id", F.explode("bands").alias("key")).withColumn("hub", F.min("id").over(bucket)).withColumn("top", F.max("id").over(bucket))
-    placed = cut(placed.where("hub <> top").select("id", "key", "hub"))
+    """(id, root) for every id that is a near duplicate of a smaller one; root is its group's smallest id."""
+    signed, names = _nodes(cut(signatures(docs, doc_id, text)))
+    roots = _linked(signed, names)
+    kind = docs.schema[doc_id].dataType
+    if names is None:
+        return roots.select(F.col("node").cast(kind).alias("id"), F.col("root").cast(kind).alias("root"))
+    first = names.select(F.col("node").alias("root"), F.col("id").alias("_first"))
+    return cut(roots.join(names, "node").join(first, "root").where("id <> _first").select("id", F.col("_first").alias("root")).distinct())
+
+
+def _linked(signed: DataFrame, names: DataFrame | None) -> DataFrame:
+    """(node, root) of signed rows whose ids are whole numbers; nodes with one name are united."""
+    copies = signed.groupBy("k0", "k1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marked = signed.join(sized(cut(copies.drop("_n"))), ["k0", "k1"], "left")
+    equal = marked.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    if names is not None:
+        own = names.join(names.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b")
+        equal = equal.unionByName(own.select(F.col("node").alias("a"), "b"))
+    equal = cut(equal)
+    # one row of each signature; of copies the rank limit leaves one a partition before the shuffle
+    one = marked.where("id = first").withColumn("_r", F.row_number().over(Window.partitionBy("k0", "k1").orderBy("id"))).where("_r = 1")
+    alone = marked.where("first IS NULL").select("id", "bands", "slots", "more").unionByName(one.select("id", "bands", "slots", "more"))
+    slots = alone.select("id", "slots")
+    keyed = alone.select("id", F.explode("bands").alias("key"))
+    hubs = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_top")).where("hub <> _top").drop("_top"))
+    placed = cut(keyed.join(sized(hubs), "key"))
 
     # each text against the smallest id that it shares a bucket with
     first = placed.where("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
@@ -187,27 +274,27 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         roots = components(as_edges(roots).unionByName(more))
 
     # whatever is left: pairs of one bucket in different groups
-    own = labelled(placed.select("id", "key", "hub"), "id", "r")
-    split = own.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("key")
-    left = cut(own.join(split, "key", "left_semi"))
-    other = left.select(F.col("id").alias("b"), "key", F.col("r").alias("rb"), F.col("hub").alias("hb"))
-    pairs = left.withColumnRenamed("id", "a").join(other, "key").where("r <> rb and a > b and b <> hub").select("a", "b").distinct()
-    rest = cut(verified(pairs, slots))
-    if rest.isEmpty() and equal.isEmpty():
+    own = labelled(placed.select("id", "key"), "id", "r")
+    split = cut(own.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("key"))
+    if not split.isEmpty():
+        left = cut(own.join(sized(split), "key", "left_semi").select("id", "r").distinct())
+        rest = cut(verified(across(left.join(alone.select("id", "slots", "more"), "id")), slots, banded=True))
+        equal = equal.unionByName(rest)
+    if equal.isEmpty():
         return roots
-    return components(as_edges(roots).unionByName(rest).unionByName(equal))
+    return components(as_edges(roots).unionByName(equal))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, group_id, keep) for every row: the smallest id of its group of near duplicates, and whether it is that one."""
     roots = grouped(docs, doc_id, text)
-    ids = docs.select(docs[doc_id].alias("doc_id"))
-    found = ids.join(sized(roots), ids.doc_id.cast("long") == roots.node, "left")
+    ids = docs.select(of(docs, doc_id).alias("doc_id"))
+    found = ids.join(sized(roots), F.col("doc_id") == F.col("id"), "left")
     return found.select("doc_id", F.coalesce("root", F.col("doc_id")).alias("group_id"), F.col("root").isNull().alias("keep"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each group of near duplicates, all columns unchanged."""
-    drop = sized(grouped(docs, doc_id, text).select("node"))
-    rows = wrapped(docs, _id=docs[doc_id].cast("long"))
-    return rows.join(drop, F.col("_id") == F.col("node"), "left_anti").select("_row.*")
+    drop = sized(grouped(docs, doc_id, text).select("id"))
+    rows = wrapped(docs, _id=of(docs, doc_id))
+    return rows.join(drop, F.col("_id") == F.col("id"), "left_anti").select("_row.*")

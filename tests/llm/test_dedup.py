@@ -136,3 +136,89 @@ def test_near_many_copies(spark):
             want[g * 1000 + c] = g * 1000
     got = dict(rows(minhash.groups(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "group_id"))
     assert sum(got[i] == w for i, w in want.items()) >= 0.99 * len(want)
+
+
+def brute_groups(docs):
+    """Components over all pairs of signatures that share a band and agree enough, in plain Python."""
+    rows = [(i, t) for i, t in docs if t and i is not None]
+    out = pa.Table.from_batches(minhash._signed(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "text"])])))
+    ids, bands, slots = out.column("id").to_pylist(), out.column("bands").to_pylist(), [np.frombuffer(b, np.uint8) for b in out.column("slots").to_pylist()]
+    keys = list(zip(out.column("k0").to_pylist(), out.column("k1").to_pylist(), strict=True))
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in itertools.combinations(range(len(ids)), 2):
+        near = keys[x] == keys[y] or set(bands[x]) & set(bands[y]) and ((slots[x] == slots[y]).mean() - 1 / 256) / (1 - 1 / 256) >= minhash.THRESHOLD
+        if near and find(ids[x]) != find(ids[y]):
+            a, b = sorted((find(ids[x]), find(ids[y])))
+            root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def boilerplate(families, members, shared, own, seed=5):
+    """Texts of ``shared`` common words in runs, family words and own ones: alike across families to a degree below the threshold."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(20_000)]
+    common = [rng.choice(words) for _ in range(shared)]
+    docs = []
+    for f in range(families):
+        body = [rng.choice(words) for _ in range(200 - shared - own)]
+        for m in range(members):
+            docs.append((f * 1000 + m, " ".join(common + body + [rng.choice(words) for _ in range(own)])))
+    return docs
+
+
+def test_near_equals_all_pairs(spark):
+    """Texts that share boilerplate fall into one bucket without being alike; groups are those of all pairs."""
+    docs = boilerplate(60, 4, 85, 20) + boilerplate(1, 60, 85, 25, seed=6) + boilerplate(150, 1, 95, 105, seed=7)
+    docs = [(n, t) for n, (_, t) in enumerate(docs)]
+    got = dict(rows(minhash.groups(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "group_id"))
+    assert got == brute_groups(docs)
+
+
+def test_boilerplate_pairs_stay_few(spark):
+    """Thousands of unlike texts with a common passage: the last step forms far fewer pairs than the bucket has, and loses none that passes."""
+    docs = boilerplate(3000, 1, 60, 140)
+    signed = minhash.signatures(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("r", F.col("id"))
+    assert signed.select(F.explode("bands").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] > 20
+    assert minhash.across(signed).count() < 20 * len(docs)
+    assert len(set(dict(rows(minhash.groups(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "group_id")).values())) == len(docs)
+
+
+def test_across_finds_every_pair_that_passes(spark):
+    docs = boilerplate(20, 6, 60, 40) + boilerplate(30, 1, 100, 100)
+    docs = [(n, t) for n, (_, t) in enumerate(docs)]
+    signed = minhash.signatures(spark.createDataFrame(docs, "doc_id long, text string"))
+    slots = {r["id"]: np.frombuffer(r["slots"], np.uint8) for r in signed.collect()}
+    for group in (lambda i: i, lambda i: i % 7, lambda i: i % 2):
+        got = {tuple(r) for r in minhash.across(signed.withColumn("r", F.udf(group, "long")("id"))).collect()}
+        want = {(a, b) for b, a in itertools.combinations(sorted(slots), 2) if (slots[a] == slots[b]).sum() >= 97 and group(a) != group(b)}
+        assert want and want <= got and all(group(a) != group(b) for a, b in got)
+
+
+def test_ids_of_other_kinds(spark):
+    """Words and numbers as ids, and one id with several texts, give the groups of whole numbers."""
+    docs = boilerplate(8, 5, 60, 30)
+    want = dict(rows(minhash.groups(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "group_id"))
+    assert len(set(want.values())) == 8
+    name = "id-{:08d}-x".format
+    named = spark.createDataFrame([(name(i), t) for i, t in docs] + [(None, docs[0][1])], "doc_id string, text string")
+    assert dict(rows(minhash.groups(named), "doc_id", "group_id")) == {name(i): name(g) for i, g in want.items()} | {None: None}
+    assert sorted(r[0] or "" for r in minhash.dedup(named).select("doc_id").collect()) == ["", *sorted({name(g) for g in want.values()})]
+    decimal = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("CAST(doc_id AS DECIMAL(12, 2)) AS doc_id", "text")
+    assert {int(a): int(b) for a, b in rows(minhash.groups(decimal), "doc_id", "group_id")} == want
+    twice = spark.createDataFrame([*docs, (0, docs[-1][1])], "doc_id int, text string")  # one id, texts of the first and the last group
+    got = dict(rows(minhash.groups(twice), "doc_id", "group_id"))
+    last = want[docs[-1][0]]
+    assert got == {i: 0 if g == last else g for i, g in want.items()}
+
+
+def test_odd_column_names(spark):
+    docs = boilerplate(3, 3, 60, 30)
+    odd = spark.createDataFrame([(i, t, 1, "x", 2.0, True, "k") for i, t in docs], ["doc_id", "text", "a.b", "x y", "q:z", "a-b", "b`t"])
+    for kept in (minhash.dedup(odd), exact_dedup.dedup(odd)):
+        assert kept.columns == odd.columns and kept.count() in (3, 9)
