@@ -17,9 +17,13 @@ Defined results
     * no source with a positive weight: an empty mixture.
     * null id or text: hashed like an empty string; null and empty texts have the
       smallest measure and can still be drawn.
-    * ties and repeated rows (same id, same text): they draw the same number and
-      are taken or left together, so a source may exceed its size by as many rows
-      as tie at its cut.
+    * repeated rows (same source, id and text): each is a unit of the draw with a random
+      number of its own, so a source has exactly its size. They count as one document,
+      which stands in the mixture as often as all its units were drawn; of rows that
+      differ in other columns the one that sorts first as JSON is taken.
+    * ties between units: by id, text hash and number of the repetition.
+    * weights of sources that ``docs`` doesn't have: left out; the shares of the others
+      are scaled to 1.
     * empty table: an empty result of the same schema.
     * extra columns, whatever they are called, are carried unchanged.
 """
@@ -31,10 +35,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, hash60, sized, wrapped
+from .frames import cut, hash60, of, sized, wrapped
 
 BINS = 1 << 16
 SEED = "mix-1"
+#: Repetitions of a row that one task makes at a time.
+CHUNK = 4096
 
 
 def _targets(rows: DataFrame, weights: Mapping[str, float] | None, temperature: float, size: int | None) -> DataFrame:
@@ -73,39 +79,65 @@ def sample(
     document that is drawn. The measure is round(1000 ln(2 + characters)): longer
     documents are likelier, far less than in proportion.
     """
-    name = docs[source].cast("string")
-    measure = F.round(F.lit(1000.0) * F.log(F.lit(2.0) + F.coalesce(F.length(docs[text]), F.lit(0)))).cast("long")
-    if not carry:
-        rows = docs.select(docs[doc_id].alias("_id"), name.alias("_source"), measure.alias("_g"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("_m"))
-    else:
-        rows = wrapped(docs, _id=docs[doc_id], _source=name, _g=measure, _m=F.md5(F.coalesce(docs[text], F.lit(""))))
-    targets = cut(_targets(docs.select(name.alias("_source"), measure.alias("_g")), weights, temperature, size))
-    expected = F.col("_t") * F.col("_g")
-    u = (hash60(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_m"))) + 0.5) / float(1 << 60)
-    p = (expected % F.col("_g_all")) / F.col("_g_all").cast("double")
+    name = of(docs, source).cast("string")
+    measure = F.round(F.lit(1000.0) * F.log(F.lit(2.0) + F.coalesce(F.length(of(docs, text)), F.lit(0)))).cast("long")
+    cols = {"_id": of(docs, doc_id), "_source": name, "_g": measure, "_m": F.md5(F.coalesce(of(docs, text), F.lit("")))}
+    rows = wrapped(docs, **cols) if carry else docs.select(*[c.alias(k) for k, c in cols.items()])
+    rows = rows.withColumn("_h", F.xxhash64("_source", "_id", "_m"))
+    targets = sized(cut(_targets(docs.select(name.alias("_source"), measure.alias("_g")), weights, temperature, size))).withColumnRenamed("_source", "_s")
+    names = ["_source", "_id", "_m"]
+    u = (hash60(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_m"), F.when(F.col("_j") > 0, F.col("_j").cast("string")))) + 0.5) / float(1 << 60)
+    p = (F.col("_t") * F.col("_g") % F.col("_g_all")) / F.col("_g_all").cast("double")
 
     def ranked(df: DataFrame) -> DataFrame:
-        df = df.join(sized(targets).withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+        df = df.join(targets, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
         df = df.withColumn("_sure", F.expr("(_t * _g) div _g_all")).withColumn("_u", u).withColumn("_p", p)
         q = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
         df = df.withColumn("_q", F.when(F.col("_p") > 0, q))
         return df.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS).cast("int"))
 
-    light = ranked(rows.select("_id", "_source", "_g", "_m"))
-    bins = light.groupBy("_source", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_sure").alias("_sures"), F.max("_t").alias("_t"))
+    # repeated rows: found by a hash alone, then counted; rows that merely share it are groups of one
+    light = rows.select(*names, "_g", "_h")
+    again = sized(cut(light.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")))
+    once = light.join(again, "_h", "left_anti").withColumn("_j", F.lit(0).cast("long"))
+    units = cut(_units(light.join(again, "_h", "left_semi").groupBy(*names, "_g", "_h").agg(F.count(F.lit(1)).alias("_n"))))
+    every = ranked(once.unionByName(units))
+    bins = every.groupBy("_source", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_sure").alias("_sures"), F.max("_t").alias("_t"))
     whole = Window.partitionBy("_source")
     before = F.sum(F.when(F.col("_bin").isNotNull(), F.col("_n")).otherwise(0)).over(whole.orderBy(F.col("_bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.withColumn("_need", F.col("_t") - F.sum("_sures").over(whole)).withColumn("_before", F.coalesce(before, F.lit(0)))
     # the bin in which a source's fractional copies run out, and how many it still gives
     edge = cut(bins.where("_bin is not null and _need > _before and _need <= _before + _n").select(F.col("_source").alias("_s"), F.col("_bin").alias("_cut"), (F.col("_need") - F.col("_before")).alias("_give")))
-    edges = sized(edge)
-    at_edge = light.join(edges, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_cut")))
-    key = F.struct("_q", F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("i"), "_m")
+    at_edge = every.join(sized(edge), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_cut")))
+    key = F.struct("_q", F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("i"), "_m", "_j")
     at_edge = at_edge.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(key))).where(F.col("_r") == F.col("_give"))
-    last = cut(at_edge.select("_s", key.alias("_last")))
-    drawn = ranked(rows).join(sized(last), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    more = F.when(F.col("_q").isNotNull() & F.col("_last").isNotNull() & (key <= F.col("_last")), 1).otherwise(0)
-    drawn = drawn.withColumn("_copies", (F.col("_sure") + more).cast("int")).where("_copies > 0")
+    last = sized(cut(at_edge.select("_s", key.alias("_last"))))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        df = ranked(df).join(last, F.col("_source").eqNullSafe(F.col("_s")), "left")
+        more = F.when(F.col("_q").isNotNull() & F.col("_last").isNotNull() & (key <= F.col("_last")), 1).otherwise(0)
+        return df.withColumn("_copies", F.col("_sure") + more).where("_copies > 0")
+
+    many = cut(drawn(units).groupBy(*names, "_h").agg(F.sum("_copies").alias("_copies")))
     if not carry:
-        return drawn.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_copies").cast("long").alias("copies"))
-    return drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+        found = drawn(once).select(*names, "_copies").unionByName(many.select(*names, "_copies"))
+        return found.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_copies").cast("long").alias("copies"))
+    alone = drawn(rows.join(again, "_h", "left_anti").withColumn("_j", F.lit(0).cast("long"))).select("_row", "_h", "_copies")
+    # of a repeated row the rank limit leaves one in each partition before the shuffle
+    order = Window.partitionBy("_h", *names).orderBy(F.to_json("_row"))
+    one = rows.join(again, "_h", "left_semi").select("_row", "_h", *names).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    held = many.select(*[F.col(c).alias(f"{c}2") for c in (*names, "_h")], "_copies")
+    met = (F.col("_h") == F.col("_h2")) & F.col("_source").eqNullSafe(F.col("_source2")) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_m") == F.col("_m2"))
+    both = alone.unionByName(one.join(held, met).select("_row", "_h", "_copies"))
+    # more than CHUNK copies of a row are written by several tasks
+    parts = both.where(F.col("_copies") > CHUNK).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {CHUNK}"))))
+    parts = parts.repartition("_h", "_c").select("_row", "_h", F.least(F.lit(CHUNK).cast("long"), F.col("_copies") - F.col("_c") * CHUNK).alias("_copies"))
+    out = both.where(F.col("_copies") <= CHUNK).unionByName(parts)
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+
+
+def _units(counted: DataFrame) -> DataFrame:
+    """A row for each of the _n repetitions of a document, numbered by _j; long runs are made by several tasks."""
+    chunks = counted.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {CHUNK}"))))
+    chunks = chunks.repartition("_h", "_c").withColumn("_to", F.least(F.col("_n"), (F.col("_c") + 1) * CHUNK) - 1)
+    return chunks.withColumn("_j", F.explode(F.sequence(F.col("_c") * CHUNK, F.col("_to")))).select("_source", "_id", "_m", "_g", "_h", "_j")

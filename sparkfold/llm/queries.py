@@ -83,18 +83,19 @@ def oracle_sql() -> dict[str, str]:
                    b AS bytes, nb AS shard_bytes, nn AS shard_rows, nb > {SHARD_BYTES} AS oversized
             FROM leaf JOIN n ON n.d = leaf.d AND n.node = leaf.h >> (60 - leaf.d)""",
         "op9_mixing": f"""
-            WITH r AS (SELECT doc_id, source, round(1000.0 * ln(2.0 + length(text)))::BIGINT AS g, md5(text) AS m FROM documents),
+            WITH r AS (SELECT doc_id, source, round(1000.0 * ln(2.0 + coalesce(length(text), 0)))::BIGINT AS g, md5(coalesce(text, '')) AS m,
+                              row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) - 1 AS j FROM documents),
             c AS (SELECT source, count(*) AS n, sum(g)::BIGINT AS g_all, sqrt(count(*)::DOUBLE) AS w FROM r GROUP BY source),
             s AS (SELECT *, round(round(w / sum(w) OVER (), 12) * (sum(n) OVER ())::DOUBLE, 6) AS quota, (sum(n) OVER ())::BIGINT AS total FROM c),
             f AS (SELECT *, floor(quota)::BIGINT AS t0 FROM s),
             p AS (SELECT *, row_number() OVER (ORDER BY round(quota - t0, 6) DESC, source) AS place, total - (sum(t0) OVER ())::BIGINT AS spare FROM f),
             t AS (SELECT source, g_all, t0 + CASE WHEN place <= spare THEN 1 ELSE 0 END AS t FROM p),
-            e AS (SELECT r.*, t, t * g // g_all AS sure, (t * g % g_all)::DOUBLE / g_all AS pi,
-                         (('0x' || substr(md5('{mixing.SEED}|' || doc_id || '|' || m), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u
-                  FROM r JOIN t USING (source)),
+            e AS (SELECT r.*, t.t, t.t * g // g_all AS sure, (t.t * g % g_all)::DOUBLE / g_all AS pi,
+                         (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || m || CASE WHEN j > 0 THEN '|' || j ELSE '' END), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u
+                  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
             q AS (SELECT *, CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM e),
-            k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id::VARCHAR, m) AS place,
+            k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q NULLS LAST, coalesce(doc_id::VARCHAR, ''), m, j) AS place,
                          t - (sum(sure) OVER (PARTITION BY source))::BIGINT AS need FROM q)
-            SELECT doc_id, source, sure + CASE WHEN q IS NOT NULL AND place <= need THEN 1 ELSE 0 END AS copies
-            FROM k WHERE sure + CASE WHEN q IS NOT NULL AND place <= need THEN 1 ELSE 0 END > 0""",
+            SELECT doc_id, source, sum(sure + CASE WHEN q IS NOT NULL AND place <= need THEN 1 ELSE 0 END)::BIGINT AS copies
+            FROM k GROUP BY doc_id, source, m HAVING sum(sure + CASE WHEN q IS NOT NULL AND place <= need THEN 1 ELSE 0 END) > 0""",
     }

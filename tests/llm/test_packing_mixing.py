@@ -161,8 +161,73 @@ def test_mixing_is_proportional_to_measure(spark):
 
 def test_mixing_messy(messy, empty):
     got = mixing.sample(messy)
-    assert got.columns == messy.columns and abs(got.count() - messy.count()) <= 2
+    assert got.columns == messy.columns and got.count() == messy.count()
     assert mixing.sample(messy, {}).count() == 0 and mixing.sample(messy, {"nobody": 1.0}).count() == 0
     assert mixing.sample(messy, {"d": 1.0}, size=7).select("source").distinct().collect() == [("d",)]
     assert mixing.sample(messy, {"d": 1.0}, size=7).count() == 7
     assert mixing.sample(empty).count() == 0 and mixing.sample(empty, carry=False).count() == 0
+
+
+def naive_mix(docs, size=None):
+    """{(id, source, text): copies} of rows (id, text, source) by square-root shares, row by row."""
+    import hashlib
+    import math
+    from collections import Counter, defaultdict
+    from decimal import ROUND_HALF_UP, Decimal
+
+    seen, units, n = Counter(), defaultdict(list), Counter(s for _, _, s in docs)
+    for i, t, s in docs:
+        m = hashlib.md5((t or "").encode()).hexdigest()
+        j = seen[s, i, m]
+        seen[s, i, m] += 1
+        g = int(Decimal(1000 * math.log(2 + len(t or ""))).quantize(Decimal(1), ROUND_HALF_UP))
+        key = f"{mixing.SEED}|{'' if i is None else i}|{m}" + (f"|{j}" if j else "")
+        units[s].append((i, t, m, j, g, (int(hashlib.md5(key.encode()).hexdigest()[:15], 16) + 0.5) / 2**60))
+    total, w = size or len(docs), {s: math.sqrt(c) for s, c in n.items()}
+    quota = {s: round(round(x / sum(w.values()), 12) * total, 6) for s, x in w.items()}
+    target = {s: math.floor(q) for s, q in quota.items()}
+    for s in sorted(quota, key=lambda s: (-round(quota[s] - target[s], 6), s is None, s or ""))[: total - sum(target.values())]:
+        target[s] += 1
+    out = Counter()
+    for s, us in units.items():
+        g_all, rank = sum(u[4] for u in us), []
+        for i, t, m, j, g, u in us:
+            sure, p = target[s] * g // g_all, target[s] * g % g_all / g_all
+            out[i, s, t] += sure
+            if p:
+                rank.append((u / (1 - u) / (p / (1 - p)), str(i if i is not None else ""), m, j, i, t))
+        for _, _, _, _, i, t in sorted(rank)[: target[s] - sum(target[s] * u[4] // g_all for u in us)]:
+            out[i, s, t] += 1
+    return +out
+
+
+def test_mixing_brute_force(spark):
+    """Nulls, repeated rows and a source of one repeated row, against the draw row by row; both forms agree."""
+    rng = np.random.default_rng(3)
+    docs = [(int(i), "x" * int(n), ["a", "b", "c", None][i % 4]) for i, n in enumerate(rng.integers(0, 400, 300))]
+    docs += [(7, "same", "b")] * 40 + [(None, "nobody", "a")] * 3 + [(8, None, "c"), (8, "", "c"), (1, "", "d")] + [(900, "alone", "e")] * 60
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for size in (None, 50, 4000):
+        want = naive_mix(docs, size)
+        assert sum(want.values()) == (size or len(docs))
+        light = [(r["doc_id"], r["source"], r["copies"]) for r in mixing.sample(table, size=size, carry=False).collect()]
+        assert sorted(light, key=repr) == sorted(((i, s, c) for (i, s, _), c in merged(want).items()), key=repr)
+        full = mixing.sample(table, size=size).groupBy("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).count().collect()
+        assert {(r[0], r[1], r[2]): r[3] for r in full} == {k: c for k, c in merged(want).items()}
+
+
+def merged(want):
+    """A null and an empty text are one document."""
+    out = {}
+    for (i, s, t), c in want.items():
+        out[i, s, t or ""] = out.get((i, s, t or ""), 0) + c
+    return out
+
+
+def test_mixing_keeps_its_size_with_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same text", "a")] * 50 + [(2, "other text", "b")] * 50, "doc_id long, text string, source string")
+    got = mixing.sample(docs, size=10).groupBy("source").count().collect()
+    assert {r[0]: r[1] for r in got} == {"a": 5, "b": 5}
+    many = mixing.sample(docs, {"a": 1.0}, size=10_000)  # more copies than a task makes at a time
+    assert many.count() == 10_000 and many.distinct().count() == 1
+    assert mixing.sample(docs, {"a": 1.0, "absent": 3.0}, size=8).count() == 8
