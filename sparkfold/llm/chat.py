@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import id_field, typed
+
 ROLES = ("user", "assistant", "system")
 MERGE, RELABEL, TO_SYSTEM, INSERT = 2, 3, 5, 4
 NEVER = 1 << 40
@@ -123,12 +125,11 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turns_in, turns_out, relabels, merges, inserts, cost, text) of every conversation."""
-    kind = turns.schema[conv_id].dataType.simpleString()
     rows = turns.select(turns[conv_id].alias("conv_id"), turns[turn].alias("turn"), F.lower(F.trim(turns[role])).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text")).where("conv_id is not null")
     parts = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(parts)).alias("turns"))
     light = grouped.select("conv_id", F.transform("turns", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("turns"))
-    return light.mapInArrow(_formatted, f"conv_id {kind}, turns_in long, turns_out long, relabels long, merges long, inserts long, cost long, text string")
+    return light.mapInArrow(_formatted, typed(id_field(turns, conv_id, "conv_id"), "turns_in long, turns_out long, relabels long, merges long, inserts long, cost long, text string"))
 
 
 #: The same as DuckDB SQL: costs forwards, roles backwards, then rendering.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, sized
+from .frames import cut, of, sized, typed
 
 CAPACITY = 2048
 PER_PARTITION = 20_000
@@ -86,7 +86,7 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = "part long, bin long, start long, id {0}, piece int, size int, bins long, bound long"
+_PACKED = ("part long, bin long, start long", "piece int, size int, bins long, bound long")
 
 
 def _solve(table: pa.Table, capacity: int) -> tuple[pa.Table, np.ndarray, np.ndarray, int, int]:
@@ -127,16 +127,16 @@ def _repack(capacity: int):
 
 def pieces(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, piece, size) of every row; tokens are maximal runs of characters other than white space."""
-    tokens = F.coalesce(F.size(F.regexp_extract_all(docs[text], F.lit(r"\S+"), 0)), F.lit(0))
+    tokens = F.coalesce(F.size(F.regexp_extract_all(of(docs, text), F.lit(r"\S+"), 0)), F.lit(0))
     tokens = F.greatest(tokens, F.lit(0))
-    rows = docs.select(docs[doc_id].alias("id"), tokens.alias("n"))
+    rows = docs.select(of(docs, doc_id).alias("id"), tokens.alias("n"))
     rows = rows.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {capacity}"), F.lit(0)).cast("int"))).alias("piece"))
     return rows.select("id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"))
 
 
 def packed(items: DataFrame, capacity: int, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
     """(part, bin, start, id, piece, size, bins, bound) of items (id, piece, size) with 0 < size <= capacity."""
-    schema = _PACKED.format(items.schema["id"].dataType.simpleString())
+    schema = typed(_PACKED[0], items.schema["id"], _PACKED[1])
     parts = max(1, -(-items.count() // per_partition))
     spread = items.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)))
     now = cut(spread.groupBy("part").applyInArrow(_pack(capacity), schema))

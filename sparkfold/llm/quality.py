@@ -24,7 +24,9 @@ Defined results
     * no labelled rows: quality null, keep false.
     * no neighbour with a positive cosine: quality null, keep false.
     * ties: cosines are compared at 5 digits; of equal ones the smaller labelled id votes.
-    * repeated rows: the same result for each; repeated labels vote once each.
+    * repeated rows: the same result for each; repeated labels vote once each, an id with
+      several labels or texts with the first in their order.
+    * ids of any type; those of the labels are compared as strings if they have another one.
     * empty table: an empty result.
     * extra columns are not read.
 """
@@ -39,8 +41,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import bounded, sized
+from .frames import bounded, comparable, id_field, of, sized, typed
 from .words import _flat, slices
 
 LABELLED_PER_CLASS = 1500
@@ -90,7 +93,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    ids: np.ndarray
+    #: the labelled rows' ids in ascending order
+    ids: pa.Array
     labels: np.ndarray
     vectors: np.ndarray
     projection: np.ndarray
@@ -98,13 +102,15 @@ class Model:
     def embed(self, texts: pa.Array) -> np.ndarray:
         return _unit(counts(texts) @ self.projection)
 
-    def vote(self, ids: np.ndarray, x: np.ndarray, neighbours: int) -> np.ndarray:
-        """The quality of each row of x, NaN where nobody votes."""
+    def vote(self, ids: pa.Array, x: np.ndarray, neighbours: int) -> np.ndarray:
+        """The quality of each row of x, NaN where nobody votes. ids: the rows' ids, of the same type as the labelled ones."""
         if not len(self.ids):
             return np.full(len(x), np.nan)
         m = len(self.ids)
         cosine = x @ self.vectors.T
-        cosine[ids[:, None] == self.ids] = -1
+        own = pc.index_in(ids, value_set=self.ids)
+        mine = np.flatnonzero(pc.is_valid(own).to_numpy(zero_copy_only=False))
+        cosine[mine, own.drop_null().to_numpy()] = -1
         # one whole number that orders by cosine, then by labelled id (self.ids ascend)
         order = np.rint(cosine * 10.0**DIGITS).astype(np.int64) * m + np.arange(m - 1, -1, -1)
         k = min(neighbours, m)
@@ -115,10 +121,13 @@ class Model:
         return np.divide((weight * self.labels[near]).sum(1), total, out=np.full(len(x), np.nan), where=total > 0)
 
 
-def fit(rows: list[tuple[int, int, str]], dimensions: int = DIMENSIONS) -> Model:
-    """A model of (id, label 0 or 1, text) rows."""
-    rows = sorted(r for r in rows if r[2])
-    ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+def fit(rows: list[tuple[object, int, str]], dimensions: int = DIMENSIONS, kind: pa.DataType | None = None) -> Model:
+    """A model of (id, label 0 or 1, text) rows; an id that has several labels or texts counts with the first in their order. kind: the Arrow type of ids."""
+    first: dict[object, tuple[object, int, str]] = {}
+    for r in sorted(r for r in rows if r[2]):
+        first.setdefault(r[0], r)
+    rows = list(first.values())
+    ids, labels = pa.array([r[0] for r in rows], kind or (None if rows else pa.int64())), np.array([r[1] for r in rows], np.float64)
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.string())], names=["t"])
     parts = [counts(p.column(0).slice(at, BLOCK)) for p in slices(batch, 0) for at in range(0, p.num_rows, BLOCK)]
     x = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
@@ -141,26 +150,24 @@ def fit(rows: list[tuple[int, int, str]], dimensions: int = DIMENSIONS) -> Model
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = LABELLED_PER_CLASS) -> Model:
     """Fit a model on at most ``per_class`` rows of each label; labels has ``doc_id`` and the label."""
-    marked = labels.select(labels[doc_id].cast("long").alias("_id"), labels[label].cast("int").alias("_key")).where("_id is not null and _key in (0, 1)")
+    marked = labels.select(of(labels, doc_id).alias("_id"), of(labels, label).cast("int").alias("_key")).where("_id is not null and _key in (0, 1)")
     # at most 2 * per_class ids, chosen before any text is read
     chosen = sized(bounded(marked, per_class))
-    rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text")).where("_text is not null").join(chosen, "_id")
-    return fit([(r[0], r[1], r[2]) for r in rows.select("_id", "_key", "_text").distinct().collect()])
+    same = comparable(of(docs, doc_id), F.col("_id"), docs.schema[doc_id].dataType, chosen.schema["_id"].dataType)
+    rows = docs.join(chosen, same).select(of(docs, doc_id).alias("_own"), "_key", of(docs, text).alias("_text")).where("_text is not null")
+    return fit([(r[0], r[1], r[2]) for r in rows.distinct().collect()], kind=to_arrow_type(docs.schema[doc_id].dataType))
 
 
 def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, quality, keep) for every row."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for slab in slices(whole, 1):
                 for at in range(0, slab.num_rows, BLOCK):
                     part = slab.slice(at, BLOCK)
                     x = model.embed(part.column(1))
-                    ids = pc.fill_null(part.column(0).cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                    vote = np.where((x != 0).any(1), model.vote(ids, x, neighbours), np.nan)
+                    vote = np.where((x != 0).any(1), model.vote(part.column(0), x, neighbours), np.nan)
                     quality = np.round(vote, 6)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(quality, from_pandas=True), pa.array(quality >= threshold)], names=["doc_id", "quality", "keep"])
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, quality double, keep boolean")
+    return docs.select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text")).mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), "quality double, keep boolean"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, hash60, sized
+from .frames import cut, hash60, of, sized
 
 BITS = 60
 STEP = 12
@@ -34,9 +34,9 @@ def assign(docs: DataFrame, limit_bytes: int, doc_id: str = "doc_id", text: str
     ``shard`` is the leaf's bit string ("" if everything fits one shard), ``depth`` its length.
     """
     rows = docs.select(
-        docs[doc_id].alias("_id"),
-        hash60(F.coalesce(docs[doc_id].cast("string"), F.lit(""))).alias("_hash"),
-        F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("_bytes"),
+        of(docs, doc_id).alias("_id"),
+        hash60(F.coalesce(of(docs, doc_id).cast("string"), F.lit(""))).alias("_hash"),
+        F.coalesce(F.octet_length(of(docs, text)), F.lit(0)).cast("long").alias("_bytes"),
     )
     pending, leaves = None, None
     for base in range(0, BITS, STEP):

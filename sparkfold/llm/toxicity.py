@@ -25,6 +25,7 @@ Defined results
     * null or other labels, labels of absent ids: not used in training.
     * only one class in training: nothing is learned; every score is 0.5 and nothing toxic.
     * repeated rows: the same result for each; repeated labels count once each.
+    * ids of any type; those of the labels are compared as strings if they have another one.
     * empty table: an empty result.
     * extra columns are not read.
 """
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded, sized
+from .frames import bounded, comparable, id_field, of, sized, typed
 from .words import Words, mix, slices, words
 
 TRAIN_PER_CLASS = 3000
@@ -209,21 +210,20 @@ def fit(rows: list[tuple[int, str]], swap: float = SWAP, l1: float = L1, steps:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Model:
     """Fit a model on at most ``per_class`` rows of each label; labels has ``doc_id`` and the label."""
-    marked = labels.select(labels[doc_id].alias("_id"), labels[label].cast("int").alias("_key")).where("_id is not null and _key in (0, 1)")
+    marked = labels.select(of(labels, doc_id).alias("_id"), of(labels, label).cast("int").alias("_key")).where("_id is not null and _key in (0, 1)")
     # at most 2 * per_class ids, chosen before any text is read
     chosen = sized(bounded(marked, per_class))
-    rows = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).where("_text is not null").join(chosen, "_id")
-    return fit(sorted((r[0], r[1]) for r in rows.select("_id", "_key", "_text").distinct().select("_key", "_text").collect()))
+    same = comparable(of(docs, doc_id), F.col("_id"), docs.schema[doc_id].dataType, chosen.schema["_id"].dataType)
+    rows = docs.join(chosen, same).select("_id", "_key", of(docs, text).alias("_text")).where("_text is not null")
+    return fit(sorted((r[0], r[1]) for r in rows.distinct().select("_key", "_text").collect()))
 
 
 def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, toxic) for every row."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, 1):
                 score = np.round(model.scores(part.column(1)), 6)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(score > threshold)], names=["doc_id", "score", "toxic"])
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, score double, toxic boolean")
+    return docs.select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text")).mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), "score double, toxic boolean"))
