@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfold.llm import chat, topk
@@ -65,6 +66,67 @@ def test_topk_messy(spark):
     assert topk.search(df.where("vec_id = 2"), 3).count() == 0
 
 
+def test_promises_hold():
+    """No vector of a block scores more than its summary promises."""
+    rng = np.random.default_rng(9)
+    for scale in (1.0, 1e-3, 1e4):
+        y = scale * (rng.normal(size=(50, 6)) + rng.normal(size=6) * 3)
+        x = rng.normal(size=(40, 6))
+        summary = (y.mean(0)[None], np.array([topk.norms(y - y.mean(0)).max()]), y.min(0)[None], y.max(0)[None], np.array([topk.norms(y).max()]))
+        assert (topk.promise(x, topk.norms(x), *summary)[:, 0] >= (x @ y.T).max(1) - 1e-9 * scale).all()
+
+
+def test_topk_stated_queries_and_named_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    ids = np.arange(300)
+    want = [r for r in brute(ids.tolist(), x, 4) if r[0] % 50 == 0]
+    df = spark.createDataFrame([(int(i), e.tolist()) for i, e in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.search(df, 4, block=40, queries=df["vec_id"] % 50 == 0).collect())) == want
+    named = df.selectExpr("format_string('v-%06d', vec_id) AS vec_id", "embedding")
+    got = topk.search(named, 4, block=40, queries=F.substring("vec_id", 3, 6).cast("int") % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == [(f"v-{i:06d}", r, f"v-{j:06d}", s) for i, r, j, s in want]
+    assert topk.search(df, 4, queries=F.lit(False)).count() == 0
+
+
+def test_topk_is_exact_in_hard_cases(spark):
+    """Near ties in 1024 dimensions, outliers of huge norm, products beyond single precision, and one very long vector."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=1024)
+    x = base + 1e-4 * rng.normal(size=(150, 1024))
+    assert run(spark, np.arange(150), x, 5, 64) == brute(list(range(150)), x, 5)
+    y = rng.normal(size=(200, 16))
+    y[:30] *= 1e5
+    got, want = run(spark, np.arange(200), y, 5, 64), brute(list(range(200)), y, 5)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-14)
+    z = rng.normal(size=(120, 16))
+    z[:20] *= 1e30
+    got = run(spark, np.arange(120), z, 5, 32)
+    for i in range(120):
+        scores = sorted((-(float(np.cumsum(z[i] * z[j])[-1])), j) for j in range(120) if j != i)[:5]
+        assert [r[2] for r in got if r[0] == i] == [j for _, j in scores]
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(y)] + [(1000, [0.5] * 300_000)], "vec_id long, embedding array<double>")
+    long = topk.search(df, 3, block=64).collect()
+    assert sorted(tuple(r) for r in long if r[0] == 1000)[0][2] == int(y.sum(1).argmax())
+    assert len(long) == 3 * 201
+
+
+def test_topk_reads_few_blocks_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64)) * 3
+    x = centres[rng.integers(0, 40, 8000)] + 0.3 * rng.normal(size=(8000, 64))
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "id long, v array<double>").withColumn("asks", F.col("id") % 50 == 0)
+    placed, widths = topk._placed(df, 128)
+    made = placed.groupBy("block").applyInArrow(topk._block(widths), topk._BLOCKED).cache()
+    asked = placed.where("asks").withColumn("qblock", F.col("block")).groupBy("qblock").applyInArrow(topk._queries(widths), "q long, q_width int, q_ids binary, q_vectors binary").cache()
+    score = x @ x[::50].T
+    np.put_along_axis(score, np.arange(0, 8000, 50)[None], -np.inf, 0)
+    kth = dict(zip(range(0, 8000, 50), np.sort(score, axis=0)[-5], strict=True))
+    floors = {r["q"]: np.array([kth[i] for i in np.frombuffer(r["q_ids"], np.int64).tolist()]).tobytes() for r in asked.collect()}
+    table = spark.createDataFrame([(q, bytearray(f)) for q, f in floors.items()], "q long, floor binary")
+    assert topk.block_pairs(asked.join(table, "q"), made, None).count() < made.count() * asked.count() / 3
+
+
 def cheapest(roles):
     """The least cost over all assignments of roles."""
     best = None
