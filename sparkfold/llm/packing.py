@@ -14,20 +14,28 @@ Exchange. Partitions with a gap between bins and bound pool their documents in p
 another pairing each round, and rerun best-fit decreasing on the pool. A pool
 replaces its partitions' bins only if it needs fewer. At most ROUNDS rounds.
 
+Sequences. Only ids, hashes and sizes are packed. The text of every piece then meets its
+place by (id, hash, piece), so a long document is many rows and none is multiplied, and
+the pieces of a bin, at most ``capacity`` tokens, become one row.
+
 Defined results
     * null text, or a text without a token: nothing to pack; one row with piece 0,
       0 tokens and null bin.
+    * white space inside a piece is kept; pieces of a sequence are parted by SEPARATOR.
     * a text longer than the capacity: as many full pieces as it has, then the rest.
     * null id: packed like any other row.
     * ties: equal sizes are placed in the order of id and piece; best fit takes the
       fullest bin that fits, and of equally full ones the last that became so.
     * repeated rows: each is packed.
+    * ids of any type that can be ordered.
     * empty table: an empty result of the same schema.
     * extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,6 +46,9 @@ from .frames import cut, of, sized, typed
 CAPACITY = 2048
 PER_PARTITION = 20_000
 ROUNDS = 3
+SEPARATOR = "\n\n"
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -86,7 +97,8 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = ("part long, bin long, start long", "piece int, size int, bins long, bound long")
+_PACKED = ("part long, bin long, start long", "hash binary, piece int, size int, bins long, bound long")
+_NAMES = ["part", "bin", "start", "id", "hash", "piece", "size", "bins", "bound"]
 
 
 def _solve(table: pa.Table, capacity: int) -> tuple[pa.Table, np.ndarray, np.ndarray, int, int]:
@@ -97,7 +109,7 @@ def _solve(table: pa.Table, capacity: int) -> tuple[pa.Table, np.ndarray, np.nda
 
 
 def _rows(table: pa.Table, part: pa.Array, where, offset, bins: pa.Array, bound: pa.Array) -> pa.Table:
-    return pa.table([part, pa.array(where, pa.int64()), pa.array(offset, pa.int64()), table.column("id"), table.column("piece"), table.column("size"), bins, bound], names=["part", "bin", "start", "id", "piece", "size", "bins", "bound"])
+    return pa.table([part, pa.array(where, pa.int64()), pa.array(offset, pa.int64()), table.column("id"), table.column("hash"), table.column("piece"), table.column("size"), bins, bound], names=_NAMES)
 
 
 def _same(value: int, n: int) -> pa.Array:
@@ -119,23 +131,23 @@ def _repack(capacity: int):
         before = int(table.column("bins").to_numpy()[first].sum())
         solved, where, offset, bins, bound = _solve(table, capacity)
         if bins >= before:  # nothing gained: the bins stay as they were
-            return table.select(["part", "bin", "start", "id", "piece", "size", "bins", "bound"])
+            return table.select(_NAMES)
         return _rows(solved, _same(int(parts.min()), len(table)), where, offset, _same(bins, len(table)), _same(bound, len(table)))
 
     return run
 
 
 def pieces(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, piece, size) of every row; tokens are maximal runs of characters other than white space."""
+    """(id, hash, piece, size) of every row; tokens are maximal runs of characters other than white space."""
     tokens = F.coalesce(F.size(F.regexp_extract_all(of(docs, text), F.lit(r"\S+"), 0)), F.lit(0))
     tokens = F.greatest(tokens, F.lit(0))
-    rows = docs.select(of(docs, doc_id).alias("id"), tokens.alias("n"))
-    rows = rows.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {capacity}"), F.lit(0)).cast("int"))).alias("piece"))
-    return rows.select("id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"))
+    rows = docs.select(of(docs, doc_id).alias("id"), F.unhex(F.md5(of(docs, text))).alias("hash"), tokens.alias("n"))
+    rows = rows.select("id", "hash", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {capacity}"), F.lit(0)).cast("int"))).alias("piece"))
+    return rows.select("id", "hash", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"))
 
 
 def packed(items: DataFrame, capacity: int, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """(part, bin, start, id, piece, size, bins, bound) of items (id, piece, size) with 0 < size <= capacity."""
+    """(part, bin, start, id, hash, piece, size, bins, bound) of items (id, hash, piece, size) with 0 < size <= capacity."""
     schema = typed(_PACKED[0], items.schema["id"], _PACKED[1])
     parts = max(1, -(-items.count() // per_partition))
     spread = items.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)))
@@ -160,11 +172,68 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text
     ``start`` is the piece's first token in its bin; a partition is ``certified`` if
     its number of bins equals its lower bound, so that no packing of it is better.
     """
+    return _placed(docs, capacity, doc_id, text, per_partition, rounds).drop("hash")
+
+
+def _placed(docs: DataFrame, capacity: int, doc_id: str, text: str, per_partition: int, rounds: int) -> DataFrame:
     items = cut(pieces(docs, capacity, doc_id, text))
     found = packed(items.where("size > 0"), capacity, per_partition, rounds)
     bin_id = F.shiftleft("part", 32) + F.col("bin")
     some = found.select(
-        F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"), bin_id.alias("bin_id"), "start", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound"), (F.col("bins") == F.col("bound")).alias("certified")
+        F.col("id").alias("doc_id"), "hash", "piece", F.col("size").alias("tokens"), bin_id.alias("bin_id"), "start", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound"), (F.col("bins") == F.col("bound")).alias("certified")
     )
-    none = items.where("size <= 0").select(F.col("id").alias("doc_id"), "piece", F.lit(0).alias("tokens"), *[F.lit(None).cast("long").alias(c) for c in ("bin_id", "start", "part_bins", "part_bound")], F.lit(True).alias("certified"))
+    none = items.where("size <= 0").select(F.col("id").alias("doc_id"), "hash", "piece", F.lit(0).alias("tokens"), *[F.lit(None).cast("long").alias(c) for c in ("bin_id", "start", "part_bins", "part_bound")], F.lit(True).alias("certified"))
     return some.unionByName(none)
+
+
+def _texts(capacity: int):
+    """(id, hash, text) to (id, hash, piece, text) of every piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, piece, text = [], [], []
+            for i, v in enumerate(batch.column(2)):
+                data = memoryview(v.as_buffer())
+                space = _SPACE[np.frombuffer(data, np.uint8)]
+                edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+                begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+                for p, at in enumerate(range(0, len(begin), capacity)):
+                    row.append(i)
+                    piece.append(p)
+                    text.append(bytes(data[begin[at] : end[min(at + capacity, len(begin)) - 1]]))
+                if sum(map(len, text)) > 1 << 24 and i + 1 < batch.num_rows:  # long texts leave one by one
+                    yield _piece_rows(batch, row, piece, text)
+                    row, piece, text = [], [], []
+            yield _piece_rows(batch, row, piece, text)
+
+    return run
+
+
+def _piece_rows(batch: pa.RecordBatch, row: list[int], piece: list[int], text: list[bytes]) -> pa.RecordBatch:
+    at = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), pa.array(text, pa.binary()).cast(pa.string())], names=["id", "hash", "piece", "text"])
+
+
+def sequences(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+    """(bin_id, tokens, doc_ids, pieces, starts, text, part_bins, part_bound, certified) of every sequence.
+
+    doc_ids, pieces and starts say which piece of which document begins at which token;
+    ``text`` is these pieces in order. A document without a token is a row of its own
+    with null bin_id and 0 tokens.
+    """
+    placed = cut(_placed(docs, capacity, doc_id, text, per_partition, rounds))
+    rows = docs.select(of(docs, doc_id).alias("id"), F.unhex(F.md5(of(docs, text))).alias("hash"), of(docs, text).alias("text")).where("text IS NOT NULL")
+    rows = rows.withColumn("_h", F.xxhash64("id", "hash"))
+    # of repeated rows one gives the text; the rank limit leaves one in each partition before the shuffle
+    again = sized(cut(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")))
+    one = rows.join(again, "_h", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("_h", "id", "hash").orderBy(F.lit(0)))).where("_r = 1")
+    texts = rows.join(again, "_h", "left_anti").select("id", "hash", "text").unionByName(one.select("id", "hash", "text"))
+    texts = texts.mapInArrow(_texts(capacity), typed(texts.schema["id"], "hash binary, piece int, text string"))
+    held = texts.toDF("_id", "_hash", "_piece", "text")
+    there = placed.where("bin_id IS NOT NULL").join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("piece") == F.col("_piece")))
+    inside = F.array_sort(F.collect_list(F.struct("start", "doc_id", "piece", "tokens", "text"))).alias("p")
+    bins = there.groupBy("bin_id").agg(inside, *[F.first(c).alias(c) for c in ("part_bins", "part_bound", "certified")])
+    whole = F.array_join(F.col("p.text"), SEPARATOR).alias("text")
+    full = bins.select("bin_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x.tokens).alias("tokens"), F.col("p.doc_id").alias("doc_ids"), F.col("p.piece").alias("pieces"), F.col("p.start").alias("starts"), whole, "part_bins", "part_bound", "certified")
+    none = placed.where("bin_id IS NULL").select("bin_id", F.lit(0).cast("long").alias("tokens"), F.array("doc_id").alias("doc_ids"), F.array("piece").alias("pieces"), F.array(F.lit(0).cast("long")).alias("starts"), F.lit("").alias("text"), "part_bins", "part_bound", "certified")
+    return full.unionByName(none)

@@ -83,14 +83,60 @@ def test_pack_documents(spark, sf_dir):
     check_packing(got, [tuple(r) for r in docs.select("doc_id", "text").collect()], 256)
 
 
-def test_exchange_never_needs_more(spark):
-    rng = np.random.default_rng(1)
-    items = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(rng.integers(20, 60, 600))], "id long, piece int, size int")
-
-    def bins(rounds):
-        return sum(r[1] for r in packing.packed(items, 100, 60, rounds).select("part", "bins").distinct().collect())
-
-    assert bins(3) <= bins(0)
+def test_sequences(spark, sf_dir, messy, empty):
+    """Every token of every row is in the sequences, in its place, with the white space of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    extra = [(10**6, "twice  the\tsame\n\ntext"), (10**6, "twice  the\tsame\n\ntext"), (10**6, "one id, another text"), (None, "no id"), (None, None), (10**6 + 1, " \n "), (10**6 + 2, "w " * 700 + "end")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    got = packing.sequences(docs, capacity=256, per_partition=60).collect()
+    texts = {}
+    for i, t in docs.collect():
+        texts.setdefault(i, []).append(t)
+    from collections import Counter
+
+    pieces = Counter()
+    for r in got:
+        assert len(re.findall(r"\S+", r["text"])) == r["tokens"] <= 256
+        if r["bin_id"] is None:
+            assert r["tokens"] == 0 and r["text"] == ""
+            continue
+        words = re.findall(r"\S+", r["text"])
+        for i, p, at, to in zip(r["doc_ids"], r["pieces"], r["starts"], [*r["starts"][1:], len(words)], strict=True):
+            pieces[i, p, " ".join(words[at:to])] += 1
+        assert any(t and r["text"].split(packing.SEPARATOR)[0] in t for t in texts[r["doc_ids"][0]])
+    want = Counter()
+    for i, ts in texts.items():
+        for t in ts:
+            words = re.findall(r"\S+", t or "")
+            for p, at in enumerate(range(0, len(words), 256)):
+                want[i, p, " ".join(words[at : at + 256])] += 1
+    assert pieces == want
+    assert len({r["bin_id"] for r in got if r["bin_id"] is not None}) == sum(r["bin_id"] is not None for r in got)
+    assert sum(r["bin_id"] is None for r in got) == 2
+    assert sum(r["tokens"] for r in packing.sequences(messy, capacity=1000).collect()) == sum(len(re.findall(r"\S+", r["text"] or "")) for r in messy.collect())
+    assert packing.sequences(empty).count() == 0
+
+
+def test_exchange_saves_bins(spark):
+    """Partitions with a gap need fewer bins together, every item stays packed once, and no bin overflows."""
+    saved = []
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(20, 60, 600)
+        items = spark.createDataFrame([(i, b"", 0, int(n)) for i, n in enumerate(sizes)], "id long, hash binary, piece int, size int")
+        found = {}
+        for rounds in (0, 3):
+            rows = packing.packed(items, 100, 60, rounds).collect()
+            assert sorted((r["id"], r["size"]) for r in rows) == list(enumerate(sizes.tolist()))
+            used = {}
+            for r in rows:
+                used[r["part"], r["bin"]] = used.get((r["part"], r["bin"]), 0) + r["size"]
+            assert max(used.values()) <= 100 and len(used) >= packing.lower_bound(sizes, 100)
+            assert len(used) == sum({r["part"]: r["bins"] for r in rows}.values())
+            found[rounds] = len(used)
+        assert found[3] <= found[0]
+        saved.append(found[0] - found[3])
+    assert sum(saved) > 0, saved
 
 
 def test_pack_messy(messy, empty):
