@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns
-of ``documents``; the last returns a row for each packed piece.
+of ``documents``; the last returns a row for each packed sequence.
+
+Defined results: rows without a text have no language and leave with the first stage, as
+do texts of numbers or symbols only; rows with a null id are packed like others; empty
+tables give empty results; columns beyond those of ``documents``, whatever they are
+called, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -12,8 +17,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkfold.functions.lineage import remove, shared_folder
 from sparkfold.llm import exact_dedup, langid, minhash, mixing, packing
-from sparkfold.llm.frames import shared_folder, table
+from sparkfold.llm.frames import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and place in it."""
-    return packing.pack(docs)
+    """Sequences of at most packing.CAPACITY tokens: their text, and which piece of which document begins where."""
+    return packing.sequences(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,10 +60,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; stages are kept in a folder of their own beside the checkpoints."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``. Stages are written in a folder of their own beside the checkpoints; one leaves when the next is there."""
+    return staged(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stages applied to ``docs``."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return docs
