@@ -102,6 +102,31 @@ def block_entropies(block: int):
     return of
 
 
+@F.arrow_udf(T.BinaryType())
+def joined(parts: pa.Array) -> pa.Array:
+    """An array of binaries end to end; null if one of them is."""
+    out = []
+    for v in parts:
+        values = v.values if v.is_valid else None
+        out.append(None if values is None or values.null_count else b"".join(x.as_py() for x in values))
+    return pa.array(out, pa.binary())
+
+
+def char_count(text: Column) -> Column:
+    return F.length(text).cast("long")
+
+
+def line_count(text: Column) -> Column:
+    """How many line breaks a text has."""
+    return F.regexp_count(text, F.lit("\n")).cast("long")
+
+
+def human_size(n: Column) -> Column:
+    """1536 as 1.5 KB."""
+    x = n.cast("double")
+    return F.when(n < 1 << 10, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KB", x / (1 << 10))).when(n < 1 << 30, F.format_string("%.1f MB", x / (1 << 20))).otherwise(F.format_string("%.1f GB", x / (1 << 30)))
+
+
 def ratio_estimate(e: Column) -> Column:
     """The compression ratio that an entropy promises."""
     return F.when(e >= 8, 1.0).when(e <= 0, 100.0).otherwise(F.round(8.0 / F.greatest(e, F.lit(0.1)), 2))

@@ -45,8 +45,7 @@ def stats(items: DataFrame, block: int = BLOCK, id_col: str = "id", content: str
 def reconstruct(recipe: DataFrame, store: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, content) from recipes (id, pos, hash) and a store (hash, data); a missing block makes the content null."""
     parts = recipe.join(store.select("hash", "data"), "hash", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"), F.count(F.when(F.col("data").isNull(), 1)).alias("_lost"))
-    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x.data)), ""))
-    return parts.select(id_col, F.when(F.col("_lost") == 0, joined).alias("content"))
+    return parts.select(id_col, C.joined(F.when(F.col("_lost") == 0, F.col("p.data"))).alias("content"))
 
 
 def missing_blocks(recipe: DataFrame, store: DataFrame) -> DataFrame:
@@ -54,39 +53,35 @@ def missing_blocks(recipe: DataFrame, store: DataFrame) -> DataFrame:
     return recipe.join(store.select("hash"), "hash", "left_anti")
 
 
-def jaccard_pairs(items: DataFrame, block: int = BLOCK, id_col: str = "id", content: str = "content") -> DataFrame:
-    """(a, b, inter, uni, jaccard) of all pairs a < b that share a block, exactly.
-
-    Items with the same set of blocks are compared once: pairs are counted between
-    distinct sets, and spread to the items at the end.
-    """
-    own = blocks(items, block, id_col, content).select(F.col(id_col).alias("id"), "hash").distinct()
+def block_sets(items: DataFrame, block: int = BLOCK, id_col: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """((id, hash, n) of the blocks of each distinct set under its smallest id, (id, head) of every item with blocks)."""
+    own = cut(blocks(items, block, id_col, content).select(F.col(id_col).alias("id"), "hash").distinct())
     sets = cut(own.groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("key"), F.count(F.lit(1)).alias("n")))
-    heads = sets.groupBy("key").agg(F.min("id").alias("head"), F.max("n").alias("n"))
-    of = own.join(heads.select(F.col("head").alias("id"), "n"), "id")
-    left, right = of.toDF("ha", "hash", "na"), of.toDF("hb", "hash", "nb")
-    shared = left.join(right, "hash").where("ha <= hb").groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("inter"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    member = sets.join(heads.select("key", "head"), "key").select("id", "head")
-    spread = shared.join(member.toDF("x", "ha"), "ha").join(member.toDF("y", "hb"), "hb").where("ha <> hb OR x < y")
-    uni = F.col("na") + F.col("nb") - F.col("inter")
-    return spread.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "inter", uni.alias("uni"), F.round(F.col("inter") / uni, 6).alias("jaccard"))
+    heads = cut(sets.groupBy("key").agg(F.min("id").alias("head"), F.max("n").alias("n")))
+    return own.join(heads.select(F.col("head").alias("id"), "n"), "id"), sets.join(heads.select("key", "head"), "key").select("id", "head")
 
 
-def similarity_matrix(ids: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
-    """(i, j, score) of every cell: symmetric, ones on the diagonal, zeros where nothing is shared. Its size is the square of the ids'."""
-    both = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), "jaccard").unionByName(pairs.select(F.col("b").alias("i"), F.col("a").alias("j"), "jaccard"))
-    i, j = ids.select(F.col(id_col).alias("i")), ids.select(F.col(id_col).alias("j"))
-    return i.crossJoin(j).join(both, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("score"))
+def jaccard_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b, inter, uni, jaccard) of all pairs a < b of distinct block sets that share a block, exactly; each stands for all items with its set."""
+    left, right = sets.toDF("a", "hash", "na"), sets.toDF("b", "hash", "nb")
+    shared = left.join(right, "hash").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    uni = F.col("na") + F.col("nb") - F.col("inter")
+    return shared.select("a", "b", "inter", uni.alias("uni"), F.round(F.col("inter") / uni, 6).alias("jaccard"))
 
 
-def similarity_cells(ids: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
-    """(i, j, score): the cells of the matrix over all ids that aren't zero, both ways and the diagonal; every other cell is 0."""
+def similarity_cells(heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, score): the cells of the similarity matrix of representatives (id) that aren't zero, both ways and the diagonal; every other cell is 0."""
     ways = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))
-    shared = pairs.where("a <> b").select(F.explode(ways).alias("w"), F.col("jaccard").alias("score")).select("w.i", "w.j", "score")
-    own = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).distinct()
+    shared = pairs.select(F.explode(ways).alias("w"), F.col("jaccard").alias("score")).select("w.i", "w.j", "score")
+    own = heads.select(F.col("id").alias("i")).distinct()
     return shared.unionByName(own.select("i", F.col("i").alias("j"), F.lit(1.0).alias("score")))
 
 
+def summary(stats: DataFrame) -> DataFrame:
+    """(text): the statistics of a collection in a sentence."""
+    return stats.select(F.format_string("%d files, %s as %s unique: %.2fx, %.1f %% saved, %d of %d blocks repeated", "file_count", C.human_size(F.col("total_original_size")), C.human_size(F.col("total_unique_size")), "dedup_ratio", "saved_pct", "duplicate_blocks", F.col("block_count") + F.col("duplicate_blocks")).alias("text"))
+
+
 def duplicate_groups(items: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
     """(hash, members, first_id) of content that occurs more than once; empty content has no hash and doesn't count."""
     hashed = items.where(C.size_of(F.col(content)) > 0).select(id_col, F.sha2(content, 256).alias("hash"))

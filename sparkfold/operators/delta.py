@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +26,35 @@ def xor_bytes(a: bytes, b: bytes) -> bytes:
     return (x ^ y).tobytes()
 
 
+@lru_cache(maxsize=1)
+def _dictionary(reference: bytes, level: int) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Of the last reference; rows of one reference follow each other after the join with it."""
+    d = zstandard.ZstdCompressionDict(reference, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=level, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+
+
 def encode_one(reference: bytes, target: bytes, level: int = LEVEL, method: str = "zstd_dict") -> tuple[bytes, str]:
+    """(delta, method): by a dictionary, or by XOR if that is asked for or the dictionary can't be used."""
     if method == "zstd_dict":
         try:
-            d = zstandard.ZstdCompressionDict(reference, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(level=level, dict_data=d).compress(target), method
-        except zstandard.ZstdError:
+            return _dictionary(reference, level)[0].compress(target), method
+        except (zstandard.ZstdError, ValueError, MemoryError):
             pass
     return len(target).to_bytes(4, "big") + zstandard.ZstdCompressor(level=level).compress(xor_bytes(reference, target)), "xor"
 
 
 def decode_one(reference: bytes, delta: bytes, method: str, size: int) -> bytes:
     if method == "zstd_dict":
-        d = zstandard.ZstdCompressionDict(reference, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return zstandard.ZstdDecompressor(dict_data=d).decompress(delta, max_output_size=max(size, 1))
+        return _dictionary(reference, LEVEL)[1].decompress(delta, max_output_size=max(size, 1))
     return xor_bytes(reference, zstandard.ZstdDecompressor().decompress(delta[4:], max_output_size=1 << 31))[: int.from_bytes(delta[:4], "big")]
 
 
+@F.arrow_udf(T.BinaryType())
+def xor(a: pa.Array, b: pa.Array) -> pa.Array:
+    """xor_bytes of two columns."""
+    return pa.array([None if x is None or y is None else xor_bytes(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.binary())
+
+
 def encoder(level: int = LEVEL, method: str = "zstd_dict"):
     """(reference, target) to the encoded struct."""
 
@@ -92,12 +105,9 @@ def with_reference(items: DataFrame, refs: DataFrame, group: str, id_col: str =
     return items.select(group, F.col(id_col).alias("id"), F.col(content).alias("content")).join(refs.select(group, "reference_id"), group).where("id <> reference_id").join(chosen, "reference_id")
 
 
-def differing_bytes(a: Column, b: Column) -> Column:
-    """How many bytes of the XOR of two binaries aren't zero, by built-in functions."""
-    n = F.greatest(C.size_of(a), C.size_of(b)).cast("int")
-    x, y = (F.rpad(F.hex(v), n * 2, F.lit("0")) for v in (a, b))
-    pairs = F.zip_with(F.regexp_extract_all(x, F.lit("(..)")), F.regexp_extract_all(y, F.lit("(..)")), lambda p, q: p != q)
-    return F.size(F.filter(pairs, lambda d: d)).cast("long")
+def differing_bytes(mixed: Column) -> Column:
+    """How many bytes of an XOR aren't zero."""
+    return C.size_of(mixed) - F.regexp_count(F.decode(mixed, "ISO-8859-1"), F.lit("\\x00")).cast("long")
 
 
 def savings_percent(original: Column, delta: Column) -> Column:

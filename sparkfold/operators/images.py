@@ -6,8 +6,15 @@ and, where they need neighbours, by image and line, so one large image is many g
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import raster
 
 MAX_PIXELS, MAX_LINES, LINE_SAMPLES, EDGE_ROWS = 50_000, 200, 50, 100
 EDGE, STRIPE, NEIGHBOUR, TOLERANCE = 20, 5, 4, 2
@@ -98,6 +105,55 @@ def features(px: DataFrame) -> DataFrame:
     return out
 
 
+MEASURES = ("w", "h", "mean_brightness", "brightness_std", "palette_size", "unique_color_ratio", "color_entropy", "edge_density", "spatial_uniformity", "horizontal_stripe_score", "vertical_stripe_score", "has_transparency", "is_grayscale")
+_KINDS = {"w": T.IntegerType(), "h": T.IntegerType(), "palette_size": T.LongType(), "has_transparency": T.BooleanType(), "is_grayscale": T.BooleanType()}
+FEATURES = T.StructType([T.StructField(m, _KINDS.get(m, T.DoubleType())) for m in MEASURES])
+
+
+def _stripe(luma: np.ndarray) -> float:
+    """Of lines along the first axis, the share of sampled ones that are much like the next."""
+    lines, length = luma.shape
+    if lines < 2:
+        return 0.0
+    step, gap = max(lines // max(min(lines - 1, MAX_LINES), 1), 1), max(length // LINE_SAMPLES, 1)
+    at = np.arange(0, lines - 1, step)
+    return float((np.abs(luma[at][:, ::gap] - luma[at + 1][:, ::gap]).sum(1) < STRIPE * len(range(0, length, gap))).mean())
+
+
+def measure(px: np.ndarray) -> dict:
+    """The measures of features() of one decoded image, without a row for each pixel."""
+    full = raster.rgba(px)
+    h, w, _ = full.shape
+    rgb = full[..., :3].astype(np.int64)
+    flat = rgb.reshape(-1, 3)
+    key = (flat[:: max(len(flat) // MAX_PIXELS, 1)] * np.array([65536, 256, 1])).sum(1)
+    _, times = np.unique(key, return_counts=True)
+    luma = (19595 * rgb[..., 0] + 38470 * rgb[..., 1] + 7471 * rgb[..., 2] + 32768) >> 16
+    rows = luma[:: max(h // EDGE_ROWS, 1)]
+    edges = np.abs(np.diff(rows, axis=1))
+    bh, bw = max(h // 4, 1), max(w // 4, 1)
+    means = [luma[y * bh : (y + 1) * bh, x * bw : (x + 1) * bw].mean() for y in range(4) for x in range(4) if y * bh < h and x * bw < w]
+    entropy = np.log2(times.sum()) - (times * np.log2(times)).sum() / times.sum()
+    return {
+        "w": w, "h": h, "mean_brightness": round(float(flat.mean(0).mean()), 6), "brightness_std": round(float(flat.std(0).mean()), 6), "palette_size": len(times), "unique_color_ratio": round(len(times) / int(times.sum()), 6),
+        "color_entropy": round(abs(float(entropy)), 6), "edge_density": round(float((edges > EDGE).mean()), 6) if edges.size else 0.0, "spatial_uniformity": round(1 - min(1.0, float(np.var(means)) / 10_000), 6),
+        "horizontal_stripe_score": round(_stripe(luma), 6), "vertical_stripe_score": round(_stripe(luma.T), 6), "has_transparency": bool((full[..., 3] < 255).any()), "is_grayscale": bool((rgb[..., 0] == rgb[..., 1]).all() and (rgb[..., 1] == rgb[..., 2]).all()),
+    }
+
+
+@F.arrow_udf(FEATURES)
+def file_features(content: pa.Array) -> pa.Array:
+    """The measures of PNG and BMP files; null for anything else."""
+    rows = []
+    for v in content:
+        try:
+            rows.append(measure(raster.read(v.as_py())[1]) if v.is_valid else None)
+        except raster.Unreadable:
+            rows.append(None)
+    arrow = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64()}
+    return pa.array(rows, pa.struct([(f.name, arrow[f.dataType]) for f in FEATURES.fields]))
+
+
 #: (content type, SQL score), in the order that decides ties
 CONTENT = (
     ("photograph", "CASE WHEN unique_color_ratio > 0.3 AND color_entropy > 15 THEN 3 ELSE 0 END + CASE WHEN brightness_std > 40 THEN 1 ELSE 0 END"),
@@ -109,19 +165,31 @@ CONTENT = (
 )
 
 
-def classify(found: DataFrame) -> DataFrame:
-    """(img_id, content_type, content_confidence, domain, domain_confidence, generation, generation_confidence) of feature rows with has_transparency and is_grayscale."""
-    f = found.withColumn("stripe", F.greatest("horizontal_stripe_score", "vertical_stripe_score"))
-    scored = F.array(*[F.struct(F.expr(s).cast("double").alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(CONTENT)])
+def classified(rows: DataFrame, image: str) -> DataFrame:
+    """Adds content_type, content_confidence, domain, domain_confidence, generation and generation_confidence of the struct column ``image`` of measures; null where it is."""
+    f = rows.withColumn("_f", F.when(F.col(image).isNotNull(), F.struct(f"{image}.*", F.greatest(f"{image}.horizontal_stripe_score", f"{image}.vertical_stripe_score").alias("stripe"))))
+    names = sorted((*MEASURES, "stripe"), key=len, reverse=True)
+
+    def of(sql: str) -> Column:
+        """The expression over the measures."""
+        return F.expr(re.sub(r"\b(" + "|".join(names) + r")\b(?!')", r"_f.\1", sql))
+
+    scored = F.array(*[F.struct(of(s).cast("double").alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(CONTENT)])
     f = f.withColumn("_all", scored).withColumn("_best", F.array_max("_all")).withColumn("_sum", F.aggregate("_all", F.lit(0.0), lambda a, x: a + x.s))
-    gradient = F.expr("stripe > 0.95 AND edge_density < 0.05")
+    gradient = of("stripe > 0.95 AND edge_density < 0.05")
     kind = F.when(gradient, "gradient").when(F.col("_sum") <= 0, "unknown").otherwise(F.col("_best.name"))
     sure = F.when(gradient, 1.0).when(F.col("_sum") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("_best.s") / F.col("_sum")))
-    f = f.withColumn("content_type", kind).withColumn("content_confidence", F.round(sure, 6))
-    domain = F.expr("CASE WHEN content_type = 'screenshot' THEN named_struct('d', 'ui', 'c', least(1.0D, 1.5D * stripe)) WHEN is_grayscale AND unique_color_ratio > 0.1 THEN named_struct('d', 'medical', 'c', 0.45D) WHEN w > 2000 AND h > 2000 AND color_entropy > 16 THEN named_struct('d', 'satellite', 'c', 0.35D) ELSE named_struct('d', 'general', 'c', 0.9D) END")
-    made = F.expr("CASE WHEN content_type = 'gradient' THEN named_struct('g', 'gradient', 'c', 0.9D) WHEN content_type = 'screenshot' THEN named_struct('g', 'screenshot', 'c', 0.88D) WHEN content_type = 'logo' AND has_transparency THEN named_struct('g', 'vector_render', 'c', 0.75D) WHEN unique_color_ratio > 0.4 AND color_entropy > 16 THEN named_struct('g', 'natural', 'c', 0.85D) WHEN unique_color_ratio < 0.001 AND spatial_uniformity > 0.85 THEN named_struct('g', 'synthetic', 'c', 0.7D) ELSE named_struct('g', 'natural', 'c', 0.55D) END")
-    f = f.withColumn("_d", domain).withColumn("_g", made)
-    return f.select("img_id", "content_type", "content_confidence", F.col("_d.d").alias("domain"), F.round("_d.c", 6).alias("domain_confidence"), F.col("_g.g").alias("generation"), F.col("_g.c").alias("generation_confidence"))
+    there = F.col("_f").isNotNull()
+    f = f.withColumn("content_type", F.when(there, kind)).withColumn("content_confidence", F.when(there, F.round(sure, 6)))
+    domain = of("CASE WHEN content_type = 'screenshot' THEN named_struct('d', 'ui', 'c', least(1.0D, 1.5D * stripe)) WHEN is_grayscale AND unique_color_ratio > 0.1 THEN named_struct('d', 'medical', 'c', 0.45D) WHEN w > 2000 AND h > 2000 AND color_entropy > 16 THEN named_struct('d', 'satellite', 'c', 0.35D) ELSE named_struct('d', 'general', 'c', 0.9D) END")
+    made = of("CASE WHEN content_type = 'gradient' THEN named_struct('g', 'gradient', 'c', 0.9D) WHEN content_type = 'screenshot' THEN named_struct('g', 'screenshot', 'c', 0.88D) WHEN content_type = 'logo' AND has_transparency THEN named_struct('g', 'vector_render', 'c', 0.75D) WHEN unique_color_ratio > 0.4 AND color_entropy > 16 THEN named_struct('g', 'natural', 'c', 0.85D) WHEN unique_color_ratio < 0.001 AND spatial_uniformity > 0.85 THEN named_struct('g', 'synthetic', 'c', 0.7D) ELSE named_struct('g', 'natural', 'c', 0.55D) END")
+    f = f.withColumn("_d", F.when(there, domain)).withColumn("_g", F.when(there, made))
+    return f.withColumns({"domain": F.col("_d.d"), "domain_confidence": F.round("_d.c", 6), "generation": F.col("_g.g"), "generation_confidence": F.col("_g.c")}).drop("_f", "_all", "_best", "_sum", "_d", "_g")
+
+
+def classify(found: DataFrame) -> DataFrame:
+    """(img_id, content_type, content_confidence, domain, domain_confidence, generation, generation_confidence) of feature rows with has_transparency and is_grayscale."""
+    return classified(found.select("img_id", F.struct(*MEASURES).alias("image")), "image").drop("image")
 
 
 def linear_gradients(px: DataFrame) -> DataFrame:

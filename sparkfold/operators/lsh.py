@@ -8,6 +8,7 @@ shingle, the first 8 bytes of its MD5; empty content has no signature and no par
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from sparkfold.functions import content as C
 from sparkfold.functions.lineage import cut, spread
 
+from .columnar import with_position
 from .graph import components
 
 P = (1 << 31) - 1
@@ -49,25 +51,27 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= P, x - P, x)
 
 
+def minima(data: bytes | memoryview, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """The signature of one content; None for an empty one."""
+    best = None
+    for at in range(0, len(data), PIECE):  # pieces share a word, so no shingle is lost between them
+        piece = data[at : at + PIECE + 4]
+        if at and len(piece) < 8:
+            break
+        x = reduced_shingles(piece)
+        best = np.full(len(a), P, np.int64) if best is None else best
+        for lo in range(0, len(x), 2048):  # in parts that stay in the cache
+            best = np.minimum(best, _mod(a[:, None] * x[None, lo : lo + 2048] + b[:, None]).min(1))
+    return best
+
+
 def signature_udf(n: int = PERMUTATIONS, seed: int = 42):
     """Binary content to its n minima; null for empty or null content."""
     a, b = coefficients(n, seed)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def signature(content: pa.Array) -> pa.Array:
-        out = []
-        for v in content:
-            data, best = memoryview(v.as_buffer()) if v.is_valid else b"", None
-            for at in range(0, len(data), PIECE):  # pieces share a word, so no shingle is lost between them
-                piece = data[at : at + PIECE + 4]
-                if at and len(piece) < 8:
-                    break
-                x = reduced_shingles(piece)
-                best = np.full(n, P, np.int64) if best is None else best
-                for lo in range(0, len(x), 2048):  # in parts that stay in the cache
-                    best = np.minimum(best, _mod(a[:, None] * x[None, lo : lo + 2048] + b[:, None]).min(1))
-            out.append(best)
-        return pa.array(out, pa.list_(pa.int64()))
+        return pa.array([minima(memoryview(v.as_buffer()), a, b) if v.is_valid else None for v in content], pa.list_(pa.int64()))
 
     return signature
 
@@ -83,6 +87,20 @@ def signatures(items: DataFrame, id_col: str = "id", content: str = "content", p
     return some.select(F.col(id_col).alias("id"), signature_udf(permutations)(F.col(content)).alias("sig"))
 
 
+def signature_slots(items: DataFrame, id_col: str = "id", content: str = "content", permutations: int = PERMUTATIONS) -> DataFrame:
+    """(id, i, m): the signatures slot by slot. They are rows of one Python pass: a generator over an array column would put a filter on it, and with it the function, before the rows are spread."""
+    a, b = coefficients(permutations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [minima(memoryview(v.as_buffer()), a, b) for v in batch.column(1)]
+            at = np.repeat(np.arange(len(found)), permutations)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.tile(np.arange(permutations, dtype=np.int32), len(found))), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["id", "i", "m"])
+
+    some = spread(items.where(C.size_of(F.col(content)) > 0).select(F.col(id_col).alias("id"), F.col(content).alias("content")))
+    return some.mapInArrow(run, T.StructType([some.schema["id"], *T.StructType.fromDDL("i int, m long").fields]))
+
+
 def band_table(signed: DataFrame, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
     """(id, band, key): the index, an exact key for every band."""
     if permutations % bands:
@@ -117,51 +135,62 @@ def _distinct(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heads.select(F.col("head").alias("id"), "sig"), keyed.select("id", "k").join(heads.select("k", "head"), "k").select("id", "head")
 
 
-def similar_pairs(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """(a, b, jaccard), a < b. Copies are indexed once; their pairs are spread out at the end, as many as the result has."""
-    signed = cut(signatures(items, id_col, content))
-    heads, member = (cut(x) for x in _distinct(signed))
-    near = verified(candidates(band_table(heads, bands)), heads, threshold)
-    near = near.unionByName(heads.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
-    spread = near.join(member.toDF("x", "a"), "a").join(member.toDF("y", "b"), "b").where("a <> b OR x < y")
-    return spread.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+def classes(items: DataFrame, id_col: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """((id, sig, copies) of each distinct signature under its smallest id, (id, head) of every item). Items without an id can't be named and take no part."""
+    heads, member = _distinct(cut(signatures(items.where(F.col(id_col).isNotNull()), id_col, content)))
+    member = cut(member)
+    copies = member.groupBy(F.col("head").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    return cut(heads.join(copies, "id")), member
 
 
-def query_similar(queries: DataFrame, index: DataFrame, id_col: str = "id", content: str = "content", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """(query_id, id, jaccard) of indexed items that are similar to a query; queries aren't inserted."""
-    q, x = signatures(queries, id_col, content), signatures(index, id_col, content)
-    hits = band_table(q, bands).toDF("a", "band", "key").join(band_table(x, bands).toDF("b", "band", "key"), ["band", "key"]).select("a", "b").distinct()
-    one = hits.join(q.toDF("a", "sa"), "a").join(x.toDF("b", "sb"), "b")
-    found = one.select(F.col("a").alias("query_id"), F.col("b").alias("id"), agreement(F.col("sa"), F.col("sb")).alias("j")).where(F.col("j") >= threshold)
-    return found.select("query_id", "id", F.round("j", 4).alias("jaccard"))
+def similar_pairs(heads: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(a, b, jaccard), a < b, of distinct signatures (id, sig): pairs of representatives, however many copies each has."""
+    return verified(candidates(band_table(heads, bands)), heads, threshold)
 
 
-def is_duplicate(queries: DataFrame, index: DataFrame, id_col: str = "id", content: str = "content", threshold: float = DUPLICATE) -> DataFrame:
-    """(query_id, is_duplicate) of every query."""
-    hit = query_similar(queries, index, id_col, content, threshold).select("query_id").distinct()
-    every = queries.select(F.col(id_col).alias("query_id"))
-    return every.join(hit.withColumn("_hit", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
+def links(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): edges that connect all similar items: those of the representatives, and each copy with its own; as many as items and pairs of representatives, not as pairs of copies."""
+    heads, member = classes(items, id_col, content)
+    return similar_pairs(heads, threshold).select("a", "b").unionByName(member.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
 
 
-def query_all(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """(query_id, id, jaccard): every item a query against all others. Items without an id can't be named and take no part."""
-    pairs = similar_pairs(items.where(F.col(id_col).isNotNull()), id_col, content, threshold, bands).where("a <> b")
-    ways = F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("id")))
-    return pairs.select(F.explode(ways).alias("w"), "jaccard").select("w.query_id", "w.id", "jaccard")
+def query_similar(queries: DataFrame, heads: DataFrame, member: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(query_id, id, jaccard, copies): for ids of indexed items (id), the similar representatives and how many other items each stands for."""
+    asked = member.join(queries.select("id"), "id").withColumnRenamed("id", "query_id")
+    own = asked.select("head").distinct()
+    keys = band_table(heads.select("id", "sig"), bands)
+    mine = keys.join(own.withColumnRenamed("head", "id"), "id")
+    hits = mine.toDF("a", "band", "key").join(keys.toDF("b", "band", "key"), ["band", "key"]).where("a <> b").select("a", "b").distinct()
+    near = verified(hits, heads.select("id", "sig"), threshold).unionByName(own.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("jaccard")))
+    found = asked.join(near.withColumnRenamed("a", "head"), "head").join(heads.select(F.col("id").alias("b"), "copies"), "b")
+    others = F.col("copies") - F.when(F.col("b") == F.col("head"), 1).otherwise(0)
+    return found.select("query_id", F.col("b").alias("id"), "jaccard", others.alias("copies")).where("copies > 0")
 
 
-def duplicates_all(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = DUPLICATE, bands: int = BANDS) -> DataFrame:
+def duplicates(items: DataFrame, id_col: str = "id", content: str = "content", threshold: float = DUPLICATE, bands: int = BANDS) -> DataFrame:
     """(query_id, is_duplicate) of every row, against all other rows; rows are matched by their signatures, so null and repeated ids take part."""
     key = F.sha2(F.array_join("sig", "-"), 256)
     signed = cut(signatures(items, id_col, content).select(F.col("id").alias("query_id"), "sig", key.alias("k")))
     heads = cut(signed.groupBy(F.col("k").alias("id")).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")))
-    near = verified(candidates(band_table(heads, bands)), heads.select("id", "sig"), threshold)
+    near = similar_pairs(heads.select("id", "sig"), threshold, bands)
     hit = heads.where("n > 1").select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     found = signed.join(hit.select(F.col("id").alias("k"), F.lit(True).alias("_hit")), "k", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("is_duplicate"))
     blank = items.where(F.coalesce(C.size_of(F.col(content)), F.lit(0)) == 0).select(F.col(id_col).alias("query_id"), F.lit(False).alias("is_duplicate"))
     return found.unionByName(blank)
 
 
+def most_similar(pairs: DataFrame, n: int | None = None) -> DataFrame:
+    """Pairs by falling similarity, then by their ids; with ``n``, the first of them."""
+    order = pairs.orderBy(F.desc("jaccard"), "a", "b")
+    return order if n is None else order.limit(n)
+
+
+def numbered_clusters(clustered: DataFrame) -> DataFrame:
+    """(cluster_id, cluster_root, size): clusters numbered from the largest down, of equally large ones the smallest root first."""
+    sizes = clustered.groupBy("cluster_root").agg(F.count(F.lit(1)).alias("size")).withColumn("_by", F.struct((-F.col("size")).alias("n"), "cluster_root"))
+    return with_position(sizes, "_by", "cluster_id").select("cluster_id", "cluster_root", "size")
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster_root) of every item in a pair; the root is the smallest id."""
     found = components(pairs.select("a", "b"))

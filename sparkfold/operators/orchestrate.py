@@ -8,43 +8,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
-
-from . import codecs, formats, selection
-
-EXCELLENT = 50.0
-KEPT = T.StructType([T.StructField("strategy", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("tried", T.IntegerType()), T.StructField("errors", T.ArrayType(T.StringType()))])
-_KEPT = pa.struct([("strategy", pa.string()), ("payload", pa.binary()), ("tried", pa.int32()), ("errors", pa.list_(pa.string()))])
+from sparkfold.functions.lineage import spread
+from sparkfold.sources import archives
+
+from . import codecs, formats, images, selection
+
+EXCELLENT, MEMORY_MB = 50.0, 512
+KEPT = T.StructType([T.StructField("strategy", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("tried", T.IntegerType()), T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("verified", T.StringType()), T.StructField("restored_hash", T.StringType())])
+_KEPT = pa.struct([("strategy", pa.string()), ("payload", pa.binary()), ("tried", pa.int32()), ("errors", pa.list_(pa.string())), ("verified", pa.string()), ("restored_hash", pa.string())])
+#: (condition, note) on an analysed row
+NOTES = (
+    ("is_random", "no redundancy left: compressed, encrypted or random"),
+    ("entropy > 7.5 AND NOT is_random", "little redundancy left"),
+    ("content_type = 'gradient'", "a gradient: two colours can stand for all pixels"),
+    ("content_type = 'screenshot'", "a screenshot: flat areas and repeated glyphs"),
+    ("format_type IN ('DOCX', 'XLSX', 'PPTX')", "an archive of parts, which can be compressed one by one"),
+    ("format_type = 'PDF'", "streams inside are deflated already"),
+    ("category = 'medical'", "medical images need a lossless codec"),
+    ("size = 0", "empty"),
+)
 
 
 def analyse(files: DataFrame) -> DataFrame:
-    """(path, content) with format, entropy, hints and the recommended strategy beside each file."""
-    shaped = formats.detect(files.withColumn("header", C.slice_of(F.col("content"), 0, 256))).drop("header")
+    """(path, content) with format, entropy, image class, hints, notes and the recommended strategy beside each file.
+
+    Archives are looked into for what they hold, PNG and BMP files for their pixels; other
+    images have no class.
+    """
+    looked = files.withColumns({"header": C.slice_of(F.col("content"), 0, 256), "members": archives.member_names(F.col("content"))})
+    shaped = formats.detect(looked, members="members").drop("header", "members")
     e = F.col("entropy")
     rows = shaped.withColumns({"size": C.size_of(F.col("content")), "entropy": C.entropy(F.col("content"))})
-    rows = rows.withColumns({"est_ratio": C.ratio_estimate(e), "label": C.compressibility_label(e), "is_random": C.is_random(e)})
-    none = {"content_type": F.lit(None).cast("string"), "content_confidence": F.lit(None).cast("double"), "generation": F.lit(None).cast("string"), "generation_confidence": F.lit(None).cast("double")}
-    rows = rows.withColumnsRenamed({"type": "format_type", "confidence": "format_confidence"}).withColumns(none)
+    rows = rows.withColumns({"est_ratio": C.ratio_estimate(e), "label": C.compressibility_label(e), "is_random": C.is_random(e), "is_highly_compressible": C.is_highly_compressible(e)})
+    rows = rows.withColumnsRenamed({"type": "format_type", "confidence": "format_confidence"})
+    rows = images.classified(rows.withColumn("image", images.file_features(F.col("content"))), "image")
     hinted = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in selection.HINTS]))
-    return rows.withColumn("hints", hinted).withColumn("recommended", F.coalesce(F.try_element_at("hints", F.lit(1)), F.lit(selection.FALLBACK))).drop(*none)
+    noted = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(note)) for c, note in NOTES]))
+    return rows.withColumns({"hints": hinted, "notes": noted}).withColumn("recommended", F.coalesce(F.try_element_at("hints", F.lit(1)), F.lit(selection.FALLBACK)))
+
 
+def summary(analysed: DataFrame) -> DataFrame:
+    """(path, text): each file in a sentence."""
+    image = F.when(F.col("content_type").isNotNull(), F.format_string("; %s image of %d x %d", "content_type", F.col("image.w"), F.col("image.h"))).otherwise("")
+    text = F.concat(F.format_string("%s (%s), %s, entropy %.3f (%s), about %.2fx", "format_type", "mime_type", C.human_size(F.col("size")), "entropy", "label", "est_ratio"), image, F.lit("; try "), F.array_join("hints", ", "))
+    return analysed.select("path", text.alias("text"))
 
-def _strategies() -> Column:
-    """The ranked names of registered strategies for an analysed row, without a shuffle: rules in order of priority, the fallback last."""
-    rules = [(s, c) for s, c, _, _ in sorted(selection.RULES, key=lambda r: r[3]) if s in codecs.CODECS and s != selection.FALLBACK]
-    given = [F.when(F.expr(c), F.lit(s)) for s, c in rules if "content_type" not in c]
-    return F.array_distinct(F.array_compact(F.array(*given, F.lit(selection.FALLBACK))))
+
+def strategies(memory_mb: int = MEMORY_MB) -> Column:
+    """The ranked names of registered strategies that fit the memory, for an analysed row; the fallback stays."""
+    fits = [n for n in codecs.CODECS if selection.MEMORY_MB.get(n, selection.MEMORY_DEFAULT_MB) <= memory_mb or n == selection.FALLBACK]
+    return F.transform(selection.ranking(fits), lambda x: x.strategy)
 
 
 @F.arrow_udf(KEPT)
-def _best(content: pa.Array, strategies: pa.Array) -> pa.Array:
+def _best(content: pa.Array, names: pa.Array) -> pa.Array:
     """The best verified attempt; the first at EXCELLENT ends the search, the first of equals wins."""
     out = []
-    for v, names in zip(content, strategies.to_pylist(), strict=True):
+    for v, order in zip(content, names.to_pylist(), strict=True):
         if not v.is_valid:
             out.append(None)
             continue
-        data, best, errors = v.as_py(), None, []
-        for i, name in enumerate(names):
+        data, best, errors, tried = v.as_py(), None, [], 0
+        for i, name in enumerate(order):
+            tried += 1
             a = codecs.attempt(codecs.codec(name), data, i)
             if a["error"] or not a["lossless"]:
                 errors.append(f"{name}: {a['error'] or 'not lossless'}")
@@ -54,16 +80,27 @@ def _best(content: pa.Array, strategies: pa.Array) -> pa.Array:
                 best = (ratio, a)
             if ratio >= EXCELLENT:
                 break
-        out.append({"strategy": best[1]["strategy"], "payload": best[1]["packed"], "tried": i + 1, "errors": errors} if best else {"strategy": None, "payload": None, "tried": len(names), "errors": errors})
+        a = best[1] if best else {}
+        out.append({"strategy": a.get("strategy"), "payload": a.get("packed"), "tried": tried, "errors": errors, "verified": a.get("verified"), "restored_hash": a.get("restored_hash")})
     return pa.array(out, _KEPT)
 
 
-def compress(files: DataFrame) -> DataFrame:
-    """(name, original_size, strategy, metadata, payload, tried, errors): rows that the container source writes. A file that nothing takes has a null strategy."""
-    rows = analyse(files).withColumn("strategies", _strategies()).withColumn("k", _best(F.col("content"), F.col("strategies")))
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    meta = F.map_from_arrays(F.array(F.lit("path"), F.lit("format"), F.lit("content_sha256")), F.array(F.col("path"), F.col("format_type"), F.sha2("content", 256)))
-    return rows.select(name.alias("name"), F.col("size").alias("original_size"), "k.strategy", meta.alias("metadata"), "k.payload", "k.tried", "k.errors")
+def relative(path: Column, root: str | None) -> Column:
+    """The path below the root; without one all of it but the scheme. Two files of one source never have the same."""
+    plain = F.regexp_replace(path, "^[A-Za-z0-9]+:/*", "")
+    if root is None:
+        return F.regexp_replace(plain, "^/+", "")
+    base = root.split(":", 1)[-1].strip("/")
+    inside = F.when(plain == base, F.element_at(F.split(plain, "/"), -1)).when(plain.startswith(base + "/"), F.substr(plain, F.lit(len(base) + 2)))
+    return F.coalesce(inside, plain)
+
+
+def compress(files: DataFrame, root: str | None = None, memory_mb: int = MEMORY_MB) -> DataFrame:
+    """(name, original_size, strategy, metadata, payload, tried, errors): rows that the container source writes, named by their paths below ``root``. A file that nothing takes has a null strategy."""
+    rows = spread(analyse(files).withColumn("strategies", strategies(memory_mb))).withColumn("k", _best(F.col("content"), F.col("strategies")))
+    keys = ("path", "format", "content_sha256", "verified", "restored_sha256")
+    meta = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(F.col("path"), F.col("format_type"), F.sha2("content", 256), F.col("k.verified"), F.col("k.restored_hash")))
+    return rows.select(relative(F.col("path"), root).alias("name"), F.col("size").alias("original_size"), "k.strategy", meta.alias("metadata"), "k.payload", "k.tried", "k.errors")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -72,7 +109,7 @@ def _restore(payload: pa.Array, strategy: pa.Array) -> pa.Array:
 
 
 def decompress(rows: DataFrame) -> DataFrame:
-    """(name, content, verified) of container rows."""
+    """(name, content, verified) of container rows: whether the content is what it was checked to be when it was compressed."""
     back = rows.withColumn("content", _restore(F.col("payload"), F.col("strategy")))
-    return back.select("name", "content", F.coalesce(F.sha2("content", 256) == F.try_element_at("metadata", F.lit("content_sha256")), F.lit(False)).alias("verified"))
-
+    want = F.coalesce(F.try_element_at("metadata", F.lit("restored_sha256")), F.try_element_at("metadata", F.lit("content_sha256")))
+    return back.select("name", "content", F.coalesce(F.sha2("content", 256) == want, F.lit(False)).alias("verified"))

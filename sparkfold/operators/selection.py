@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codecs import CODECS
+
 #: Strategies with an implementation that is registered by default.
-REGISTERED = ("procedural_gradient", "semantic_json", "semantic_pdf", "traditional_brotli", "traditional_lzma", "traditional_zstd")
+REGISTERED = tuple(sorted(CODECS))
 FALLBACK = "traditional_zstd"
 #: (strategy, condition, estimated ratio, priority)
 RULES = (
@@ -46,10 +48,16 @@ def hints(reports: DataFrame) -> DataFrame:
     return reports.select("file_id", each.alias("hints")).withColumn("recommended", F.coalesce(F.try_element_at("hints", F.lit(1)), F.lit(FALLBACK)))
 
 
+def _proposed(names: Sequence[str] | None = None) -> Column:
+    """The candidates of a report row as an array, of the named strategies only."""
+    rules = [r for r in RULES if names is None or r[0] in names]
+    each = [F.when(F.expr(c), F.struct(F.lit(p).alias("priority"), (-F.expr(r).cast("double")).alias("_less"), F.lit(s).alias("strategy"))) for s, c, r, p in rules]
+    return F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<priority:int,_less:double,strategy:string>>")
+
+
 def candidates(reports: DataFrame) -> DataFrame:
     """(file_id, strategy, est_ratio, priority) of every rule that applies."""
-    rules = F.array_compact(F.array(*[F.when(F.expr(c), F.struct(F.lit(s).alias("strategy"), F.expr(r).cast("double").alias("est_ratio"), F.lit(p).alias("priority"))) for s, c, r, p in RULES]))
-    return reports.select("file_id", F.explode(rules).alias("c")).select("file_id", "c.*")
+    return reports.select("file_id", F.explode(_proposed()).alias("c")).select("file_id", "c.strategy", (-F.col("c._less")).alias("est_ratio"), "c.priority")
 
 
 def registered(found: DataFrame, names: Sequence[str] = REGISTERED) -> DataFrame:
@@ -57,14 +65,18 @@ def registered(found: DataFrame, names: Sequence[str] = REGISTERED) -> DataFrame
     return found.where(F.col("strategy").isin(*names))
 
 
+def ranking(names: Sequence[str] = REGISTERED) -> Column:
+    """Of a report row, its candidates in order: by priority, estimate downwards, name; a strategy once, the fallback last if no rule gave it. At most as many as rules, so it is ranked in the row."""
+    found = F.array_sort(_proposed(names))
+    first = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: y.strategy == x.strategy))
+    last = F.struct(F.lit(999).alias("priority"), (-F.col("est_ratio").cast("double")).alias("_less"), F.lit(FALLBACK).alias("strategy"))
+    return F.when(F.exists(found, lambda x: x.strategy == FALLBACK), first).otherwise(F.concat(first, F.array(last)))
+
+
 def ranked(reports: DataFrame, names: Sequence[str] = REGISTERED) -> DataFrame:
-    """(file_id, rank, strategy, priority, est_ratio): one row a strategy, the fallback last if no rule gave it."""
-    found = registered(candidates(reports), names)
-    best = Window.partitionBy("file_id", "strategy").orderBy("priority", F.desc("est_ratio"))
-    found = found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
-    lacking = reports.join(found.where(F.col("strategy") == FALLBACK), "file_id", "left_anti").select("file_id", F.lit(FALLBACK).alias("strategy"), "est_ratio", F.lit(999).alias("priority"))
-    order = Window.partitionBy("file_id").orderBy("priority", F.desc("est_ratio"), "strategy")
-    return found.unionByName(lacking).withColumn("rank", F.row_number().over(order)).select("file_id", "rank", "strategy", "priority", "est_ratio")
+    """(file_id, rank, strategy, priority, est_ratio) of each file's candidates; one scan, no shuffle."""
+    each = reports.select("file_id", F.posexplode(ranking(names)).alias("p", "c"))
+    return each.select("file_id", (F.col("p") + 1).alias("rank"), "c.strategy", "c.priority", (-F.col("c._less")).alias("est_ratio"))
 
 
 def within_memory(found: DataFrame, budget_mb: int) -> DataFrame:

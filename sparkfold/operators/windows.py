@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
+from sparkfold.functions.lineage import spread
+
+from . import codecs
 
 WINDOW = 16 << 20
 LEVEL = 19
+VERSION = "1.0"
 
 
 def split(items: DataFrame, window: int = WINDOW, id_col: str = "id", content: str = "content") -> DataFrame:
@@ -25,31 +29,43 @@ def split(items: DataFrame, window: int = WINDOW, id_col: str = "id", content: s
     return rows.select(id_col, "window_index", "original_offset", C.size_of(F.col("data")).alias("original_size"), F.sha2("data", 256).alias("checksum"), "data")
 
 
-def packer(level: int = LEVEL):
+def packer(level: int = LEVEL, codec: str | None = None):
+    """zstd of a level, or a codec by its name."""
+    named = codecs.codec(codec) if codec else None
+    if named and not named.streaming:
+        raise ValueError(f"{codec} doesn't take windows")
+
     @F.arrow_udf(T.BinaryType())
     def pack(data: pa.Array) -> pa.Array:
+        if named:
+            return pa.array([named.compress(v.as_py()) if v.is_valid else None for v in data], pa.binary())
         z = zstandard.ZstdCompressor(level=level)
         return pa.array([z.compress(v.as_buffer()) if v.is_valid else None for v in data], pa.binary())
 
     return pack
 
 
-@F.arrow_udf(T.BinaryType())
-def unpack(packed: pa.Array, size: pa.Array, checksum: pa.Array) -> pa.Array:
+def unpacker(codec: str | None = None):
     """The window's bytes; null if it can't be read or its checksum is another."""
-    out, z = [], zstandard.ZstdDecompressor()
-    for v, n, want in zip(packed, size.to_pylist(), checksum.to_pylist(), strict=True):
-        try:
-            data = z.decompress(v.as_buffer(), max_output_size=max(n, 1)) if v.is_valid else None
-        except zstandard.ZstdError:
-            data = None
-        out.append(data if data is not None and hashlib.sha256(data).hexdigest() == want else None)
-    return pa.array(out, pa.binary())
+    named = codecs.codec(codec) if codec else None
+
+    @F.arrow_udf(T.BinaryType())
+    def unpack(packed: pa.Array, size: pa.Array, checksum: pa.Array) -> pa.Array:
+        out, z = [], zstandard.ZstdDecompressor()
+        for v, n, want in zip(packed, size.to_pylist(), checksum.to_pylist(), strict=True):
+            try:
+                data = None if not v.is_valid else named.decompress(v.as_py()) if named else z.decompress(v.as_buffer(), max_output_size=max(n, 1))
+            except (zstandard.ZstdError, ValueError):
+                data = None
+            out.append(data if data is not None and hashlib.sha256(data).hexdigest() == want else None)
+        return pa.array(out, pa.binary())
+
+    return unpack
 
 
-def compress(windows: DataFrame, level: int = LEVEL) -> DataFrame:
+def compress(windows: DataFrame, level: int = LEVEL, codec: str | None = None) -> DataFrame:
     """Adds packed and compressed_size, drops data."""
-    done = windows.withColumn("packed", packer(level)(F.col("data"))).drop("data")
+    done = spread(windows).withColumn("packed", packer(level, codec)(F.col("data"))).drop("data")
     return done.withColumn("compressed_size", C.size_of(F.col("packed")))
 
 
@@ -73,13 +89,26 @@ def seek(windows: DataFrame, index: int) -> DataFrame:
     return windows.where(F.col("window_index") == index)
 
 
-def restore(packed: DataFrame, id_col: str = "id") -> DataFrame:
+def restore(packed: DataFrame, id_col: str = "id", codec: str | None = None) -> DataFrame:
     """(id, content): all windows in order; null if one is broken or missing."""
-    data = packed.select(id_col, "window_index", unpack("packed", "original_size", "checksum").alias("data"))
+    data = packed.select(id_col, "window_index", unpacker(codec)("packed", "original_size", "checksum").alias("data"))
     whole = data.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("window_index", "data"))).alias("w"), F.count("data").alias("ok"), (F.max("window_index") + 1).alias("n"))
-    joined = F.unhex(F.array_join(F.transform("w", lambda x: F.hex(x.data)), ""))
-    return whole.select(id_col, F.when(F.col("ok") == F.col("n"), joined).alias("content"))
+    return whole.select(id_col, C.joined(F.when(F.col("ok") == F.col("n"), F.col("w.data"))).alias("content"))
 
 
 def checked(data: Column, checksum: Column) -> Column:
     return F.sha2(data, 256) == checksum
+
+
+def manifest_json(windows: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, manifest): totals and windows of each item as JSON, of rows that manifest() made."""
+    one = F.struct("window_index", "original_offset", "original_size", "compressed_size", "stream_offset", "checksum")
+    rows = windows.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("windows"), F.sum("original_size").alias("total_original_size"), F.sum("compressed_size").alias("total_compressed_size"), F.count(F.lit(1)).alias("window_count"))
+    return rows.select(id_col, F.to_json(F.struct(F.lit(VERSION).alias("format_version"), "total_original_size", "total_compressed_size", "window_count", "windows")).alias("manifest"))
+
+
+def manifest_rows(manifests: DataFrame, id_col: str = "id") -> DataFrame:
+    """The windows of manifests (id, manifest), with the format version; the way back from manifest_json."""
+    kind = "format_version string, windows array<struct<window_index:int,original_offset:long,original_size:long,compressed_size:long,stream_offset:long,checksum:string>>"
+    m = manifests.select(id_col, F.from_json("manifest", kind).alias("m")).select(id_col, "m.format_version", F.explode("m.windows").alias("w"))
+    return m.select(id_col, "format_version", "w.*")

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
-from sparkfold.operators import codecs, columnar, grid
+from sparkfold.operators import codecs, columnar, grid, selection
 
 from .common import contents, query, table, values
 
 #: Rows of events as JSON, the same text in both engines: one key is rare, one null at times.
 _JSON = """'{"id": ' || event_id || ', "type": "' || event_type || '", "ratio": ' || (event_id % 7) || '.5, "even": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN event_id % 8 = 0 THEN '' ELSE ', "user": ' || user_id END || CASE WHEN event_id % 3 = 0 THEN ', "note": null' ELSE ', "note": "n' || (event_id % 5) || '"' END || '}'"""
 _ROWS = f"(SELECT event_id AS pos, {_JSON} AS json FROM events)"
-_KEYS = f"(SELECT pos, k, json_type(json, '$.' || k) AS t FROM (SELECT pos, json, unnest(json_keys(json)) AS k FROM {_ROWS} WHERE pos < 100))"
+_KEYS = f"(SELECT pos, k, json_type(json, '$.' || k) AS t FROM (SELECT pos, json, unnest(json_keys(json)) AS k FROM {_ROWS}))"
 _SCHEMA = f"""(SELECT k AS key, count(*) AS n_present,
-    CASE WHEN i >= f AND i >= s AND i >= b THEN 'int' WHEN f >= s AND f >= b THEN 'float' WHEN s >= b THEN 'str' ELSE 'bool' END AS dominant_type, count(*) >= 0.9 * (SELECT count(*) FROM {_ROWS} WHERE pos < 100) AS kept
+    CASE WHEN i >= f AND i >= s AND i >= b THEN 'int' WHEN f >= s AND f >= b THEN 'float' WHEN s >= b THEN 'str' ELSE 'bool' END AS dominant_type, count(*) >= 0.9 * (SELECT count(*) FROM {_ROWS}) AS kept
     FROM (SELECT k, sum((t IN ('BIGINT', 'UBIGINT'))::INT) OVER w AS i, sum((t = 'DOUBLE')::INT) OVER w AS f, sum((t IN ('VARCHAR', 'OBJECT', 'ARRAY'))::INT) OVER w AS s, sum((t = 'BOOLEAN')::INT) OVER w AS b FROM {_KEYS} WINDOW w AS (PARTITION BY k)) GROUP BY k, i, f, s, b)"""
 
 
@@ -27,44 +27,37 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM {_SCHEMA}")
 def json_infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columnar.infer_schema(_rows(spark, sf_dir))
-
-
-@query(f"SELECT count(*) AS all_keys, sum(kept::INT)::BIGINT AS kept_keys, sum(kept::INT) >= 0.9 * count(*) AS is_uniform FROM {_SCHEMA}")
-def json_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columnar.uniformity(columnar.infer_schema(_rows(spark, sf_dir)))
-
-
-_SCHEMA_ALL = _SCHEMA.replace(" WHERE pos < 100", "")
-
-
-@query(f"SELECT * FROM {_SCHEMA_ALL}")
-def json_infer_schema_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema of all rows."""
     return columnar.infer_schema(_rows(spark, sf_dir), sample=None)
 
 
-@query(f"SELECT count(*) AS all_keys, sum(kept::INT)::BIGINT AS kept_keys, sum(kept::INT) >= 0.9 * count(*) AS is_uniform FROM {_SCHEMA_ALL}")
-def json_uniformity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT count(*) AS all_keys, sum(kept::INT)::BIGINT AS kept_keys, sum(kept::INT) >= 0.9 * count(*) AS is_uniform FROM {_SCHEMA}")
+def json_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columnar.uniformity(columnar.infer_schema(_rows(spark, sf_dir), sample=None))
 
 
-@query(f"SELECT pos, (json->>'$.id')::BIGINT AS id, json->>'$.type' AS type, (json->>'$.ratio')::DOUBLE AS ratio, (json->>'$.even')::BOOLEAN AS even, json->>'$.note' AS note, 0 AS bad_values FROM {_ROWS}")
+@query(f"SELECT pos, (json->>'$.id')::BIGINT AS id, json->>'$.type' AS type, (json->>'$.ratio')::DOUBLE AS ratio, (json->>'$.even')::BOOLEAN AS even, json->>'$.note' AS note, 0 AS bad_values, CASE WHEN json_exists(json, '$.user') THEN '{{\"user\":' || (json->>'$.user') || '}}' END AS rest FROM {_ROWS}")
 def json_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept keys of all rows as typed columns; the schema is the plan's only input from the driver."""
+    """The kept keys of all rows as typed columns, and every other key in a column of JSON; the schema is the plan's only input from the driver."""
     rows = _rows(spark, sf_dir)
-    return columnar.to_columns(rows, _kept(rows))
+    kept = {r["key"]: r["dominant_type"] for r in columnar.infer_schema(rows, sample=None).where("kept").orderBy("key").collect()}
+    return columnar.to_columns(rows, kept, rest="rest")
 
 
-def _kept(rows: DataFrame) -> dict[str, str]:
-    return {r["key"]: r["dominant_type"] for r in columnar.infer_schema(rows, sample=None).where("kept").orderBy("key").collect()}
+#: An array of 60 objects of one form for each user, and its text as it must come back.
+_TABLES = f"(SELECT user_id, '[' || string_agg('{{\"id\": ' || event_id || ', \"type\": \"' || event_type || '\", \"half\": ' || (event_id // 2) || '.5}}', ', ' ORDER BY event_id) || ']' AS json, count(*) AS n FROM events GROUP BY user_id)"
 
 
-@query(f"SELECT pos, (json->>'$.id')::BIGINT AS id, json->>'$.type' AS type, (json->>'$.ratio')::DOUBLE AS ratio, (json->>'$.even')::BOOLEAN AS even, json->>'$.note' AS note, 0 AS bad_values, CASE WHEN json_exists(json, '$.user') THEN '{{\"user\":' || (json->>'$.user') || '}}' END AS rest FROM {_ROWS}")
-def json_transpose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept keys as typed columns, and every other key in a column of JSON."""
-    rows = _rows(spark, sf_dir)
-    return columnar.to_columns(rows, _kept(rows), rest="rest")
+@query(f"SELECT user_id, octet_length(encode(json)) AS original_size, sha256(encode(json)) AS restored_hash, CASE WHEN octet_length(encode(json)) < 2048 THEN 'too short' WHEN n < 10 THEN 'not a table' END AS refused FROM {_TABLES}")
+def json_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a JSON table through the columnar codec; short ones are refused."""
+    one = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "type": "'), F.col("event_type"), F.lit('", "half": '), F.expr("event_id div 2").cast("string"), F.lit(".5}"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", one.alias("j")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "j"))).alias("r"))
+    text = rows.select("user_id", C.utf8(F.concat(F.lit("["), F.array_join(F.col("r.j"), ", "), F.lit("]"))).alias("content"))
+    tries = codecs.attempts(text, ["semantic_json"], "user_id")
+    both = text.join(tries.withColumnRenamed("file_id", "user_id"), "user_id")
+    why = F.regexp_extract("error", "^Unsuitable: (.*)$", 1)
+    return both.select("user_id", "original_size", F.coalesce("restored_hash", F.sha2("content", 256)).alias("restored_hash"), F.when(F.col("error").isNotNull(), why).alias("refused"))
 
 
 _DELTA = "(SELECT event_id AS pos, user_id AS v, user_id - coalesce(lag(user_id) OVER (ORDER BY event_id), 0) AS d FROM events)"
@@ -157,15 +150,19 @@ def encoded_size_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT user_id, count(*) AS n, true AS equal FROM events GROUP BY user_id")
+#: The bits of a double as 16 hex digits, most significant first.
+_BITS = "lpad(hex((value::BIT)::UBIGINT), 16, '0')"
+
+
+@query(f"SELECT user_id, count(*) AS n, sha256(unhex(string_agg({_BITS}, '' ORDER BY value))) AS packed_hash, max(value) AS greatest FROM events GROUP BY user_id")
 def float_pack_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The big-endian form of each user's values, and the greatest of what it gives back."""
     v = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    packed = v.select("user_id", "v", columnar.pack_doubles(F.col("v")).alias("b"))
-    back = packed.select("user_id", "v", (F.octet_length("b") / 8).cast("long").alias("n"), columnar.unpack_doubles(F.col("b")).alias("w"))
-    return back.select("user_id", "n", (F.col("v") == F.col("w")).alias("equal"))
+    packed = v.select("user_id", columnar.pack_doubles(F.col("v")).alias("b"))
+    return packed.select("user_id", (F.octet_length("b") / 8).cast("long").alias("n"), F.sha2("b", 256).alias("packed_hash"), F.array_max(columnar.unpack_doubles(F.col("b"))).alias("greatest"))
 
 
-_SAME = "SELECT doc_id, octet_length(encode(text)) AS original_size, true AS lossless FROM documents"
+_SAME = "SELECT doc_id, octet_length(encode(text)) AS original_size, sha256(encode(text)) AS restored_hash, true AS lossless FROM documents"
 
 
 @query(_SAME)
@@ -178,78 +175,121 @@ def codec_roundtrip_lzma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.roundtrip(contents(spark, sf_dir), "traditional_lzma", "doc_id")
 
 
-@query("SELECT doc_id AS file_id, octet_length(encode(text)) AS original_size, true AS lossless, true AS no_worse FROM documents")
-def codec_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempt that is kept of each document is verified and no worse than any other verified one."""
-    tries = codecs.attempts(contents(spark, sf_dir), ["traditional_zstd", "traditional_lzma"], "doc_id", excellent=1e9)
-    ratio = F.try_divide("original_size", "compressed_size")
-    kept = tries.groupBy("file_id").agg(F.max_by(F.struct("original_size", "lossless", ratio.alias("r")), F.when(F.col("lossless"), ratio)).alias("k"), F.max(F.when(F.col("lossless"), ratio)).alias("m"))
-    return kept.select("file_id", "k.original_size", "k.lossless", F.coalesce(F.col("k.r") >= F.col("m"), F.lit(False)).alias("no_worse"))
-
+@query(_SAME)
+def codec_roundtrip_delta_run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.roundtrip(contents(spark, sf_dir), "delta_run_length", "doc_id")
 
-@query("SELECT doc_id, 1 AS version, octet_length(encode(text)) AS original_size, 'traditional_zstd' AS strategy, true AS restored, true AS damage_caught FROM documents")
-def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content in containers and back, and a container with a changed byte."""
-    from sparkfold.sources import container
 
-    kind = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("strategy", T.StringType()), T.StructField("original_size", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("damage_caught", T.BooleanType())])
-    zstd = codecs.codec("traditional_zstd")
+_TEXTS = "(SELECT doc_id AS file_id, octet_length(encode(text)) AS file_size, hex(encode(text)) AS h, sha256(encode(text)) AS hash FROM documents)"
 
-    @F.arrow_udf(kind)
-    def there_and_back(content: pa.Array) -> pa.Array:
-        rows = []
-        for v in content.to_pylist():
-            box = container.pack(zstd.compress(v), len(v), zstd.name)
-            c = container.unpack(box)
-            rows.append({"version": c["version"], "strategy": c["strategy"], "original_size": c["original_size"], "content": codecs.codec(c["strategy"]).decompress(c["payload"]), "damage_caught": not container.validate(box[:-1] + bytes([box[-1] ^ 1]))})
-        return pa.array(rows, pa.struct([("version", pa.int32()), ("strategy", pa.string()), ("original_size", pa.int64()), ("content", pa.binary()), ("damage_caught", pa.bool_())]))
 
-    d = contents(spark, sf_dir).select("doc_id", "content", there_and_back("content").alias("c"))
-    return d.select("doc_id", "c.version", "c.original_size", "c.strategy", (F.col("c.content") == F.col("content")).alias("restored"), "c.damage_caught")
+def _runs(h: str, name: str) -> str:
+    """Of rows (file_id, i, b), the bytes of run lengths."""
+    return f"{name} AS MATERIALIZED (SELECT file_id, sum(2 * ((len + 254) // 255))::BIGINT AS n FROM (SELECT file_id, run, count(*) AS len FROM (SELECT file_id, i, sum(fresh) OVER (PARTITION BY file_id ORDER BY i) AS run FROM (SELECT file_id, i, CASE WHEN b = lag(b) OVER (PARTITION BY file_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM {h})) GROUP BY ALL) GROUP BY file_id)"
 
 
-#: Stand-in measures that depend on the row only, so that reports can be compared.
-_STRATEGIES = ("traditional_zstd", "traditional_lzma", "traditional_brotli")
-_MEASURES = {
-    "compressed_size": "CAST(1 + file_size * (3 + (file_id + length(strategy)) % 7) / 20 AS BIGINT)",
-    "compression_ms": "CAST(file_size AS DOUBLE) / (100 + length(strategy))",
-    "decompression_ms": "CASE WHEN file_id % 11 = 0 THEN 0.0 ELSE CAST(file_size AS DOUBLE) / 1000 END",
-    "lossless": "file_id % 97 <> 5",
-    "error": "CASE WHEN (file_id + length(strategy)) % 13 = 0 THEN 'failed' END",
-}
-_GRID_SQL = f"""(SELECT *, round(file_size::DOUBLE / compressed_size, 6) AS ratio FROM (SELECT *, floor(1 + file_size * (3 + (file_id + length(strategy)) % 7) / 20)::BIGINT AS compressed_size, {_MEASURES['compression_ms']} AS compression_ms, {_MEASURES['decompression_ms'].replace('0.0', '0.0::DOUBLE')} AS decompression_ms, {_MEASURES['lossless']} AS lossless, {_MEASURES['error']} AS error
-    FROM (SELECT doc_id AS file_id, octet_length(encode(text)) AS file_size, unnest([{', '.join(map(repr, _STRATEGIES))}]) AS strategy FROM documents)))"""
+#: What real codecs whose sizes no library decides make of documents, and one that refuses them.
+_STRATEGIES = ("run_length", "delta_run_length", "semantic_json")
+_GRID = f"""files AS MATERIALIZED {_TEXTS}, bytes AS MATERIALIZED (SELECT file_id, i, ('0x' || substr(h, i * 2 + 1, 2))::INT AS b FROM files, unnest(range(0, length(h) // 2)) AS u(i)),
+    deltas AS (SELECT file_id, i, (b - coalesce(lag(b) OVER (PARTITION BY file_id ORDER BY i), 0) + 256) % 256 AS b FROM bytes), {_runs('bytes', 'plain')}, {_runs('deltas', 'moved')},
+    grid AS MATERIALIZED (SELECT *, round(CASE WHEN compressed_size > 0 THEN file_size::DOUBLE / compressed_size ELSE 0 END, 6) AS ratio FROM (
+        SELECT f.file_id, file_size, 'run_length' AS strategy, coalesce(n, 0) AS compressed_size, true AS lossless, hash AS restored_hash, NULL AS error FROM files f LEFT JOIN plain USING (file_id)
+        UNION ALL SELECT f.file_id, file_size, 'delta_run_length', coalesce(n, 0), true, hash, NULL FROM files f LEFT JOIN moved USING (file_id)
+        UNION ALL SELECT file_id, file_size, 'semantic_json', NULL, false, NULL, CASE WHEN file_size < 2048 THEN 'Unsuitable: too short' ELSE 'Unsuitable: not JSON' END FROM files))"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = contents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), C.size_of(F.col("content")).alias("file_size"))
-    g = grid.grid(files, _STRATEGIES).withColumns({k: F.expr(v) for k, v in _MEASURES.items()})
-    return g.withColumn("ratio", F.round(F.col("file_size").cast("double") / F.col("compressed_size"), 6))
+    """The grid of documents and strategies, each tried and verified."""
+    tries = codecs.attempts(contents(spark, sf_dir), _STRATEGIES, "doc_id", excellent=1e9).withColumnRenamed("original_size", "file_size")
+    ratio = F.when(F.col("compressed_size") > 0, F.col("file_size").cast("double") / F.col("compressed_size")).when(F.col("error").isNull(), 0.0)
+    return tries.withColumn("ratio", F.round(ratio, 6))
 
 
-@query(f"SELECT file_id, file_size, strategy, compressed_size, ratio, lossless, error FROM {_GRID_SQL}")
+@query(f"WITH {_GRID} SELECT file_id, file_size, strategy, coalesce(compressed_size, -1) AS compressed_size, CASE WHEN error IS NULL THEN ratio ELSE 0 END AS ratio, lossless, restored_hash, error FROM grid")
 def bench_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("file_id", "file_size", "strategy", "compressed_size", "ratio", "lossless", "error")
+    """Every document with every strategy; sizes of failures are -1."""
+    r = _records(spark, sf_dir)
+    return r.select("file_id", "file_size", "strategy", F.coalesce("compressed_size", F.lit(-1)).alias("compressed_size"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), "lossless", "restored_hash", "error")
 
 
-@query(f"SELECT file_id, strategy, ratio FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ratio DESC, strategy) AS r FROM {_GRID_SQL} WHERE error IS NULL) WHERE r = 1")
+@query(f"WITH {_GRID} SELECT file_id, strategy, ratio FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ratio DESC, strategy) AS r FROM grid WHERE error IS NULL) WHERE r = 1")
 def bench_best_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.best_per_file(_records(spark, sf_dir)).select("file_id", "strategy", "ratio")
 
 
-@query(f"SELECT strategy, count(*) AS records, round(avg(ratio), 6) AS avg_ratio, round(avg(compression_ms), 6) AS avg_compression_ms, round(avg(decompression_ms), 6) AS avg_decompression_ms, bool_and(lossless) AS all_lossless FROM {_GRID_SQL} WHERE error IS NULL GROUP BY strategy")
+@query(f"WITH {_GRID} SELECT strategy, count(*) AS records, round(avg(ratio), 6) AS avg_ratio, bool_and(lossless) AS all_lossless FROM grid WHERE error IS NULL GROUP BY strategy")
 def bench_strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.strategy_summary(_records(spark, sf_dir))
+    """Without the mean times, which the operator gives too."""
+    return grid.strategy_summary(_records(spark, sf_dir)).select("strategy", "records", "avg_ratio", "all_lossless")
 
 
-@query(f"SELECT file_id, strategy, round(CASE WHEN compression_ms > 0 THEN file_size / 1048576.0::DOUBLE / (compression_ms / 1000) ELSE 0 END, 6) AS compression_mbps, round(CASE WHEN decompression_ms > 0 THEN file_size / 1048576.0::DOUBLE / (decompression_ms / 1000) ELSE 0 END, 6) AS decompression_mbps FROM {_GRID_SQL}")
+@query("SELECT doc_id AS file_id, round(octet_length(encode(text)) / 1048576.0::DOUBLE / ((1 + doc_id % 7) / 1000.0::DOUBLE), 6) AS compression_mbps, round(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE octet_length(encode(text)) / 1048576.0::DOUBLE / ((doc_id % 11) / 1000.0::DOUBLE) END, 6) AS decompression_mbps FROM documents")
 def bench_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _records(spark, sf_dir)
-    return r.select("file_id", "strategy", *[F.round(grid.speed(F.col("file_size"), F.col(f"{k}_ms")), 6).alias(f"{k}_mbps") for k in ("compression", "decompression")])
+    """The rate of given sizes and times; times are numbers of the ids, since measured ones are never the same."""
+    files = contents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), C.size_of(F.col("content")).alias("n"))
+    return files.select("file_id", F.round(grid.speed(F.col("n"), F.lit(1.0) + F.col("file_id") % 7), 6).alias("compression_mbps"), F.round(grid.speed(F.col("n"), (F.col("file_id") % 11).cast("double")), 6).alias("decompression_mbps"))
+
+
+@query(f"WITH {_GRID} SELECT file_id, file_size AS original_size, strategy, ratio, hash AS restored_hash FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ratio DESC, strategy DESC) AS r FROM grid WHERE error IS NULL) JOIN files USING (file_id, file_size) WHERE r = 1")
+def codec_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt that is kept of each document (the first of equals), and what comes back from its payload."""
+    tries = codecs.attempts(contents(spark, sf_dir), _STRATEGIES, "doc_id", excellent=1e9, keep_packed=True)
+    best = selection.best_attempt(tries, 1e9)
+    kept = tries.join(best, ["file_id", "strategy"])
+    back = F.when(F.col("strategy") == "run_length", codecs.decompressor("run_length")(F.col("packed"))).otherwise(codecs.decompressor("delta_run_length")(F.col("packed")))
+    return kept.select("file_id", "original_size", "strategy", "ratio", F.sha2(back, 256).alias("restored_hash"))
+
+
+@query(f"SELECT 'd' || doc_id AS name, 1 AS version, octet_length(encode(text)) AS original_size, octet_length(encode(text)) AS compressed_size, 'plain' AS strategy, sha256(encode(text)) AS payload_hash, lang AS lang, CASE WHEN doc_id % 10 = 0 THEN 'the payload has another checksum' END AS error FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'd' || doc_id, -1, -1, -1, NULL, NULL, NULL, 'the payload has another checksum' FROM documents WHERE doc_id % 10 = 0")
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written and read by the container source; of every tenth file a byte was changed between."""
+    from sparkfold.functions.lineage import shared_folder
+    from sparkfold.sources import container
+
+    spark.dataSource.register(container.Container)
+    folder = f"{shared_folder(spark)}/containers-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), C.utf8(F.col("text")).alias("payload"), "lang")
+    rows = docs.select("name", C.size_of(F.col("payload")).alias("original_size"), F.lit("plain").alias("strategy"), F.create_map(F.lit("lang"), "lang").alias("metadata"), "payload")
+    rows.write.format("container").mode("append").save(folder)
+    _damage(docs.where("CAST(substring(name, 2) AS LONG) % 10 = 0").select("name"), folder)
+    back = spark.read.format("container").load(folder)
+    numbers = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("version", "original_size", "compressed_size")]
+    return back.select("name", *numbers, "strategy", F.sha2("payload", 256).alias("payload_hash"), F.try_element_at("metadata", F.lit("lang")).alias("lang"), "error")
+
+
+def _damage(names: DataFrame, folder: str) -> None:
+    """Changes the last byte of some containers, where they lie."""
+
+    def change(part) -> None:
+        from sparkfold.sources import container
+
+        store, base = container.opened(folder)
+        for r in part:
+            path = f"{base}/{r['name']}{container.SUFFIX}"
+            with store.open_input_stream(path) as f:
+                data = f.read()
+            with store.open_output_stream(path) as f:
+                f.write(data[:-1] + bytes([data[-1] ^ 1]))
+
+    names.foreachPartition(change)
+
+
+_REPORTS = "(SELECT k AS file_id, k % 16 / 2.0::DOUBLE AS entropy, (1 + k) * 997 AS size, ['TXT', 'JSON', 'PDF', 'PNG', 'DOCX', 'XLSX', 'PPTX', 'DICOM'][1 + (k // 16) % 8] AS format_type, ['text', 'data', 'document', 'image', 'document', 'document', 'document', 'medical'][1 + (k // 16) % 8] AS category FROM range(0, 256) AS t(k))"
+_ESTIMATES = (
+    ("traditional_zstd", "true", "CASE WHEN entropy <= 0 THEN 100.0 ELSE round(8.0::DOUBLE / greatest(entropy, 0.1::DOUBLE), 2) END"),
+    ("traditional_lzma", "true", "CASE WHEN entropy < 3 THEN 12.0 WHEN entropy < 5 THEN 6.0 WHEN entropy < 7 THEN 3.0 ELSE 2.5 END"),
+    ("traditional_brotli", "category IN ('text', 'data')", "CASE WHEN entropy < 3 THEN 10.0 WHEN entropy < 5 THEN 5.0 WHEN entropy < 7 THEN 2.5 ELSE 2.0 END"),
+    ("semantic_json", "category = 'data'", "CASE WHEN size > 50000 THEN 80.0 WHEN size > 10000 THEN 40.0 ELSE 15.0 END"),
+    ("procedural_gradient", "category = 'image'", "least(size / 200.0::DOUBLE, 50000.0)"),
+    ("semantic_pdf", "format_type = 'PDF'", "CASE WHEN entropy < 5 THEN 8.0 ELSE 5.0 END"),
+    ("semantic_office", "format_type IN ('DOCX', 'XLSX', 'PPTX')", "CASE format_type WHEN 'DOCX' THEN 6.0 WHEN 'XLSX' THEN 8.0 ELSE 4.0 END"),
+)
 
 
-@query("SELECT strategy, count(*) AS files, round(min(r), 6) AS least, round(max(r), 6) AS most FROM (SELECT unnest(['traditional_brotli', 'traditional_lzma']) AS strategy, e FROM range(0, 80) AS t(k), (SELECT 1), LATERAL (SELECT k / 10.0::DOUBLE AS e)) s, LATERAL (SELECT CASE WHEN strategy = 'traditional_lzma' THEN CASE WHEN e < 3 THEN 12 WHEN e < 5 THEN 6 WHEN e < 7 THEN 3 ELSE 2.5 END ELSE CASE WHEN e < 3 THEN 10 WHEN e < 5 THEN 5 WHEN e < 7 THEN 2.5 ELSE 2 END END::DOUBLE AS r) GROUP BY strategy")
+@query(" UNION ALL ".join(f"SELECT file_id, '{n}' AS strategy, ({e})::DOUBLE AS est_ratio FROM {_REPORTS} WHERE {c}" for n, c, e in _ESTIMATES))
 def codec_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = spark.range(80).select(F.col("id").alias("file_id"), (F.col("id") / 10).alias("entropy"), F.lit("text").alias("category"), F.lit(1000).alias("size"))
-    e = codecs.estimates(reports).where("strategy <> 'traditional_zstd'")
-    return e.groupBy("strategy").agg(F.count(F.lit(1)).alias("files"), F.round(F.min("est_ratio"), 6).alias("least"), F.round(F.max("est_ratio"), 6).alias("most"))
+    """Every codec's estimate for reports of all kinds and entropies."""
+    kinds = [F.array(*map(F.lit, names)) for names in (("TXT", "JSON", "PDF", "PNG", "DOCX", "XLSX", "PPTX", "DICOM"), ("text", "data", "document", "image", "document", "document", "document", "medical"))]
+    at = (F.expr("id div 16") % 8).cast("int")
+    reports = spark.range(256).select(F.col("id").alias("file_id"), (F.col("id") % 16 / 2).alias("entropy"), ((F.col("id") + 1) * 997).alias("size"), kinds[0][at].alias("format_type"), kinds[1][at].alias("category"), F.lit("gradient").alias("content_type"), F.lit(1.0).alias("content_confidence"))
+    return codecs.estimates(reports)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
-from sparkfold.functions.lineage import shared_folder
-from sparkfold.operators import components, images
+from sparkfold.functions.lineage import cut, shared_folder
+from sparkfold.operators import bundles, codecs, components, images, orchestrate, positions, raster, residuals, windows
+from sparkfold.sources import archives, pdf
 from sparkfold.streaming import ingest
 
 from .common import query, table, values
@@ -101,19 +106,31 @@ _SCORES = "[" + ", ".join(f"({s})::DOUBLE" for _, s in images.CONTENT) + "]"
 _NAMES = "[" + ", ".join(f"'{n}'" for n, _ in images.CONTENT) + "]"
 
 
-@query(
-    f"""WITH f AS (SELECT *, {_SCORES} AS s FROM {_FEATURES}),
+_CLASSES = f"""WITH f AS (SELECT *, {_SCORES} AS s FROM {_FEATURES}),
     t AS (SELECT *, CASE WHEN stripe > 0.95 AND edge_density < 0.05 THEN 'gradient' WHEN list_sum(s) <= 0 THEN 'unknown' ELSE ({_NAMES})[list_position(s, list_max(s))] END AS content_type,
         round(CASE WHEN stripe > 0.95 AND edge_density < 0.05 THEN 1 WHEN list_sum(s) <= 0 THEN 0 ELSE least(1, list_max(s) / list_sum(s)) END::DOUBLE, 6) AS content_confidence FROM f)
     SELECT img_id, content_type, content_confidence, CASE WHEN content_type = 'screenshot' THEN 'ui' WHEN is_grayscale AND unique_color_ratio > 0.1 THEN 'medical' ELSE 'general' END AS domain,
         round(CASE WHEN content_type = 'screenshot' THEN least(1, 1.5 * stripe) WHEN is_grayscale AND unique_color_ratio > 0.1 THEN 0.45 ELSE 0.9 END::DOUBLE, 6) AS domain_confidence,
         CASE WHEN content_type = 'gradient' THEN 'gradient' WHEN content_type = 'screenshot' THEN 'screenshot' WHEN content_type = 'logo' AND has_transparency THEN 'vector_render' WHEN unique_color_ratio > 0.4 AND color_entropy > 16 THEN 'natural' WHEN unique_color_ratio < 0.001 AND spatial_uniformity > 0.85 THEN 'synthetic' ELSE 'natural' END AS generation,
         CASE WHEN content_type = 'gradient' THEN 0.9 WHEN content_type = 'screenshot' THEN 0.88 WHEN content_type = 'logo' AND has_transparency THEN 0.75 WHEN unique_color_ratio > 0.4 AND color_entropy > 16 THEN 0.85 WHEN unique_color_ratio < 0.001 AND spatial_uniformity > 0.85 THEN 0.7 ELSE 0.55 END::DOUBLE AS generation_confidence FROM t"""
-)
+
+
+@query(_CLASSES)
 def image_content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.classify(images.features(_pixels(spark)).withColumns({"has_transparency": F.col("img_id") % 2 == 1, "is_grayscale": F.col("img_id") == 4}))
 
 
+@query(
+    _CLASSES.replace("img_id % 2 = 1 AS has_transparency, img_id = 4 AS is_grayscale", "false AS has_transparency, img_id = 3 AS is_grayscale").replace("WITH f AS", "WITH c AS (WITH f AS")
+    + """) SELECT img_id, content_type, content_confidence, array_to_string(list_filter([CASE WHEN generation = 'gradient' AND generation_confidence > 0.8 THEN 'procedural_gradient' END, CASE WHEN content_type = 'screenshot' THEN 'semantic_screenshot' END,
+    CASE WHEN content_type = 'logo' THEN 'procedural_vector' END, 'traditional_zstd'], lambda x: x IS NOT NULL), ',') AS hints, CASE WHEN content_type = 'gradient' AND content_confidence > 0.7 THEN 'procedural_gradient,traditional_zstd' ELSE 'traditional_zstd' END AS strategies FROM c"""
+)
+def image_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files all the way through the analysis: their class, hints and ranked strategies."""
+    rows = orchestrate.analyse(_image_files(spark).withColumn("path", F.format_string("i%d.png", "img_id")))
+    return rows.select("img_id", "content_type", "content_confidence", F.array_join("hints", ",").alias("hints"), F.array_join(orchestrate.strategies(), ",").alias("strategies"))
+
+
 @query(f"SELECT img_id, round(mse, 6) AS mse, CASE WHEN mse > 0 THEN round(20 * log10(255 / sqrt(mse)), 6) END AS psnr FROM (SELECT img_id, avg((r % 16) * (r % 16) * (img_id > 0)::INT + (g % 16) * (g % 16) * (img_id > 0)::INT + (b % 16) * (b % 16) * (img_id > 0)::INT) / 3 AS mse FROM {_PX} GROUP BY img_id)")
 def psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image but the first against itself at 16 levels."""
@@ -122,15 +139,83 @@ def psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.psnr(px, coarse)
 
 
-@query("SELECT vec_id, true AS restored, 0 AS worst FROM embeddings")
+_FLAT = "(SELECT vec_id, list_transform(embedding, lambda e: least(255, greatest(0, floor(e::DOUBLE * 128 + 128)))::INT) AS v FROM embeddings)"
+
+
+@query(f"SELECT vec_id, sha256(unhex(array_to_string(list_transform(v, lambda b: printf('%02X', b)), ''))) AS restored_hash, len(v) AS n, round(list_sum(list_transform(v, lambda b: b % 16)) / len(v)::DOUBLE, 6) AS mean_residual FROM {_FLAT}")
 def residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A coarse form of each vector as bytes, and the differences that make it whole again."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e * 128 + 128).cast("int")))).alias("v"))
-    both = v.withColumn("coarse", F.transform("v", lambda b: b - b % 16))
-    both = both.withColumn("diff", F.zip_with("v", "coarse", lambda a, b: (a - b).cast("short")))
-    back = both.withColumn("back", F.zip_with("coarse", "diff", lambda a, b: F.least(F.lit(255), F.greatest(F.lit(0), a + b))))
-    worst = F.array_max(F.zip_with("v", "back", lambda a, b: F.abs(a - b)))
-    return back.select("vec_id", (F.col("v") == F.col("back")).alias("restored"), worst.alias("worst"))
+    """Vectors as bytes through a codec that keeps sixteen levels, made whole by its differences; and how much those are on average."""
+    there, back = residuals.codec(_sixteenths, _widened)
+    flat = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 128 + 128).cast("int"))))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", flat.alias("v"), F.unhex(F.array_join(F.transform(flat, lambda b: F.lpad(F.hex(b), 2, "0")), "")).alias("bytes"))
+    coded = v.withColumn("c", there("bytes"))
+    coarse = F.transform("v", lambda b: b - b % 16)
+    return coded.select("vec_id", F.sha2(back("c.latent", "c.difference"), 256).alias("restored_hash"), F.size("v").cast("long").alias("n"), residuals.mean_residual(F.col("v"), coarse).alias("mean_residual"))
+
+
+def _sixteenths(values):
+    return (values // 16).astype("uint8").tobytes()
+
+
+def _widened(latent):
+    import numpy as np
+
+    return np.frombuffer(latent, np.uint8) * np.uint8(16)
+
+
+#: The images as files and back: their pixels in reading order as hex.
+_HEX = "string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x)"
+
+
+def _image_files(spark: SparkSession) -> DataFrame:
+    """(img_id, content): the images as PNG files."""
+    kind = T.StructType.fromDDL("img_id int, content binary")
+
+    def draw(table_: pa.Table) -> pa.Table:
+        t = table_.sort_by([("y", "ascending"), ("x", "ascending")])
+        px = np.stack([t.column(c).to_numpy() for c in "rgb"], 1).astype(np.uint8).reshape(48, 64, 3)
+        return pa.table({"img_id": t.column("img_id").slice(0, 1), "content": pa.array([raster.write("PNG", px)], pa.binary())})
+
+    return _pixels(spark).groupBy("img_id").applyInArrow(draw, kind)
+
+
+@F.arrow_udf(T.StringType())
+def _pixel_hash(content: pa.Array) -> pa.Array:
+    """The hash of an image file's pixels."""
+    return pa.array([hashlib.sha256(raster.read(v.as_py())[1].tobytes()).hexdigest() if v.is_valid else None for v in content], pa.string())
+
+
+@query(f"SELECT img_id, img_id IN (0, 1, 2) AS accepted, sha256(unhex({_HEX})) AS pixel_hash, CASE WHEN img_id > 2 THEN 'Unsuitable: not a linear gradient' END AS error, CASE WHEN img_id <= 2 THEN 'pixels' END AS verified FROM {_PX} GROUP BY img_id")
+def gradient_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images as PNG files through the gradient codec: the pixels that come back, or why it refuses them."""
+    files_ = _image_files(spark)
+    tries = codecs.attempts(files_, ["procedural_gradient"], "img_id", keep_packed=True).withColumnRenamed("file_id", "img_id")
+    both = files_.join(tries, "img_id").withColumn("back", F.coalesce(codecs.decompressor("procedural_gradient")("packed"), "content"))
+    return both.select("img_id", F.col("lossless").alias("accepted"), _pixel_hash("back").alias("pixel_hash"), "error", F.when(F.col("verified").isNotNull(), "pixels").alias("verified"))
+
+
+def _office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): documents as office archives; a media part occurs twice."""
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(*map(F.lit, ("[Content_Types].xml", "word/document.xml", "word/media/a.bin", "word/media/b.bin", "docProps/app.xml")))
+    media = C.utf8(F.repeat(F.col("lang"), 40))
+    parts = F.array(C.utf8(F.lit("<Types/>")), C.utf8(F.col("text")), media, media, C.utf8(F.concat(F.lit("<p>"), F.col("source"), F.lit("</p>"))))
+    return docs.select("doc_id", archives.zip_of(names, parts).alias("content"))
+
+
+@query("SELECT doc_id, path, sha256(encode(data)) AS member_hash, octet_length(encode(data)) AS size FROM (SELECT doc_id, unnest(['[Content_Types].xml', 'word/document.xml', 'word/media/a.bin', 'word/media/b.bin', 'docProps/app.xml']) AS path, unnest(['<Types/>', text, repeat(lang, 40), repeat(lang, 40), '<p>' || source || '</p>']) AS data FROM documents)")
+def office_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office archives through the bundle codec: every member of what comes back."""
+    packed = _office_files(spark, sf_dir).select("doc_id", codecs.compressor("semantic_office")("content").alias("p"))
+    back = packed.select(F.col("doc_id").alias("id"), codecs.decompressor("semantic_office")("p").alias("content"))
+    return archives.zip_components(back).select(F.col("id").alias("doc_id"), "path", F.sha2("data", 256).alias("member_hash"), C.size_of(F.col("data")).alias("size"))
+
+
+@query("SELECT doc_id, 'f' || doc_id || '.bin' AS path, 'DOCX' AS format_type, 'document' AS category, 'semantic_office,traditional_zstd' AS hints FROM documents")
+def office_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analysis of files says of office archives without a telling name."""
+    some = _office_files(spark, sf_dir).withColumn("path", F.format_string("f%d.bin", "doc_id"))
+    return orchestrate.analyse(some).select("doc_id", "path", "format_type", "category", F.array_join("hints", ",").alias("hints"))
 
 
 def _component_sql() -> str:
@@ -182,13 +267,97 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("matrix", F.when(F.col("type") == "image", F.array("a", F.lit(0.0), F.lit(0.0), "d", "e", "f"))).drop("a", "d", "e", "f")
 
 
-@query(f"SELECT doc_id, page, element_id, CASE WHEN type = 'image' THEN round(e, 2) ELSE 0 END AS x0, CASE WHEN type = 'image' THEN round(f, 2) ELSE 0 END AS y0, CASE WHEN type = 'image' THEN round(e + abs(a), 2) ELSE 612 END AS x1, CASE WHEN type = 'image' THEN round(f + abs(d), 2) ELSE 792 END AS y1 FROM {_ELEMENTS}")
+#: Sizes of pages, known of two thirds of them.
+_SIZES = "(SELECT DISTINCT doc_id, page, 300.0::DOUBLE + doc_id % 400 AS width, 500.0::DOUBLE + page * 50 AS height FROM {} WHERE (doc_id + page) % 3 > 0)"
+
+
+@query(f"SELECT e.doc_id, e.page, element_id, CASE WHEN type = 'image' THEN round(e, 2) ELSE 0 END AS x0, CASE WHEN type = 'image' THEN round(f, 2) ELSE 0 END AS y0, CASE WHEN type = 'image' THEN round(e + abs(a), 2) ELSE coalesce(width, 612) END AS x1, CASE WHEN type = 'image' THEN round(f + abs(d), 2) ELSE coalesce(height, 792) END AS y1 FROM {_ELEMENTS} e LEFT JOIN {_SIZES.format(_ELEMENTS)} p ON p.doc_id = e.doc_id AND p.page = e.page")
 def element_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "doc_id long, page long, width double, height double")
-    box = components.placed(_elements(spark, sf_dir), none)
+    """The box of each element: by its matrix, else its page's, else that of a page without a size."""
+    e = _elements(spark, sf_dir)
+    sizes = e.where((F.col("doc_id") + F.col("page")) % 3 > 0).select("doc_id", "page").distinct().select("doc_id", "page", (F.lit(300.0) + F.col("doc_id") % 400).alias("width"), (F.lit(500.0) + F.col("page") * 50).alias("height"))
+    box = components.placed(e, sizes)
     return box.select("doc_id", "page", "element_id", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
+#: PDF files made of the pages table: one to three pages, on each one image placed by numbers of the ids, and some text.
+_PDF = "(SELECT page_id AS id, p::INT AS page, 400.0::DOUBLE + page_id % 200 AS width, 600.0::DOUBLE + p * 10 AS height, 90 * (p % 4) AS rotation, 'page ' || p || ' of ' || url AS t, 4 + page_id % 5 AS w, 3 + p AS h, ['40', 'A0', 'F0'][1 + page_id % 3] AS b, page_id % 90 + 0.25::DOUBLE AS x, p * 7 + 0.5::DOUBLE AS y, 20 + page_id % 30 AS sx, 30 + p AS sy FROM pages, LATERAL (SELECT unnest(range(1, page_id % 3 + 2)) AS p))"
+
+
+def _pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content): the files of _PDF, written by the library's own writer."""
+
+    @F.arrow_udf("binary")
+    def make(ids: pa.Array, urls: pa.Array) -> pa.Array:
+        out = []
+        for i, url in zip(ids.to_pylist(), urls.to_pylist(), strict=True):
+            made = []
+            for p in range(1, i % 3 + 2):
+                w, h, x, y = 4 + i % 5, 3 + p, i % 90 + 0.25, p * 7 + 0.5
+                image = pdf.Element("image", [x, y, x + 20 + i % 30, y + 30 + p], 0, bytes([(0x40, 0xA0, 0xF0)[i % 3]]) * (w * h), f"Im{p}", w, h)
+                made.append(pdf.Page(p, 400 + i % 200, 600 + p * 10, 90 * (p % 4), [image, pdf.Element("text", [0, 0, 1, 1], 100, f"page {p} of {url}".encode())]))
+            out.append(pdf.write(made)[0])
+        return pa.array(out, pa.binary())
+
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), make("page_id", "url").alias("content"))
+
+
+_IMAGE_HASH, _TEXT_HASH = "sha256(unhex(repeat(b, (w * h)::INT)))", "sha256(encode(t))"
+_PDF_ELEMENTS = f"(SELECT id, page, 'image' AS type, 0 AS z_order, 'Im' || page AS name, x AS x0, y AS y0, round(x + sx, 2) AS x1, round(y + sy, 2) AS y1, w::DOUBLE AS width, h::DOUBLE AS height, {_IMAGE_HASH} AS hash FROM {_PDF} UNION ALL SELECT id, page, 'text', 100, NULL, 0, 0, width, height, 0, 0, {_TEXT_HASH} FROM {_PDF})"
+
+
+@query(f"SELECT *, round(x1 - x0, 2) AS extent_x, round(y1 - y0, 2) AS extent_y FROM {_PDF_ELEMENTS}")
+def pdf_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of PDF files with its place and content hash."""
+    x, y = positions.extent()
+    return positions.elements(positions.layout(_pdf_files(spark, sf_dir))).select("*", x.alias("extent_x"), y.alias("extent_y"))
+
+
+@query(f"SELECT id, sum(n)::BIGINT AS parts, count(*) AS page_count, count(*) FILTER (WHERE r > 1) AS repeated, string_agg(h, '' ORDER BY page) AS image_hashes FROM (SELECT id, page, 2 AS n, {_IMAGE_HASH} AS h, row_number() OVER (PARTITION BY id, w * h ORDER BY page) AS r FROM {_PDF}) GROUP BY id")
+def pdf_bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of PDF files through a bundle that stores equal ones once."""
+
+    @F.arrow_udf("struct<parts:bigint,page_count:bigint,repeated:bigint,image_hashes:string>")
+    def through(content: pa.Array) -> pa.Array:
+        out = []
+        for v in content.to_pylist():
+            parts = [{"path": name, "type": kind, "data": data} for name, kind, data in archives.pdf_parts(v)]
+            form, back = bundles.unpack(bundles.pack("PDF", parts))
+            images_ = [hashlib.sha256(p["data"]).hexdigest() for p in back if p["type"] == "image"]
+            out.append({"parts": sum(p["type"] in ("image", "text") for p in back), "page_count": sum(p["type"] == "layout" for p in back), "repeated": sum(p["codec"] == "reference" and p["type"] == "image" for p in back), "image_hashes": "".join(images_)})
+        return pa.array(out, pa.struct([("parts", pa.int64()), ("page_count", pa.int64()), ("repeated", pa.int64()), ("image_hashes", pa.string())]))
+
+    return _pdf_files(spark, sf_dir).select("id", through("content").alias("b")).select("id", "b.*")
+
+
+@query(f"SELECT id, string_agg({_TEXT_HASH}, '' ORDER BY page) AS text_hashes, true AS lossless FROM {_PDF} GROUP BY id")
+def pdf_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files through the lossless codec, and the texts of what comes back."""
+    files_ = cut(_pdf_files(spark, sf_dir))
+    packed = files_.select("id", F.col("content").alias("original"), codecs.compressor("semantic_pdf")("content").alias("p"))
+    back = cut(packed.select("id", codecs.decompressor("semantic_pdf")("p").alias("content"), "original"))
+    texts = positions.elements(positions.layout(back), "text").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "hash"))), lambda x: x.hash), "").alias("text_hashes"))
+    return texts.join(back, "id").select("id", "text_hashes", (F.col("content") == F.col("original")).alias("lossless"))
+
+
+@query(f"SELECT id, count(*)::INT AS page_count, count(*) AS images_total, (count(*) - max(gone))::BIGINT AS images_placed, CASE WHEN max(gone) = 0 THEN 'exact' WHEN count(*) > max(gone) THEN 'approximate' ELSE 'page-level' END AS accuracy, max(note) AS notes, sum(width)::DOUBLE AS widths, sum(height)::DOUBLE AS heights FROM (SELECT *, (page = 1 AND id % 4 = 0)::INT AS gone, CASE WHEN page = 1 AND id % 4 = 0 THEN 'page 1: image ' || substr({_IMAGE_HASH}, 1, 8) || ' is not in the store' END AS note FROM {_PDF}) GROUP BY id")
+def pdf_reconstruct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files made again from bundles and a store that lacks the first image of every fourth file, and the pages of what was made."""
+    rows = cut(positions.layout(_pdf_files(spark, sf_dir)))
+    keyed = rows.withColumn("hash", F.when((F.col("type") == "image") & (F.col("page") == 1) & (F.col("id") % 4 == 0), F.concat(F.col("hash"), F.lit("-gone"))).otherwise(F.col("hash")))
+    made = cut(positions.reconstruct(positions.unbundle(positions.bundle(keyed)), positions.contents(rows)))
+    again = positions.page_sizes(positions.layout(made, "id", "pdf")).groupBy("id").agg(F.sum("width").alias("widths"), F.sum("height").alias("heights"))
+    return made.join(again, "id").select("id", "page_count", "images_total", "images_placed", "accuracy", F.when(F.size("notes") > 0, F.array_join("notes", "; ")).alias("notes"), "widths", "heights")
+
+
+@query(f"SELECT id, page, type, z_order, hash, 'page ' || page || ': ' || type || ' ' || substr(hash, 1, 8) || ' is not in the store' AS note FROM {_PDF_ELEMENTS} WHERE type = 'text' UNION ALL SELECT id, page, type, z_order, hash, NULL FROM {_PDF_ELEMENTS} WHERE type = 'image'")
+def pdf_content_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements against a store of images only."""
+    rows = cut(positions.layout(_pdf_files(spark, sf_dir)))
+    found = positions.with_content(positions.elements(rows), positions.contents(rows.where("type = 'image'")))
+    return found.select("id", "page", "type", "z_order", "hash", "note")
+
+
 @query(f"SELECT doc_id, page, element_id, (row_number() OVER (PARTITION BY doc_id, page ORDER BY z_order, element_id))::INT AS place FROM {_ELEMENTS}")
 def zorder_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.in_order(_elements(spark, sf_dir)).select("doc_id", "page", "element_id", "place")
@@ -214,7 +383,16 @@ def stream_cas_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_store(spark, folder)
 
 
-@query(f"{_WITH} SELECT * FROM pairs")
+@query("SELECT doc_id, octet_length(encode(text)) AS original_size, sha256(encode(text)) AS restored_hash FROM documents WHERE length(text) > 0")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that a stream stored, joined again."""
+    stream, folder = _stream(spark, sf_dir)
+    ingest.ingest_windows(stream, folder, 4096, level=3).awaitTermination()
+    back = windows.restore(ingest.read_windows(spark, folder), "doc_id")
+    return back.select("doc_id", C.size_of(F.col("content")).alias("original_size"), F.sha2("content", 256).alias("restored_hash"))
+
+
+@query(f"{_WITH} SELECT a, b, jaccard FROM pairs")
 def stream_lsh_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _stream(spark, sf_dir)
     ingest.ingest_signatures(stream, folder).awaitTermination()

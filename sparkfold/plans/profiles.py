@@ -32,6 +32,11 @@ def doc_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.entropy_report(contents(spark, sf_dir), "doc_id")
 
 
+@query("SELECT doc_id, length(text) AS char_count, length(text) - length(replace(text, chr(10), '')) AS line_count FROM documents")
+def doc_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.char_count(F.col("text")).alias("char_count"), C.line_count(F.col("text")).alias("line_count"))
+
+
 @query(f"SELECT * FROM {_BLOCK_E}")
 def doc_entropy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.block_entropies(contents(spark, sf_dir), BLOCK, "doc_id")

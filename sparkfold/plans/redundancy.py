@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfold.functions import content as C
+from sparkfold.functions.lineage import cut
 from sparkfold.operators import cas, delta, lsh, windows
 
 from .common import contents, hex_blocks, query, values
 
-BLOCK, WINDOW = 1024, 4096
+BLOCK, WINDOW, QUERY_STEP = 1024, 4096, 50
 _BLOCKS = f"(SELECT doc_id, pos, h, length(h) // 2 AS size, sha256(unhex(h)) AS hash FROM {hex_blocks(BLOCK)})"
+
+
+
+def _human(n: str) -> str:
+    return f"CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < 1048576 THEN printf('%.1f KB', {n} / 1024.0::DOUBLE) WHEN {n} < 1073741824 THEN printf('%.1f MB', {n} / 1048576.0::DOUBLE) ELSE printf('%.1f GB', {n} / 1073741824.0::DOUBLE) END"
+
+
 _STORE = f"(SELECT hash, max(size) AS size, count(*) AS ref_count FROM {_BLOCKS} GROUP BY hash)"
 
 
@@ -35,12 +43,17 @@ def cas_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cas.stats(contents(spark, sf_dir), BLOCK, "doc_id")
 
 
-@query("SELECT doc_id, true AS ok FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, sha256(encode(text)) AS restored_hash FROM documents WHERE length(text) > 0")
 def cas_reconstruct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each document as it comes back from recipe and store."""
     docs = contents(spark, sf_dir)
     made = cas.reconstruct(cas.recipes(docs, BLOCK, "doc_id"), cas.block_store(docs, BLOCK, "doc_id", data=True), "doc_id")
-    back = made.select("doc_id", F.sha2("content", 256).alias("h"))
-    return back.join(docs.select("doc_id", F.sha2("content", 256).alias("w")), "doc_id").select("doc_id", F.coalesce(F.col("h") == F.col("w"), F.lit(False)).alias("ok"))
+    return made.select("doc_id", F.sha2("content", 256).alias("restored_hash"))
+
+
+@query(f"SELECT format('{{}} files, {{}} as {{}} unique: {{}}x, {{}} % saved, {{}} of {{}} blocks repeated', file_count, {_human('total_original_size')}, {_human('total_unique_size')}, printf('%.2f', total_original_size::DOUBLE / total_unique_size), printf('%.1f', (total_original_size - total_unique_size) * 100.0::DOUBLE / total_original_size), duplicate_blocks, block_count + duplicate_blocks) AS text FROM (SELECT count(*) AS file_count, sum(octet_length(encode(text)))::BIGINT AS total_original_size FROM documents), (SELECT sum(size)::BIGINT AS total_unique_size, count(*) AS block_count, sum(ref_count - 1)::BIGINT AS duplicate_blocks FROM {_STORE})")
+def cas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cas.summary(cas.stats(contents(spark, sf_dir), BLOCK, "doc_id"))
 
 
 @query(f"SELECT doc_id, pos, hash FROM {_BLOCKS} WHERE hash NOT IN (SELECT hash FROM {_STORE} WHERE ref_count > 1)")
@@ -50,35 +63,28 @@ def cas_missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cas.missing_blocks(cas.recipes(docs, BLOCK, "doc_id"), cas.block_store(docs, BLOCK, "doc_id").where("ref_count > 1"))
 
 
-_JACCARD = f"""(WITH s AS (SELECT DISTINCT doc_id, hash FROM {_BLOCKS}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
-    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y ON x.hash = y.hash AND x.doc_id < y.doc_id GROUP BY ALL)
-    SELECT a, b, inter, na.n + nb.n - inter AS uni, round(inter::DOUBLE / (na.n + nb.n - inter), 6) AS jaccard FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b)"""
+_SETS = f"""s AS MATERIALIZED (SELECT DISTINCT doc_id, hash FROM {_BLOCKS}), k AS MATERIALIZED (SELECT doc_id, string_agg(hash, '' ORDER BY hash) AS key, count(*) AS n FROM s GROUP BY doc_id),
+    sets AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY key) AS head FROM k),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y ON x.hash = y.hash AND x.doc_id < y.doc_id WHERE x.doc_id IN (SELECT head FROM sets) AND y.doc_id IN (SELECT head FROM sets) GROUP BY ALL),
+    jac AS MATERIALIZED (SELECT a, b, inter, na.n + nb.n - inter AS uni, round(inter::DOUBLE / (na.n + nb.n - inter), 6) AS jaccard FROM p JOIN sets na ON na.doc_id = a JOIN sets nb ON nb.doc_id = b)"""
 
 
-@query(f"SELECT * FROM {_JACCARD}")
+@query(f"WITH {_SETS} SELECT * FROM jac")
 def block_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cas.jaccard_pairs(contents(spark, sf_dir), BLOCK, "doc_id")
+    """Pairs of representatives of distinct block sets; block_set_members says whom they stand for."""
+    return cas.jaccard_pairs(cas.block_sets(contents(spark, sf_dir), BLOCK, "doc_id")[0])
 
 
-_HEADS = "(SELECT min(doc_id) AS id FROM documents GROUP BY source, lang)"
+@query(f"WITH {_SETS} SELECT doc_id, head FROM sets")
+def block_set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cas.block_sets(contents(spark, sf_dir), BLOCK, "doc_id")[1].select(F.col("id").alias("doc_id"), "head")
 
 
-@query(f"SELECT x.id AS i, y.id AS j, CASE WHEN x.id = y.id THEN 1.0::DOUBLE ELSE coalesce(p.jaccard, 0.0)::DOUBLE END AS score FROM {_HEADS} x CROSS JOIN {_HEADS} y LEFT JOIN {_JACCARD} p ON p.a = least(x.id, y.id) AND p.b = greatest(x.id, y.id)")
+@query(f"WITH {_SETS} SELECT DISTINCT head AS i, head AS j, 1.0::DOUBLE AS score FROM sets UNION ALL SELECT a, b, jaccard FROM jac UNION ALL SELECT b, a, jaccard FROM jac")
 def similarity_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of one document for each source and language."""
-    from .common import table
-
-    docs = table(spark, sf_dir, "documents")
-    ids = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("id")).select("id")
-    some = contents(spark, sf_dir).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return cas.similarity_matrix(ids, cas.jaccard_pairs(some, BLOCK, "doc_id"))
-
-
-@query(f"SELECT doc_id AS i, doc_id AS j, 1.0::DOUBLE AS score FROM documents UNION ALL SELECT a, b, jaccard FROM {_JACCARD} UNION ALL SELECT b, a, jaccard FROM {_JACCARD}")
-def similarity_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of all documents, without its zeros."""
-    docs = contents(spark, sf_dir)
-    return cas.similarity_cells(docs.select("doc_id"), cas.jaccard_pairs(docs.where("doc_id IS NOT NULL"), BLOCK, "doc_id"), "doc_id")
+    """The matrix over all documents: its cells that aren't zero, of representatives of equal block sets."""
+    sets, member = cas.block_sets(contents(spark, sf_dir), BLOCK, "doc_id")
+    return cas.similarity_cells(member.select(F.col("head").alias("id")), cas.jaccard_pairs(sets))
 
 
 @query("SELECT sha256(encode(text)) AS hash, count(*) AS members, min(doc_id) AS first_id FROM documents WHERE length(text) > 0 GROUP BY 1 HAVING count(*) > 1")
@@ -92,8 +98,11 @@ _WORDS = """(SELECT doc_id, pos, ('0x' || substr(w, 7, 2) || substr(w, 5, 2) ||
 _SHINGLES = f"(SELECT DISTINCT doc_id, (w + 2 * (nxt % {lsh.P})) % {lsh.P} AS v FROM (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {_WORDS}) WHERE nxt IS NOT NULL)"
 _SIG = f"(SELECT doc_id, i, min((a * v + b) % {lsh.P}) AS m FROM {_SHINGLES}, {_PERMS} GROUP BY ALL)"
 _BANDS = "(SELECT doc_id, (i // 4)::INT AS band, string_agg(m::VARCHAR, '-' ORDER BY i) AS key FROM sig GROUP BY ALL)"
-_WITH = f"WITH RECURSIVE sig AS MATERIALIZED {_SIG}, bands AS MATERIALIZED {_BANDS}, cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id), pairs AS MATERIALIZED (SELECT a, b, round(j, 4) AS jaccard FROM (SELECT c.a, c.b, count(*) / 128.0::DOUBLE AS j FROM cand c JOIN sig x ON x.doc_id = c.a JOIN sig y ON y.doc_id = c.b AND y.i = x.i AND y.m = x.m GROUP BY ALL) WHERE j >= 0.5)"
-_REACH = "reach AS (SELECT a AS doc_id, b AS other FROM pairs UNION SELECT b, a FROM pairs UNION SELECT r.doc_id, p.other FROM reach r JOIN (SELECT a, b AS other FROM pairs UNION SELECT b, a FROM pairs) p ON p.a = r.other), clu AS MATERIALIZED (SELECT doc_id, least(doc_id, min(other)) AS cluster_root FROM reach GROUP BY doc_id)"
+_CLASSES = "cls AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS head, count(*) OVER (PARTITION BY k) AS copies FROM (SELECT doc_id, string_agg(m::VARCHAR, '-' ORDER BY i) AS k FROM sig GROUP BY doc_id))"
+_WITH = f"""WITH RECURSIVE sig AS MATERIALIZED {_SIG}, {_CLASSES}, bands AS MATERIALIZED (SELECT b.* FROM {_BANDS} b WHERE doc_id IN (SELECT head FROM cls)),
+    cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id),
+    pairs AS MATERIALIZED (SELECT a, b, round(j, 4) AS jaccard, j FROM (SELECT c.a, c.b, count(*) / 128.0::DOUBLE AS j FROM cand c JOIN sig x ON x.doc_id = c.a JOIN sig y ON y.doc_id = c.b AND y.i = x.i AND y.m = x.m GROUP BY ALL) WHERE j >= 0.5)"""
+_REACH = "edges AS (SELECT a, b FROM pairs UNION SELECT doc_id, head FROM cls WHERE doc_id <> head), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, p.b FROM reach r JOIN both_ways p ON p.a = r.other), clu AS MATERIALIZED (SELECT doc_id, least(doc_id, min(other)) AS cluster_root FROM reach GROUP BY doc_id)"
 
 
 @query(f"SELECT doc_id, count(*) AS shingles FROM {_SHINGLES} GROUP BY ALL")
@@ -103,7 +112,7 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, i::INT AS i, m FROM {_SIG}")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.signatures(contents(spark, sf_dir), "doc_id").select(F.col("id").alias("doc_id"), F.posexplode("sig").alias("i", "m"))
+    return lsh.signature_slots(contents(spark, sf_dir), "doc_id").withColumnRenamed("id", "doc_id")
 
 
 @query(f"WITH sig AS {_SIG} SELECT * FROM {_BANDS}")
@@ -118,50 +127,63 @@ def lsh_bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.agg(F.sum("ids").alias("indexed_count"), F.count(F.lit(1)).alias("bucket_count"), F.max("n").alias("largest_bucket"))
 
 
+def _heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return lsh.classes(contents(spark, sf_dir), "doc_id")
+
+
 @query(f"{_WITH} SELECT * FROM cand")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.candidates(lsh.band_table(lsh.signatures(contents(spark, sf_dir), "doc_id")))
+    """Pairs of representatives of distinct signatures that share a band."""
+    return lsh.candidates(lsh.band_table(_heads(spark, sf_dir)[0].select("id", "sig")))
 
 
-@query(f"{_WITH} SELECT * FROM pairs")
+@query(f"{_WITH} SELECT a, b, jaccard FROM pairs")
 def lsh_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.similar_pairs(contents(spark, sf_dir), "doc_id")
+    """Pairs of representatives of distinct signatures; lsh_members says whom they stand for."""
+    return lsh.similar_pairs(_heads(spark, sf_dir)[0].select("id", "sig"))
 
 
-_QUERY = "(SELECT query_id, doc_id, j FROM (SELECT c.a AS query_id, c.b AS doc_id, count(*) / 128.0::DOUBLE AS j FROM (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key WHERE x.doc_id % 10 = 0 AND y.doc_id % 10 <> 0) c JOIN sig x ON x.doc_id = c.a JOIN sig y ON y.doc_id = c.b AND y.i = x.i AND y.m = x.m GROUP BY ALL))"
+@query(f"WITH sig AS MATERIALIZED {_SIG}, {_CLASSES} SELECT * FROM cls")
+def lsh_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, member = _heads(spark, sf_dir)
+    return member.join(heads.select(F.col("id").alias("head"), "copies"), "head").select(F.col("id").alias("doc_id"), "head", "copies")
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """An asymmetric search needs two sides: ids that end in 0 are the queries, all others the index."""
-    docs = contents(spark, sf_dir)
-    return docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 <> 0")
+@query(f"{_WITH} SELECT (row_number() OVER (ORDER BY jaccard DESC, a, b))::INT AS place, a, b, jaccard FROM pairs QUALIFY place <= 20")
+def lsh_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the 20 most similar pairs, in order."""
+    from pyspark.sql import Window
+
+    top = lsh.most_similar(lsh.similar_pairs(_heads(spark, sf_dir)[0].select("id", "sig")), 20)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("jaccard"), "a", "b")).alias("place"), "a", "b", "jaccard")  # 20 rows
 
 
-@query(f"WITH sig AS MATERIALIZED {_SIG}, bands AS MATERIALIZED {_BANDS} SELECT query_id, doc_id, round(j, 4) AS jaccard FROM {_QUERY} WHERE j >= 0.5")
+@query(
+    f"""{_WITH}, q AS (SELECT doc_id AS query_id, head FROM cls WHERE doc_id % {QUERY_STEP} = 0),
+    near AS (SELECT a, b, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs UNION ALL SELECT DISTINCT head, head, 1.0::DOUBLE FROM cls)
+    SELECT * FROM (SELECT q.query_id, near.b AS doc_id, near.jaccard, c.copies - (near.b = q.head)::INT AS copies FROM q JOIN near ON near.a = q.head JOIN cls c ON c.doc_id = near.b) WHERE copies > 0"""
+)
 def lsh_query_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.query_similar(*_halves(spark, sf_dir), "doc_id").withColumnRenamed("id", "doc_id")
+    """Every document whose id is divisible by QUERY_STEP against all documents: the representatives that are similar, and how many other documents each stands for."""
+    heads, member = _heads(spark, sf_dir)
+    queries = contents(spark, sf_dir).where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("id"))
+    return lsh.query_similar(queries, heads, member).withColumnRenamed("id", "doc_id")
 
 
-@query(f"WITH sig AS MATERIALIZED {_SIG}, bands AS MATERIALIZED {_BANDS}, hit AS (SELECT DISTINCT query_id FROM {_QUERY} WHERE j >= 0.95) SELECT doc_id AS query_id, doc_id IN (SELECT query_id FROM hit) AS is_duplicate FROM documents WHERE doc_id % 10 = 0")
+@query(f"{_WITH} SELECT d.doc_id AS query_id, coalesce(c.copies > 1 OR c.head IN (SELECT unnest([a, b]) FROM pairs WHERE j >= 0.95), false) AS is_duplicate FROM documents d LEFT JOIN cls c USING (doc_id)")
 def lsh_is_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.is_duplicate(*_halves(spark, sf_dir), "doc_id")
-
-
-@query(f"{_WITH} SELECT a AS query_id, b AS doc_id, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs")
-def lsh_query_similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document a query against all others."""
-    return lsh.query_all(contents(spark, sf_dir), "doc_id").withColumnRenamed("id", "doc_id")
-
-
-@query(f"{_WITH} SELECT doc_id AS query_id, doc_id IN (SELECT unnest([a, b]) FROM pairs WHERE jaccard >= 0.95) AS is_duplicate FROM documents")
-def lsh_is_duplicate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document, whether any other one nearly equals it."""
-    return lsh.duplicates_all(contents(spark, sf_dir), "doc_id")
+    return lsh.duplicates(contents(spark, sf_dir), "doc_id")
 
 
 @query(f"{_WITH}, {_REACH} SELECT * FROM clu")
 def lsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.clusters(lsh.similar_pairs(contents(spark, sf_dir), "doc_id")).withColumnRenamed("id", "doc_id")
+    return lsh.clusters(lsh.links(contents(spark, sf_dir), "doc_id")).withColumnRenamed("id", "doc_id")
+
+
+@query(f"{_WITH}, {_REACH} SELECT row_number() OVER (ORDER BY size DESC, cluster_root) - 1 AS cluster_id, cluster_root, size FROM (SELECT cluster_root, count(*) AS size FROM clu GROUP BY ALL)")
+def lsh_cluster_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.numbered_clusters(lsh.clusters(lsh.links(contents(spark, sf_dir), "doc_id")))
 
 
 _CLUSTER_STATS = "SELECT cluster_root, max(n) AS size, round(sum(s) / sum(1.0::DOUBLE) + 0.0, 4) AS avg_similarity FROM (SELECT x.cluster_root, (SELECT count(*) FROM clu c WHERE c.cluster_root = x.cluster_root) AS n, (SELECT count(*) FROM sig p JOIN sig q ON p.i = q.i AND p.m = q.m WHERE p.doc_id = x.doc_id AND q.doc_id = y.doc_id) / 128.0::DOUBLE AS s FROM clu x JOIN clu y ON x.cluster_root = y.cluster_root AND x.doc_id < y.doc_id) GROUP BY cluster_root"
@@ -170,17 +192,33 @@ _CLUSTER_STATS = "SELECT cluster_root, max(n) AS size, round(sum(s) / sum(1.0::D
 @query(f"{_WITH}, {_REACH} {_CLUSTER_STATS}")
 def lsh_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = contents(spark, sf_dir)
-    return lsh.cluster_stats(lsh.clusters(lsh.similar_pairs(docs, "doc_id")), lsh.signatures(docs, "doc_id"))
-
+    return lsh.cluster_stats(lsh.clusters(lsh.links(docs, "doc_id")), lsh.signatures(docs, "doc_id"))
 
-_TRUTH = f"(SELECT a, b FROM {_JACCARD} WHERE jaccard >= 0.5)"
 
-
-@query(f"{_WITH} SELECT (SELECT count(*) FROM pairs) AS found, (SELECT count(*) FROM {_TRUTH}) AS relevant, count(*) AS both, round(count(*)::DOUBLE / (SELECT count(*) FROM pairs), 6) AS precision, round(count(*)::DOUBLE / (SELECT count(*) FROM {_TRUTH}), 6) AS recall FROM pairs JOIN {_TRUTH} t USING (a, b)")
+@query(
+    f"""{_WITH}, {_SETS}, uniq AS MATERIALIZED (SELECT min(doc_id) AS doc_id FROM documents WHERE length(text) > 0 GROUP BY text),
+    found AS MATERIALIZED (SELECT least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM pairs p JOIN cls x ON x.head = p.a JOIN cls y ON y.head = p.b WHERE x.doc_id IN (FROM uniq) AND y.doc_id IN (FROM uniq)
+        UNION SELECT x.doc_id, y.doc_id FROM cls x JOIN cls y ON x.head = y.head AND x.doc_id < y.doc_id WHERE x.doc_id IN (FROM uniq) AND y.doc_id IN (FROM uniq)),
+    truth AS MATERIALIZED (SELECT least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM jac p JOIN sets x ON x.head = p.a JOIN sets y ON y.head = p.b WHERE p.jaccard >= 0.5 AND x.doc_id IN (FROM uniq) AND y.doc_id IN (FROM uniq)
+        UNION SELECT x.doc_id, y.doc_id FROM sets x JOIN sets y ON x.head = y.head AND x.doc_id < y.doc_id WHERE x.doc_id IN (FROM uniq) AND y.doc_id IN (FROM uniq))
+    SELECT (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM truth) AS relevant, count(*) AS both, round(count(*)::DOUBLE / (SELECT count(*) FROM found), 6) AS precision, round(count(*)::DOUBLE / (SELECT count(*) FROM truth), 6) AS recall FROM found JOIN truth USING (a, b)"""
+)
 def lsh_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Found pairs against pairs that share half of their blocks."""
-    docs = contents(spark, sf_dir)
-    found, truth = lsh.similar_pairs(docs, "doc_id").select("a", "b", F.lit(1).alias("f")), cas.jaccard_pairs(docs, BLOCK, "doc_id").where("jaccard >= 0.5").select("a", "b", F.lit(1).alias("t"))
+    """Found pairs of different texts against pairs that share half of their blocks; equal texts are one."""
+    docs = contents(spark, sf_dir).where(C.size_of(F.col("content")) > 0)
+    first = docs.groupBy(F.sha2("content", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    docs = cut(docs.join(first, "doc_id"))
+    heads, member = lsh.classes(docs, "doc_id")
+    sets, of = cas.block_sets(docs, BLOCK, "doc_id")
+
+    def expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
+        """Pairs of representatives as pairs of the (different) texts that they stand for."""
+        every = pairs.select("a", "b").unionByName(member.select(F.col("head").alias("a"), F.col("head").alias("b")).distinct())
+        both = every.join(member.toDF("x", "a"), "a").join(member.toDF("y", "b"), "b").where("a <> b OR x < y")
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    found = expanded(lsh.similar_pairs(heads.select("id", "sig")), member).withColumn("f", F.lit(1))
+    truth = expanded(cas.jaccard_pairs(sets).where("jaccard >= 0.5"), of).withColumn("t", F.lit(1))
     n = found.join(truth, ["a", "b"], "full").agg(F.count("f").alias("found"), F.count("t").alias("relevant"), F.count(F.col("f") + F.col("t")).alias("both"))
     return n.select("*", F.round(F.try_divide("both", "found"), 6).alias("precision"), F.round(F.try_divide("both", "relevant"), 6).alias("recall"))
 
@@ -194,7 +232,7 @@ def lsh_s_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of clusters: (doc_id, content, cluster_root)."""
     docs = contents(spark, sf_dir)
-    return docs.join(lsh.clusters(lsh.similar_pairs(docs, "doc_id")).withColumnRenamed("id", "doc_id"), "doc_id")
+    return docs.join(lsh.clusters(lsh.links(docs, "doc_id")).withColumnRenamed("id", "doc_id"), "doc_id")
 
 
 _SIZED = "sized AS (SELECT c.cluster_root, d.doc_id, octet_length(encode(d.text)) AS n, d.text FROM clu c JOIN documents d USING (doc_id)), ref AS (SELECT cluster_root, arg_max(doc_id, (n, -doc_id)) AS reference_id, max(n) AS n_bytes FROM sized GROUP BY ALL)"
@@ -206,41 +244,43 @@ def delta_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _against(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkfold.functions.lineage import cut
-
     docs = cut(_grouped(spark, sf_dir))
     return delta.with_reference(docs, delta.references(docs, "cluster_root", "doc_id"), "cluster_root", "doc_id")
 
 
+_TARGETS = "FROM sized s JOIN ref r USING (cluster_root) JOIN documents d ON d.doc_id = r.reference_id WHERE s.doc_id <> r.reference_id"
+#: The XOR of target and reference as hex, and how many of its bytes aren't zero.
+_XOR = f"""xored AS (SELECT cluster_root, doc_id, n, string_agg(printf('%02X', xor(('0x' || substr(x, i * 2 + 1, 2))::INT, ('0x' || substr(y, i * 2 + 1, 2))::INT)), '' ORDER BY i) AS z, sum((substr(x, i * 2 + 1, 2) <> substr(y, i * 2 + 1, 2))::INT)::BIGINT AS differing
+    FROM (SELECT cluster_root, doc_id, n, rpad(x, greatest(length(x), length(y))::INT, '0') AS x, rpad(y, greatest(length(x), length(y))::INT, '0') AS y FROM (SELECT s.cluster_root, s.doc_id, s.n, hex(encode(s.text)) AS x, hex(encode(d.text)) AS y {_TARGETS})), unnest(range(0, length(x) // 2)) AS u(i) GROUP BY ALL)"""
+
+
 @query(f"{_WITH}, {_REACH}, {_SIZED} SELECT s.cluster_root, s.doc_id, r.reference_id, s.n AS target_size, r.n_bytes AS reference_size FROM sized s JOIN ref r USING (cluster_root) WHERE s.doc_id <> r.reference_id")
 def delta_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _against(spark, sf_dir).select("cluster_root", F.col("id").alias("doc_id"), "reference_id", C.size_of(F.col("content")).alias("target_size"), C.size_of(F.col("reference")).alias("reference_size"))
 
 
-@query(
-    f"""{_WITH}, {_REACH}, {_SIZED}, o AS (SELECT s.doc_id, hex(encode(s.text)) AS x, hex(encode(d.text)) AS y FROM sized s JOIN ref r USING (cluster_root) JOIN documents d ON d.doc_id = r.reference_id WHERE s.doc_id <> r.reference_id)
-    SELECT doc_id, greatest(length(x), length(y)) // 2 AS xor_size, len(list_filter(list_zip(regexp_extract_all(rpad(x, greatest(length(x), length(y))::INT, '0'), '..'), regexp_extract_all(rpad(y, greatest(length(x), length(y))::INT, '0'), '..')), lambda p: p[1] <> p[2])) AS differing FROM o"""
-)
+@query(f"{_WITH}, {_REACH}, {_SIZED}, {_XOR} SELECT doc_id, length(z) // 2 AS xor_size, differing, sha256(unhex(z)) AS xor_hash FROM xored")
 def delta_xor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _against(spark, sf_dir)
-    return p.select(F.col("id").alias("doc_id"), F.greatest(C.size_of(F.col("content")), C.size_of(F.col("reference"))).alias("xor_size"), delta.differing_bytes(F.col("content"), F.col("reference")).alias("differing"))
+    p = _against(spark, sf_dir).select(F.col("id").alias("doc_id"), delta.xor("content", "reference").alias("z"))
+    return p.select("doc_id", C.size_of(F.col("z")).alias("xor_size"), delta.differing_bytes(F.col("z")).alias("differing"), F.sha2("z", 256).alias("xor_hash"))
 
 
-@query(f"{_WITH}, {_REACH}, {_SIZED} SELECT s.doc_id, true AS restored, true AS wrong_reference_caught FROM sized s JOIN ref r USING (cluster_root) WHERE s.doc_id <> r.reference_id")
+@query(f"{_WITH}, {_REACH}, {_SIZED} SELECT s.doc_id, sha256(encode(s.text)) AS restored_hash, sha256(encode(d.text)) AS reference_hash, 'hash mismatch of the reference' AS wrong_reference {_TARGETS}")
 def delta_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoding against the right reference, and against another one."""
-    e = _against(spark, sf_dir).withColumn("e", delta.encoder(3)(F.col("reference"), F.col("content")))
+    """What comes back from each delta against the right reference, and what another one gives."""
+    e = _against(spark, sf_dir).withColumn("e", delta.encoder()(F.col("reference"), F.col("content")))
     args = (F.col("e.delta"), F.col("e.method"), F.col("e.reference_hash"), F.col("e.target_hash"), C.size_of(F.col("content")))
     right, wrong = delta.decode(F.col("reference"), *args), delta.decode(F.concat(F.col("reference"), F.lit(b"?")), *args)
-    d = e.select(F.col("id").alias("doc_id"), "content", right.alias("r"), wrong.alias("w"))
-    return d.select("doc_id", F.coalesce(F.col("r.content") == F.col("content"), F.lit(False)).alias("restored"), F.col("w.error").isNotNull().alias("wrong_reference_caught"))
+    d = e.select(F.col("id").alias("doc_id"), right.alias("r"), wrong.alias("w"), "e")
+    return d.select("doc_id", F.sha2("r.content", 256).alias("restored_hash"), F.col("e.reference_hash").alias("reference_hash"), F.col("w.error").alias("wrong_reference"))
 
 
-@query(f"{_WITH}, {_REACH}, {_SIZED} SELECT s.cluster_root, count(*) AS targets, sum(s.n)::BIGINT AS original_bytes, true AS all_smaller FROM sized s JOIN ref r USING (cluster_root) WHERE s.doc_id <> r.reference_id AND s.n >= 64 GROUP BY ALL")
+@query(f"{_WITH}, {_REACH}, {_SIZED}, {_XOR} SELECT cluster_root, count(*) AS targets, sum(n)::BIGINT AS original_bytes, sum(differing)::BIGINT AS differing_bytes, round((1 - sum(differing)::DOUBLE / sum(n)) * 100, 1) AS saved_percent FROM xored GROUP BY ALL")
 def delta_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the deltas of each cluster are smaller than its targets (those of at least 64 bytes); compressed sizes depend on the library."""
-    e = _against(spark, sf_dir).where(C.size_of(F.col("content")) >= 64).withColumn("d", C.size_of(delta.encoder()(F.col("reference"), F.col("content"))["delta"]))
-    return e.groupBy("cluster_root").agg(F.count(F.lit(1)).alias("targets"), F.sum(C.size_of(F.col("content"))).alias("original_bytes"), (F.sum("d") < F.sum(C.size_of(F.col("content")))).alias("all_smaller"))
+    """What each cluster saves if only bytes that differ from the reference are kept; what zstd makes of the deltas depends on its version, tests hold it against the originals."""
+    e = _against(spark, sf_dir).select("cluster_root", C.size_of(F.col("content")).alias("n"), delta.differing_bytes(delta.xor("content", "reference")).alias("d"))
+    sums = e.groupBy("cluster_root").agg(F.count(F.lit(1)).alias("targets"), F.sum("n").alias("original_bytes"), F.sum("d").alias("differing_bytes"))
+    return sums.withColumn("saved_percent", delta.savings_percent(F.col("original_bytes"), F.col("differing_bytes")))
 
 
 _WIN = f"(SELECT doc_id, pos AS window_index, pos * {WINDOW}::BIGINT AS original_offset, length(h) // 2 AS original_size, sha256(unhex(h)) AS checksum FROM {hex_blocks(WINDOW)})"
@@ -251,9 +291,23 @@ def window_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.split(contents(spark, sf_dir), WINDOW, "doc_id").drop("data")
 
 
-@query(f"SELECT *, coalesce(sum(original_size) OVER (PARTITION BY doc_id ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_offset FROM {_WIN}")
+#: Windows with the size of their run lengths: two bytes for each run of at most 255 bytes.
+_PACKED = f"""(SELECT w.*, r.compressed_size FROM {_WIN} w JOIN (SELECT doc_id, pos AS window_index, sum(2 * ((len + 254) // 255))::BIGINT AS compressed_size FROM
+    (SELECT doc_id, pos, run, count(*) AS len FROM (SELECT doc_id, pos, i, sum(fresh) OVER (PARTITION BY doc_id, pos ORDER BY i) AS run FROM
+        (SELECT doc_id, pos, i, CASE WHEN i > 0 AND substr(h, i * 2 + 1, 2) = substr(h, i * 2 - 1, 2) THEN 0 ELSE 1 END AS fresh FROM {hex_blocks(WINDOW)}, unnest(range(0, length(h) // 2)) AS u(i))) GROUP BY ALL) GROUP BY doc_id, pos) r USING (doc_id, window_index))"""
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as run lengths, whose sizes no library decides."""
+    return windows.compress(windows.split(contents(spark, sf_dir), WINDOW, "doc_id"), codec="run_length")
+
+
+@query(f"SELECT *, coalesce(sum(compressed_size) OVER (PARTITION BY doc_id ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_offset FROM {_PACKED}")
 def window_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.manifest(windows.split(contents(spark, sf_dir), WINDOW, "doc_id").drop("data"), "original_size", "doc_id")
+    """The manifest, through JSON and back."""
+    rows = windows.manifest(_packed(spark, sf_dir).drop("packed"), id_col="doc_id")
+    back = windows.manifest_rows(windows.manifest_json(rows, "doc_id"), "doc_id")
+    return back.select("doc_id", "window_index", "original_offset", "original_size", "checksum", "compressed_size", "stream_offset")
 
 
 @query(f"SELECT doc_id, original_size, checksum FROM {_WIN} WHERE window_index = 1")
@@ -261,14 +315,13 @@ def window_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.seek(windows.split(contents(spark, sf_dir), WINDOW, "doc_id"), 1).select("doc_id", "original_size", "checksum")
 
 
-@query("SELECT doc_id, true AS restored FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, octet_length(encode(text)) AS original_size, sha256(encode(text)) AS restored_hash FROM documents WHERE length(text) > 0")
 def window_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows compressed, read back with their checksums and joined again."""
-    docs = contents(spark, sf_dir)
-    back = windows.restore(windows.compress(windows.split(docs, WINDOW, "doc_id"), 3), "doc_id").select("doc_id", F.sha2("content", 256).alias("h"))
-    return back.join(docs.select("doc_id", F.sha2("content", 256).alias("w")), "doc_id").select("doc_id", F.coalesce(F.col("h") == F.col("w"), F.lit(False)).alias("restored"))
+    """Windows compressed at level 19, read back with their checksums and joined again."""
+    packed = windows.compress(windows.split(contents(spark, sf_dir), WINDOW, "doc_id"))
+    return windows.restore(packed, "doc_id").select("doc_id", C.size_of(F.col("content")).alias("original_size"), F.sha2("content", 256).alias("restored_hash"))
 
 
-@query(f"SELECT doc_id, window_index, window_index + 1 AS done, count(*) OVER (PARTITION BY doc_id) AS total, 1.0::DOUBLE AS ratio FROM {_WIN}")
+@query(f"SELECT doc_id, window_index, window_index + 1 AS done, count(*) OVER (PARTITION BY doc_id) AS total, round(sum(original_size) OVER w / (sum(compressed_size) OVER w)::DOUBLE, 6) AS ratio FROM {_PACKED} WINDOW w AS (PARTITION BY doc_id ORDER BY window_index)")
 def window_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.progress(windows.split(contents(spark, sf_dir), WINDOW, "doc_id").drop("data"), "original_size", "doc_id")
+    return windows.progress(_packed(spark, sf_dir).drop("packed"), id_col="doc_id")

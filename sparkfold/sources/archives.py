@@ -16,9 +16,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfold.operators import components
 
+from . import pdf
+
 Part = tuple[str, str, bytes]
 
 
@@ -36,62 +39,63 @@ def zip_parts(data: bytes) -> list[Part]:
     return found
 
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj(.*?)endobj", re.DOTALL)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
-_TEXT = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|')|\[((?:\\.|[^\]])*)\]\s*TJ", re.DOTALL)
-_BOX = re.compile(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)")
-_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"(": b"(", b")": b")", b"\\": b"\\"}
+def pdf_parts(data: bytes) -> list[Part]:
+    """Version, pages with their size, fonts, and the text and images of each page of a PDF."""
+    o = pdf.objects(data)
+    found: list[Part] = [("version", "metadata", data[5:8])]
+    for number, (head, _) in sorted(o.held.items()):
+        if re.search(rb"/Type\s*/Font\b", head):
+            found.append((str(number), "font", (re.search(rb"/BaseFont\s*/([^\s/<>\[\]]+)", head) or [b"", b""])[1]))
+    for page in pdf.pages(data):
+        found.append((f"page {page.number}", "layout", f"{page.width:g}x{page.height:g}".encode()))
+        found += [(f"page {page.number}" + (f" {e.name}" if e.name else ""), e.type, e.data) for e in page.elements]
+    return found
 
 
-def _plain(raw: bytes) -> bytes:
-    return re.sub(rb"\\(.)", lambda m: _ESCAPED.get(m[1], m[1]), raw, flags=re.DOTALL)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def member_names(content: pa.Array) -> pa.Array:
+    """The names in an archive; null for what is none."""
+    out = []
+    for v in content:
+        data = v.as_py() if v.is_valid else b""
+        try:
+            out.append(zipfile.ZipFile(io.BytesIO(data)).namelist() if data[:2] == b"PK" else None)
+        except (zipfile.BadZipFile, NotImplementedError):
+            out.append(None)
+    return pa.array(out, pa.list_(pa.string()))
 
 
-def pdf_parts(data: bytes) -> list[Part]:
-    """Pages with their size, text, images and fonts of a PDF whose objects stand in the open (object streams aren't read)."""
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("not a PDF")
-    found: list[Part] = [("version", "metadata", data[5:8])]
-    default = _BOX.search(data)
-    for number, body in _OBJECT.findall(data):
-        name = number.decode()
-        if re.search(rb"/Type\s*/Page\b", body):
-            box = _BOX.search(body) or default
-            sides = [float(v) for v in box.groups()] if box else [0.0, 0.0, 612.0, 792.0]
-            found.append((name, "layout", f"{sides[2] - sides[0]:g}x{sides[3] - sides[1]:g}".encode()))
-        if re.search(rb"/Type\s*/Font\b", body):
-            found.append((name, "font", (re.search(rb"/BaseFont\s*/([^\s/<>\[\]]+)", body) or [b"", b""])[1]))
-        if stream := _STREAM.search(body):
-            raw = stream[1]
-            if b"/FlateDecode" in body:
-                try:
-                    raw = zlib.decompress(raw)
-                except zlib.error:
-                    continue
-            if re.search(rb"/Subtype\s*/Image\b", body):
-                found.append((name, "image", raw))
-            elif text := b" ".join(_plain(a) if a else b"".join(_plain(s) for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)", b)) for a, b in _TEXT.findall(raw)):
-                if text.strip():
-                    found.append((name, "text", text))
-    return found
+@F.arrow_udf(T.BinaryType())
+def zip_of(paths: pa.Array, parts: pa.Array) -> pa.Array:
+    """An archive of the members with these names and contents."""
+    out = []
+    for names, datas in zip(paths.to_pylist(), parts.to_pylist(), strict=True):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in zip(names or [], datas or [], strict=True):
+                z.writestr(zipfile.ZipInfo(name), data or b"", compress_type=zipfile.ZIP_DEFLATED)
+        out.append(held.getvalue())
+    return pa.array(out, pa.binary())
 
 
-SCHEMA = "id long, ord int, path string, type string, hash string, data binary, error string"
+SCHEMA = "ord int, path string, type string, hash string, data binary, error string"
 
 
 def _parts(files: DataFrame, read: Callable[[bytes], list[Part]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one file at a time in memory
+            for i, data in enumerate(batch.column(1)):  # one file at a time in memory
                 try:
-                    rows = [(i, n, path, kind, hashlib.sha256(d).hexdigest() if d else "", d, None) for n, (path, kind, d) in enumerate(read(data.as_py() or b""))]
+                    rows = [(n, path, kind, hashlib.sha256(d).hexdigest() if d else "", d, None) for n, (path, kind, d) in enumerate(read(data.as_py() or b""))]
                 except (zipfile.BadZipFile, ValueError) as e:
-                    rows = [(i, 0, None, None, None, None, str(e))]
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "ord", "path", "type", "hash", "data", "error"])
-
-    return files.select(F.col("id").cast("long"), "content").mapInArrow(run, SCHEMA)
+                    rows = [(0, None, None, None, None, str(e))]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                ids = batch.column(0).slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
+                types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["id", "ord", "path", "type", "hash", "data", "error"])
+
+    some = files.select("id", "content")
+    return some.mapInArrow(run, T.StructType([some.schema["id"], *T.StructType.fromDDL(SCHEMA).fields]))
 
 
 def zip_components(files: DataFrame) -> DataFrame:

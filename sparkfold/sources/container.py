@@ -15,11 +15,13 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 MAGIC = bytes.fromhex("41495231")
 STREAM_MAGIC = bytes.fromhex("41495253545245414D31")
 HEADER, VERSION = 512, 1
+SUFFIX, HIDDEN = ".fold", ".writing"
 _FORM = "<4sIQQQ"
 SCHEMA = "name string, version int, original_size long, compressed_size long, strategy string, metadata map<string,string>, payload binary, error string"
 
@@ -52,6 +54,14 @@ def unpack(data: bytes) -> dict:
     return {"version": version, "original_size": original, "compressed_size": compressed, "strategy": meta.get("strategy_name", meta.get("strategy")), "metadata": meta, "payload": payload}
 
 
+def safe(name: str) -> str:
+    """A name that stays in its folder: parts that lead out of it are refused."""
+    parts = [p for p in name.split("/") if p not in ("", ".")]
+    if not parts or ".." in parts:
+        raise FormatError(f"{name!r} is no name for a file")
+    return "/".join(parts)
+
+
 def validate(data: bytes) -> bool:
     try:
         unpack(data)
@@ -76,24 +86,39 @@ def unpack_stream(data: bytes) -> tuple[dict, bytes]:
     return json.loads(data[n + 8 : n + 8 + length]), data[n + 8 + length :]
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores) and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.LocalFileSystem(), str(Path(path).absolute())
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
 
 class _Reader(DataSourceReader):
+    """The driver lists names; tasks open ``filesPerTask`` files each, wherever they are."""
+
     def __init__(self, options: dict):
-        self.folder, self.per_task = Path(options["path"].removeprefix("file:")), int(options.get("filesPerTask", 64))
+        self.folder, self.per_task = options["path"], int(options.get("filesPerTask", 64))
 
     def partitions(self) -> list[InputPartition]:
-        paths = sorted(map(str, [self.folder] if self.folder.is_file() else self.folder.rglob("*.fold")))
+        store, base = opened(self.folder)
+        if store.get_file_info(base).type == fs.FileType.File:
+            paths = [base]
+        else:
+            paths = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if f.path.endswith(SUFFIX))
         return [_Files(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
+        store, base = opened(self.folder)
         for p in partition.paths:
-            name = Path(p).stem
+            name = p.removeprefix(base).lstrip("/").removesuffix(SUFFIX) or Path(p).stem
             try:
-                c = unpack(Path(p).read_bytes())
+                with store.open_input_stream(p) as f:
+                    c = unpack(f.read())
                 yield (name, c["version"], c["original_size"], c["compressed_size"], c["strategy"], c["metadata"], c["payload"], None)
             except FormatError as e:
                 yield (name, None, None, None, None, None, None, str(e))
@@ -105,32 +130,53 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Tasks write under temporary names; the commit renames, so a task that runs twice leaves one file."""
+    """Tasks write under temporary names; the commit renames, so a task that runs twice leaves one file. Two rows of one name, or a name that is there already, are an error and leave the folder as it was."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.folder, self.overwrite = Path(options["path"].removeprefix("file:")), overwrite
+        self.folder, self.overwrite = options["path"], overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        self.folder.mkdir(parents=True, exist_ok=True)
+        store, base = opened(self.folder)
+        store.create_dir(f"{base}/{HIDDEN}", recursive=True)
         moves = []
         for r in rows:
-            temporary = self.folder / f".{uuid.uuid4().hex}"
-            temporary.write_bytes(pack(bytes(r["payload"]), r["original_size"], r["strategy"], dict(r["metadata"] or {})))
-            moves.append((str(temporary), str(self.folder / f"{r['name']}.fold")))
+            temporary = f"{base}/{HIDDEN}/{uuid.uuid4().hex}"
+            with store.open_output_stream(temporary) as f:
+                f.write(pack(bytes(r["payload"]), r["original_size"], r["strategy"], dict(r["metadata"] or {})))
+            moves.append((temporary, f"{base}/{safe(r['name'])}{SUFFIX}"))
         return _Done(moves)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, base = opened(self.folder)
+        moves = [x for m in messages if m for x in m.moves]
+        there = [f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if f.path.endswith(SUFFIX)]
+        names = [b for _, b in moves]
+        clash = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set()
+        if not self.overwrite:
+            clash |= set(there) & set(names)
+        if clash:
+            self.abort(messages)
+            raise FileExistsError(f"several containers of one name: {', '.join(sorted(clash)[:5])}")
         if self.overwrite:
-            for old in self.folder.glob("*.fold"):
-                old.unlink()
-        for m in messages:
-            for a, b in m.moves if m else []:
-                Path(a).rename(b)
+            for old in there:
+                store.delete_file(old)
+        for folder in {b.rsplit("/", 1)[0] for b in names}:
+            store.create_dir(folder, recursive=True)
+        for a, b in moves:
+            store.move(a, b)
+        self._clean(store, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, base = opened(self.folder)
         for m in messages:
             for a, _ in m.moves if m else []:
-                Path(a).unlink(missing_ok=True)
+                store.delete_file(a)
+        self._clean(store, base)
+
+    @staticmethod
+    def _clean(store: fs.FileSystem, base: str) -> None:
+        if store.get_file_info(f"{base}/{HIDDEN}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/{HIDDEN}")
 
 
 class Container(DataSource):

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
+from sparkfold.operators import gradients, raster
+
+from . import archives
 
 
 def binary(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -27,10 +33,17 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,gif}").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(path)
 
 
-def json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, json) of files that hold an array of objects; pos counts within a file."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "v")).select("pos", F.to_json("v").alias("json"))
+def json_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(path, pos, json) of files that hold an array of objects; pos counts within a file.
+
+    With ``lines``, each line is an object; such files are read in splits, and pos ascends
+    without being dense.
+    """
+    if lines:
+        text = spark.read.text(path).where("trim(value) <> ''")
+        return text.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("json"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return text.select("path", F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "v")).select("path", "pos", F.to_json("v").alias("json"))
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -40,7 +53,10 @@ def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def patterned(spark: SparkSession, rows: int, size: int, kind: str = "text", seed: int = 42) -> DataFrame:
-    """(id, content) of generated content: text, json, low_entropy or high_entropy; the same for the same seed."""
+    """(id, content) of generated content: text, json, low_entropy, high_entropy, gradient_png, solid_png or docx; the same for the same seed.
+
+    ``size`` is in bytes, of images the pixels of a side.
+    """
     base = spark.range(rows)
     key = F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))
     if kind == "text":
@@ -52,6 +68,40 @@ def patterned(spark: SparkSession, rows: int, size: int, kind: str = "text", see
         data = F.unhex(F.repeat(F.lit("DEADBEEF"), size // 4))
     elif kind == "high_entropy":
         data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(size // 32 - 1, 0))), lambda i: F.sha2(F.concat_ws("/", key, i.cast("string")), 256)), ""))
+    elif kind in ("gradient_png", "solid_png"):
+        data = _image_udf(kind, size, seed)(F.col("id"))
+    elif kind == "docx":
+        body = F.concat(F.lit('<?xml version="1.0"?><w:document xmlns:w="urn:w"><w:body><w:p><w:t>'), F.substring(F.repeat(F.concat(F.md5(key), F.lit(" ")), size // 33 + 1), 1, size), F.lit("</w:t></w:p></w:body></w:document>"))
+        names = F.array(F.lit("[Content_Types].xml"), F.lit("_rels/.rels"), F.lit("word/document.xml"))
+        data = archives.zip_of(names, F.array(C.utf8(F.lit("<Types/>")), C.utf8(F.lit("<Relationships/>")), C.utf8(body)))
     else:
         raise ValueError(f"no content of kind {kind}")
     return base.select("id", data.alias("content"))
+
+
+def _image_udf(kind: str, size: int, seed: int):
+    @F.arrow_udf(T.BinaryType())
+    def draw(ids: pa.Array) -> pa.Array:
+        out = []
+        for i in ids.to_pylist():
+            start, stop = np.random.default_rng([seed, i]).integers(0, 256, (2, 3)).tolist()
+            out.append(raster.write("PNG", gradients.render({"width": size, "height": size, "angle": 90 * (i % 2), "start": start, "stop": stop if kind == "gradient_png" else start})))
+        return pa.array(out, pa.binary())
+
+    return draw
+
+
+#: (file name, kind, size) of a mixed collection of ten files.
+COLLECTION = (
+    ("text_small.txt", "text", 10_000), ("text_medium.txt", "text", 100_000), ("text_large.txt", "text", 1_000_000), ("log_medium.json", "json", 200_000), ("log_large.json", "json", 1_000_000),
+    ("low_entropy.bin", "low_entropy", 500_000), ("high_entropy.bin", "high_entropy", 500_000), ("gradient_512.png", "gradient_png", 512), ("solid_256.png", "solid_png", 256), ("report.docx", "docx", 4000),
+)
+
+
+def collection(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """(path, content) of the files of COLLECTION."""
+    out = None
+    for path, kind, size in COLLECTION:
+        one = patterned(spark, 1, size, kind, seed).select(F.lit(path).alias("path"), "content")
+        out = one if out is None else out.unionByName(one)
+    return out

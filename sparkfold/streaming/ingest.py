@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from sparkfold.functions import content as C
+from sparkfold.functions.lineage import cut
 from sparkfold.operators import cas, lsh, windows
 
 
@@ -44,20 +45,81 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     return every.groupBy("hash").agg(F.max("size").alias("size"), F.sum("ref_count").alias("ref_count"))
 
 
-def ingest_signatures(stream: DataFrame, folder: str, id_col: str = "doc_id") -> StreamingQuery:
-    return start(stream, folder, lambda b: lsh.signatures(b, id_col))
+def ingest_signatures(stream: DataFrame, folder: str, id_col: str = "doc_id", threshold: float = lsh.THRESHOLD) -> StreamingQuery:
+    """An index that grows: each batch is probed against the stored bands, and its new signatures, its members and the pairs that it adds are stored.
 
+    An item whose signature is known already is a member of the item that brought it,
+    so copies are neither indexed nor paired again.
+    """
+    spark = stream.sparkSession
 
-def read_pairs(spark: SparkSession, folder: str, threshold: float = lsh.THRESHOLD) -> DataFrame:
-    """Similar pairs over all batches."""
-    signed = spark.read.parquet(f"{folder}/data").select("id", "sig")
-    return lsh.verified(lsh.candidates(lsh.band_table(signed)), signed, threshold)
+    def stored(name: str, number: int, schema: str) -> DataFrame:
+        """What batches before this one hold."""
+        path = f"{folder}/{name}"
+        rows = spark.read.schema(f"{schema}, batch long").option("pathGlobFilter", "*.parquet").parquet(path) if exists(spark, path) else spark.createDataFrame([], f"{schema}, batch long")
+        return rows.where(F.col("batch") < number).drop("batch")
+
+    def write(batch: DataFrame, number: int) -> None:
+        kind = batch.schema[id_col].dataType.simpleString()
+        heads, member = lsh.classes(batch, id_col)
+        keyed = heads.select("id", "sig", F.sha2(F.array_join("sig", "-"), 256).alias("k"))
+        known = stored("index", number, f"id {kind}, sig array<long>, k string")
+        found = cut(keyed.join(known.select("k", F.col("id").alias("_first")), "k", "left"))
+        fresh = found.where("_first IS NULL").select("id", "sig", "k")
+        bands_of = lsh.band_table(fresh)
+        old = stored("bands", number, f"id {kind}, band int, key string")
+        mixed = bands_of.toDF("x", "band", "key").join(old.toDF("y", "band", "key"), ["band", "key"]).select("x", "y").distinct()
+        pairs = lsh.candidates(bands_of).unionByName(mixed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        near = lsh.verified(pairs, fresh.select("id", "sig").unionByName(known.select("id", "sig")), threshold)
+        heads_of = found.select(F.col("id").alias("head"), F.coalesce("_first", "id").alias("_head"))
+        for name, rows in (("pairs", near), ("members", member.join(heads_of, "head").select("id", F.col("_head").alias("head"))), ("bands", bands_of), ("index", fresh)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The similar pairs (a, b, jaccard) that all batches found, of representatives."""
+    return spark.read.parquet(f"{folder}/pairs").select("a", "b", "jaccard")
+
+
+def read_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, head) of all items: the first one with the same signature."""
+    return spark.read.parquet(f"{folder}/members").select("id", "head")
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``tell(batches, rows, rows a second)`` after each micro-batch; add it with ``spark.streams.addListener``."""
+
+    def __init__(self, tell: Callable[[int, int, float], None]):
+        self.tell, self.batches, self.rows = tell, 0, 0
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches, self.rows = self.batches + 1, self.rows + (p.numInputRows or 0)
+        self.tell(self.batches, self.rows, p.processedRowsPerSecond or 0.0)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
 
 
 def ingest_windows(stream: DataFrame, folder: str, window: int, id_col: str = "doc_id", level: int = windows.LEVEL) -> StreamingQuery:
     return start(stream, folder, lambda b: windows.compress(windows.split(b, window, id_col), level))
 
 
+def read_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of all batches, as ``windows.restore`` takes them."""
+    return spark.read.parquet(f"{folder}/data").drop("batch")
+
+
 def event_counts(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of tumbling or sliding windows; works on streams and tables."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
