@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes up to which a table is broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -85,6 +85,10 @@ def _best(content: pa.Array, names: pa.Array) -> pa.Array:
     return pa.array(out, _KEPT)
 
 
+#: Marked so that no rule of the planner copies it into the sides of a union or evaluates it twice.
+_best = _best.asNondeterministic()
+
+
 def relative(path: Column, root: str | None) -> Column:
     """The path below the root; without one all of it but the scheme. Two files of one source never have the same."""
     plain = F.regexp_replace(path, "^[A-Za-z0-9]+:/*", "")

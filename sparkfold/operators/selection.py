@@ -68,7 +68,8 @@ def registered(found: DataFrame, names: Sequence[str] = REGISTERED) -> DataFrame
 def ranking(names: Sequence[str] = REGISTERED) -> Column:
     """Of a report row, its candidates in order: by priority, estimate downwards, name; a strategy once, the fallback last if no rule gave it. At most as many as rules, so it is ranked in the row."""
     found = F.array_sort(_proposed(names))
-    first = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: y.strategy == x.strategy))
+    none = F.array().cast("array<struct<priority:int,_less:double,strategy:string>>")
+    first = F.aggregate(found, none, lambda kept, x: F.when(F.exists(kept, lambda y: y.strategy == x.strategy), kept).otherwise(F.concat(kept, F.array(x))))
     last = F.struct(F.lit(999).alias("priority"), (-F.col("est_ratio").cast("double")).alias("_less"), F.lit(FALLBACK).alias("strategy"))
     return F.when(F.exists(found, lambda x: x.strategy == FALLBACK), first).otherwise(F.concat(first, F.array(last)))
 

@@ -40,15 +40,20 @@ def zip_parts(data: bytes) -> list[Part]:
 
 
 def pdf_parts(data: bytes) -> list[Part]:
-    """Version, pages with their size, fonts, and the text and images of each page of a PDF."""
+    """Version, size, text and images of each page, text that no page refers to, and fonts of a PDF."""
     o = pdf.objects(data)
     found: list[Part] = [("version", "metadata", data[5:8])]
-    for number, (head, _) in sorted(o.held.items()):
-        if re.search(rb"/Type\s*/Font\b", head):
-            found.append((str(number), "font", (re.search(rb"/BaseFont\s*/([^\s/<>\[\]]+)", head) or [b"", b""])[1]))
     for page in pdf.pages(data):
         found.append((f"page {page.number}", "layout", f"{page.width:g}x{page.height:g}".encode()))
         found += [(f"page {page.number}" + (f" {e.name}" if e.name else ""), e.type, e.data) for e in page.elements]
+    used = {n for head, _ in o.held.values() for n in o.refs(head, b"/Contents")}
+    for number, (head, raw) in sorted(o.held.items()):
+        if raw is not None and number not in used and not re.search(rb"/(?:Subtype\s*/Image|Type\s*/(?:ObjStm|XRef|XObject))\b", head):
+            if (text := pdf.text_of(raw)).strip():
+                found.append((str(number), "text", text))
+    for number, (head, _) in sorted(o.held.items()):
+        if re.search(rb"/Type\s*/Font\b", head):
+            found.append((str(number), "font", (re.search(rb"/BaseFont\s*/([^\s/<>\[\]]+)", head) or [b"", b""])[1]))
     return found
 
 

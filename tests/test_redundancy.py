@@ -45,11 +45,13 @@ def test_jaccard_brute_force(spark):
     data += data[:5]
     sets = [{d[i : i + 64] for i in range(0, len(d), 64)} for d in data]
     want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in itertools.combinations(range(30), 2) if sets[a] & sets[b]}
-    got = {(r["a"], r["b"]): (r["inter"], r["uni"]) for r in cas.jaccard_pairs(items(spark, *data), 64).collect()}
-    assert got == want
-    df = items(spark, *data)
-    m = {(r["i"], r["j"]): r["score"] for r in cas.similarity_matrix(df.select("id"), cas.jaccard_pairs(df, 64)).collect()}
-    assert len(m) == 900 and all(m[i, j] == m[j, i] for i, j in m) and all(m[i, i] == 1.0 for i in range(30))
+    blocks, member = cas.block_sets(items(spark, *data), 64)
+    of = {r["id"]: r["head"] for r in member.collect()}
+    assert of == {i: min(j for j in range(30) if sets[j] == sets[i]) for i in range(30)}
+    got = {(r["a"], r["b"]): (r["inter"], r["uni"]) for r in cas.jaccard_pairs(blocks).collect()}
+    assert got == {p: n for p, n in want.items() if of[p[0]] == p[0] and of[p[1]] == p[1]}
+    m = {(r["i"], r["j"]): r["score"] for r in cas.similarity_cells(member.select(F.col("head").alias("id")), cas.jaccard_pairs(blocks)).collect()}
+    assert all(m[i, j] == m[j, i] for i, j in m) and all(m[i, i] == 1.0 for i in set(of.values()))
 
 
 def near(rng, base, edits):
@@ -64,17 +66,21 @@ def test_similarity(spark):
     base = rng.randbytes(8192)
     data = [near(rng, base, 40) for _ in range(5)] + [rng.randbytes(8192), b"", b"", b"tiny", b"tiny", base, base]
     df = items(spark, *data)
-    pairs = {(r["a"], r["b"]): r["jaccard"] for r in lsh.similar_pairs(df).collect()}
-    assert pairs[8, 9] == 1.0 and pairs[10, 11] == 1.0 and (6, 7) not in pairs and not any(5 in p for p in pairs)
+    heads, member = lsh.classes(df)
+    pairs = {(r["a"], r["b"]): r["jaccard"] for r in lsh.similar_pairs(heads.select("id", "sig")).collect()}
+    of = {r["id"]: r["head"] for r in member.collect()}
+    assert of[9] == 8 and of[11] == 10 and 6 not in of and not any({5, 9, 11} & set(p) for p in pairs)
+    top = [r["jaccard"] for r in lsh.most_similar(lsh.similar_pairs(heads.select("id", "sig")), 3).collect()]
+    assert top == sorted(pairs.values(), reverse=True)[:3]
     truth = {i: set(lsh.reduced_shingles(d).tolist()) for i, d in enumerate(data)}
     for (a, b), j in pairs.items():
         assert abs(j - len(truth[a] & truth[b]) / len(truth[a] | truth[b])) < 0.2
-    clustered = {r["id"]: r["cluster_root"] for r in lsh.clusters(lsh.similar_pairs(df)).collect()}
+    clustered = {r["id"]: r["cluster_root"] for r in lsh.clusters(lsh.links(df)).collect()}
     assert {clustered[i] for i in (0, 1, 2, 3, 4, 10, 11)} == {0} and clustered[9] == 8 and 5 not in clustered
     with pytest.raises(ValueError):
         lsh.band_table(lsh.signatures(df), 33)
-    hits = {r["query_id"]: r["is_duplicate"] for r in lsh.is_duplicate(df.where("id IN (5, 6, 10)"), df.where("id IN (0, 11)")).collect()}
-    assert hits == {5: False, 6: False, 10: True}
+    numbers = [tuple(r) for r in lsh.numbered_clusters(lsh.clusters(lsh.links(df))).orderBy("cluster_id").collect()]
+    assert numbers == [(0, 0, 7), (1, 8, 2)]
 
 
 def test_signatures_are_exact(spark):
@@ -135,3 +141,45 @@ def test_windows(spark):
     assert windows.seek(w, 2).count() == 1
     with pytest.raises(ValueError):
         windows.seek(w, -1)
+
+
+def test_manifest_through_json(spark):
+    w = windows.manifest(windows.compress(windows.split(items(spark, b"ab" * 5000, b"c"), 4096), codec="run_length"))
+    back = windows.manifest_rows(windows.manifest_json(w))
+    keep = ("id", "window_index", "original_offset", "original_size", "compressed_size", "stream_offset", "checksum")
+    assert sorted(map(tuple, back.select(*keep).collect())) == sorted(map(tuple, w.select(*keep).collect()))
+    assert {r[0] for r in back.select("format_version").collect()} == {windows.VERSION}
+    with pytest.raises(ValueError):
+        windows.packer(codec="delta_run_length")
+
+
+def test_deltas_are_smaller(spark):
+    rng = random.Random(9)
+    base = rng.randbytes(20_000)
+    rows = [(i, bytearray(base), bytearray(near(rng, base, 100))) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, r binary, t binary").withColumn("e", delta.encoder()(F.col("r"), F.col("t")))
+    assert all(r["n"] < 5000 for r in df.select(F.octet_length("e.delta").alias("n")).collect())
+    saved = df.select(delta.savings_percent(F.octet_length("t"), F.octet_length("e.delta")).alias("s")).collect()
+    assert all(75 < r["s"] < 100 for r in saved)
+
+
+def test_growing_index(spark, tmp_path):
+    """Batches give the pairs and members of the whole, without pairing old items again."""
+    from sparkfold.streaming import ingest
+
+    rng = random.Random(10)
+    base = "".join(rng.choices("abcdefghij ", k=3000))
+    other = "".join(rng.choices("klmnopqrst ", k=3000))
+    parts = [[(1, base), (2, other)], [(3, base), (4, base[:2900] + "x" * 100)], [(5, other), (6, other[:2950] + "yy"), (7, "".join(rng.choices("uvwxyz ", k=3000)))]]
+    source, out, told = str(tmp_path / "in"), str(tmp_path / "out"), []
+    listener = ingest.Progress(lambda *a: told.append(a))
+    spark.streams.addListener(listener)
+    for part in parts:
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest_signatures(ingest.content_stream(spark, source, spark.read.parquet(source).schema), out).awaitTermination()
+    spark.streams.removeListener(listener)
+    whole = spark.createDataFrame([d for p in parts for d in p], "doc_id long, text string").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    heads, member = lsh.classes(whole, "doc_id")
+    assert sorted(map(tuple, ingest.read_pairs(spark, out).collect())) == sorted(map(tuple, lsh.similar_pairs(heads.select("id", "sig")).collect()))
+    assert {r["id"]: r["head"] for r in ingest.read_members(spark, out).collect()} == {r["id"]: r["head"] for r in member.collect()}
+    assert [n for n, _, _ in told] == list(range(1, len(told) + 1))

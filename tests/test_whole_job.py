@@ -21,8 +21,8 @@ def near(rng, base, edits):
     return bytes(b)
 
 
-def test_every_document_is_a_query(spark):
-    """10 and 20, and 11 and 12, are copies on one side of the split by the last digit."""
+def test_every_item_is_searched(spark):
+    """Copies, near copies, empty content and null ids, each asked against all others."""
     rng = random.Random(11)
     base, other = rng.randbytes(6000), rng.randbytes(6000)
     data = [(10, base), (20, base), (30, near(rng, base, 8)), (11, other), (12, other), (13, rng.randbytes(6000)), (14, b""), (None, other), (None, rng.randbytes(500))]
@@ -30,9 +30,17 @@ def test_every_document_is_a_query(spark):
     a, b = (x[:, None].astype(object) for x in lsh.coefficients())
     sig = {i: ((a * lsh.reduced_shingles(d).astype(object) + b) % lsh.P).min(1) for i, d in data if i is not None and d}
     want = {(x, y): round(float((sig[x] == sig[y]).mean()), 4) for x, y in itertools.permutations(sig, 2)}
-    got = {(r["query_id"], r["id"]): r["jaccard"] for r in lsh.query_all(df).collect()}
-    assert got == {p: j for p, j in want.items() if j >= 0.5} and {(10, 20), (20, 10), (11, 12), (30, 10)} <= set(got)
-    found = sorted(((r["query_id"], r["is_duplicate"]) for r in lsh.duplicates_all(df).collect()), key=repr)
+    heads, member = lsh.classes(df)
+    of = {r["id"]: r["head"] for r in member.collect()}
+    assert of == {10: 10, 20: 10, 30: 30, 11: 11, 12: 11, 13: 13}
+    got = {(r["query_id"], r["id"]): (r["jaccard"], r["copies"]) for r in lsh.query_similar(df.where("id <> 13").select("id"), heads, member).collect()}
+    asked = {10, 20, 30, 11, 12}
+    truth = {}
+    for (x, y), j in want.items():
+        if x in asked and j >= 0.5:
+            truth[x, of[y]] = (j, truth.get((x, of[y]), (0, 0))[1] + 1)
+    assert got == truth and got[10, 10] == (1.0, 1) and got[30, 10][1] == 2
+    found = sorted(((r["query_id"], r["is_duplicate"]) for r in lsh.duplicates(df).collect()), key=repr)
     truth = [(i, i is not None and any(want.get((i, j), 0) >= 0.95 for j in sig)) for i, _ in data[:7]] + [(None, True), (None, False)]
     assert found == sorted(truth, key=repr) and (10, True) in found and (12, True) in found
 
@@ -43,8 +51,12 @@ def test_matrix_over_all_ids(spark):
     data = [(i, b"".join(rng.choices(parts, k=rng.randint(0, 4)))) for i in range(30)]
     sets = [{d[i : i + 64] for i in range(0, len(d), 64)} for _, d in data]
     want = {(x, y): 1.0 if x == y else round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 6) for x in range(30) for y in range(30) if x == y or sets[x] & sets[y]}
-    rows = cas.similarity_cells(items(spark, *data).select("id"), cas.jaccard_pairs(items(spark, *data), 64)).collect()
-    assert len(rows) == len(want) and {(r["i"], r["j"]): r["score"] for r in rows} == want
+    blocks, member = cas.block_sets(items(spark, *data), 64)
+    of = {r["id"]: r["head"] for r in member.collect()}
+    assert of == {x: min(y for y in range(30) if sets[y] == sets[x]) for x in range(30) if sets[x]}
+    rows = cas.similarity_cells(member.select(F.col("head").alias("id")), cas.jaccard_pairs(blocks)).collect()
+    cells = {(r["i"], r["j"]): r["score"] for r in rows}
+    assert len(rows) == len(cells) and {(x, y): cells[of[x], of[y]] for x, y in want if x in of} == {p: s for p, s in want.items() if p[0] in of}
 
 
 def test_signatures_of_long_content_are_whole(spark):
@@ -61,7 +73,7 @@ def test_signatures_of_long_content_are_whole(spark):
     want = [[int(((int(x) * s + int(y)) % lsh.P).min()) for x, y in zip(a, b, strict=True)] for s in shingles]
     df = items(spark, *data)
     assert {r["id"]: r["sig"] for r in lsh.signatures(df).collect()} == dict(zip((1, 2, 3), want, strict=True))
-    assert {(r["a"], r["b"]) for r in lsh.similar_pairs(df).collect()} == {(1, 3)}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in lsh.links(df).collect()} == {(1, 3)}
 
 
 def test_entropy_of_long_content_is_whole(spark):
