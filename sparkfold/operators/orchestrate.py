@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,7 @@ from sparkfold.sources import archives
 from . import codecs, formats, images, selection
 
 EXCELLENT, MEMORY_MB = 50.0, 512
-KEPT = T.StructType([T.StructField("strategy", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("tried", T.IntegerType()), T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("verified", T.StringType()), T.StructField("restored_hash", T.StringType())])
-_KEPT = pa.struct([("strategy", pa.string()), ("payload", pa.binary()), ("tried", pa.int32()), ("errors", pa.list_(pa.string())), ("verified", pa.string()), ("restored_hash", pa.string())])
+_KEPT = "name string, original_size long, path string, format string, content_sha256 string, strategy string, payload binary, tried int, errors array<string>, verified string, restored_sha256 string"
 #: (condition, note) on an analysed row
 NOTES = (
     ("is_random", "no redundancy left: compressed, encrypted or random"),
@@ -60,33 +62,34 @@ def strategies(memory_mb: int = MEMORY_MB) -> Column:
     return F.transform(selection.ranking(fits), lambda x: x.strategy)
 
 
-@F.arrow_udf(KEPT)
-def _best(content: pa.Array, names: pa.Array) -> pa.Array:
+def _best(data: bytes, order: list[str]) -> dict:
     """The best verified attempt; the first at EXCELLENT ends the search, the first of equals wins."""
-    out = []
-    for v, order in zip(content, names.to_pylist(), strict=True):
-        if not v.is_valid:
-            out.append(None)
+    best, errors, tried = None, [], 0
+    for i, name in enumerate(order):
+        tried += 1
+        a = codecs.attempt(codecs.codec(name), data, i)
+        if a["error"] or not a["lossless"]:
+            errors.append(f"{name}: {a['error'] or 'not lossless'}")
             continue
-        data, best, errors, tried = v.as_py(), None, [], 0
-        for i, name in enumerate(order):
-            tried += 1
-            a = codecs.attempt(codecs.codec(name), data, i)
-            if a["error"] or not a["lossless"]:
-                errors.append(f"{name}: {a['error'] or 'not lossless'}")
-                continue
-            ratio = len(data) / max(a["compressed_size"], 1)
-            if best is None or ratio > best[0]:
-                best = (ratio, a)
-            if ratio >= EXCELLENT:
-                break
-        a = best[1] if best else {}
-        out.append({"strategy": a.get("strategy"), "payload": a.get("packed"), "tried": tried, "errors": errors, "verified": a.get("verified"), "restored_hash": a.get("restored_hash")})
-    return pa.array(out, _KEPT)
-
-
-#: Marked so that no rule of the planner copies it into the sides of a union or evaluates it twice.
-_best = _best.asNondeterministic()
+        ratio = len(data) / max(a["compressed_size"], 1)
+        if best is None or ratio > best[0]:
+            best = (ratio, a)
+        if ratio >= EXCELLENT:
+            break
+    a = best[1] if best else {}
+    return {"strategy": a.get("strategy"), "payload": a.get("packed"), "tried": tried, "errors": errors, "verified": a.get("verified"), "restored_sha256": a.get("restored_hash")}
+
+
+def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, original_size, path, format, content, strategies) to rows of _KEPT, one file at a time."""
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string()]
+    names = [x.split()[0] for x in _KEPT.split(", ")]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n in ("name", "original_size", "path", "format")}
+            data = batch.column("content")[i].as_py()
+            row |= {"content_sha256": hashlib.sha256(data).hexdigest()} | _best(data, batch.column("strategies")[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(names, types, strict=True)], names=names)
 
 
 def relative(path: Column, root: str | None) -> Column:
@@ -101,10 +104,10 @@ def relative(path: Column, root: str | None) -> Column:
 
 def compress(files: DataFrame, root: str | None = None, memory_mb: int = MEMORY_MB) -> DataFrame:
     """(name, original_size, strategy, metadata, payload, tried, errors): rows that the container source writes, named by their paths below ``root``. A file that nothing takes has a null strategy."""
-    rows = spread(analyse(files).withColumn("strategies", strategies(memory_mb))).withColumn("k", _best(F.col("content"), F.col("strategies")))
+    ready = analyse(files).where("content IS NOT NULL").select(relative(F.col("path"), root).alias("name"), F.col("size").alias("original_size"), "path", F.col("format_type").alias("format"), "content", strategies(memory_mb).alias("strategies"))
+    rows = spread(ready).mapInArrow(_tried, _KEPT)  # rows, not a function of columns, which the planner may copy or move
     keys = ("path", "format", "content_sha256", "verified", "restored_sha256")
-    meta = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(F.col("path"), F.col("format_type"), F.sha2("content", 256), F.col("k.verified"), F.col("k.restored_hash")))
-    return rows.select(relative(F.col("path"), root).alias("name"), F.col("size").alias("original_size"), "k.strategy", meta.alias("metadata"), "k.payload", "k.tried", "k.errors")
+    return rows.select("name", "original_size", "strategy", F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*keys)).alias("metadata"), "payload", "tried", "errors")
 
 
 @F.arrow_udf(T.BinaryType())
