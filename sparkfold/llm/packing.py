@@ -15,9 +15,8 @@ another pairing each round, and rerun best-fit decreasing on the pool. A pool
 replaces its partitions' bins only if it needs fewer. At most ROUNDS rounds.
 
 Sequences. Only ids, hashes and sizes are packed. The text of every piece then meets its
-place by (id, hash, piece), so a long document is many rows and none is multiplied (the
-places are broadcast as long as they are few), and the pieces of a bin, at most
-``capacity`` tokens, become one row.
+place by (id, hash, piece), so a long document is many rows and none is multiplied, and
+the pieces of a bin, at most ``capacity`` tokens, become one row.
 
 Defined results
     * null text, or a text without a token: nothing to pack; one row with piece 0,
@@ -235,7 +234,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id",
     one_piece = texts.where(short).select("id", "hash", F.lit(0).alias("piece"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
     more = texts.where(~short).mapInArrow(_texts(capacity), typed(texts.schema["id"], "hash binary, piece int, text string"))
     held = one_piece.unionByName(more).toDF("_id", "_hash", "_piece", "text")
-    there = held.join(sized(placed.where("bin_id IS NOT NULL")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("piece") == F.col("_piece")))
+    there = held.join(placed.where("bin_id IS NOT NULL"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("piece") == F.col("_piece")))
     inside = F.array_sort(F.collect_list(F.struct("start", "doc_id", "piece", "tokens", "text"))).alias("p")
     bins = there.groupBy("bin_id").agg(inside, *[F.first(c).alias(c) for c in ("part_bins", "part_bound", "certified")])
     whole = F.array_join(F.col("p.text"), SEPARATOR).alias("text")
