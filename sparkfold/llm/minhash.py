@@ -199,7 +199,7 @@ def across(left: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (id, r, slots, more) in different groups r that share one of their PREFIX rarest slot values; no pair that agrees in half of the slots is missing."""
     tokens = cut(left.select("id", "r", "slots", "more").mapInArrow(_tokens, "id long, r long, tokens array<long>")).select("id", "r", F.explode("tokens").alias("token"))
     counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("n > 1"))
-    shared = tokens.join(sized(counts), "token")
+    shared = tokens.join(counts, "token")
     # slot values of their own come first in the order of rarity and pair nothing; 192 rows a window at most
     mine = Window.partitionBy("id")
     ranked = shared.withColumn("_rank", F.row_number().over(mine.orderBy("n", "token"))).withColumn("_all", F.count(F.lit(1)).over(mine))
@@ -209,7 +209,7 @@ def across(left: DataFrame) -> DataFrame:
     place = groups.withColumn("g", (F.row_number().over(Window.partitionBy("token").orderBy("r")) - 1).cast("long"))
     places = cut(place.join(groups.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "token"))
     bits = F.sequence(F.lit(0), F.ceil(F.log2("_n")).cast("int") - 1)
-    at = some.join(sized(places), ["token", "r"]).select("id", "token", "g", F.explode(bits).alias("bit"))
+    at = some.join(places, ["token", "r"]).select("id", "token", "g", F.explode(bits).alias("bit"))
     at = at.select("id", "token", "bit", F.call_function("shiftright", "g", F.col("bit") + 1).alias("above"), F.call_function("shiftright", "g", "bit").bitwiseAND(F.lit(1).cast("long")).alias("side"))
     one, two = (at.where(F.col("side") == s).drop("side").withColumnRenamed("id", x) for s, x in ((0, "x"), (1, "y")))
     return one.join(two, ["token", "bit", "above"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
@@ -252,7 +252,7 @@ def _linked(signed: DataFrame, names: DataFrame | None) -> DataFrame:
     slots = alone.select("id", "slots")
     keyed = alone.select("id", F.explode("bands").alias("key"))
     hubs = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_top")).where("hub <> _top").drop("_top"))
-    placed = cut(keyed.join(sized(hubs), "key"))
+    placed = cut(keyed.join(hubs, "key"))
 
     # each text against the smallest id that it shares a bucket with
     first = placed.where("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
