@@ -23,20 +23,6 @@ from sparkfold.sources import container, files
 BLOCK = 64 << 10
 
 
-def _write_files(rows: DataFrame, folder: str) -> None:
-    """Each row's content as a file, by the tasks themselves; ``folder`` is one that all executors share."""
-
-    def write(part) -> None:
-        store, base = container.opened(folder)
-        for r in part:
-            path = f"{base}/{container.safe(r['name'])}"
-            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(path) as f:
-                f.write(bytes(r["content"]))
-
-    rows.foreachPartition(write)
-
-
 def _complain(rows: DataFrame, why: str) -> int:
     """Names what failed; 1 if anything did."""
     failed = 0
@@ -90,7 +76,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         return _complain(done.where("strategy IS NULL"), "errors")
     held = cut(spark.read.format("container").load(o.source))
     back = cut(orchestrate.decompress(held.where("error IS NULL")))
-    _write_files(back.where("verified"), o.target)
+    files.write(back.where("verified"), o.target)
     return _complain(held.where("error IS NOT NULL"), "error") | _complain(back.where("NOT verified").withColumn("why", F.lit("not what was compressed")), "why")
 
 

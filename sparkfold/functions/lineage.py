@@ -54,7 +54,9 @@ def _quoted(name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, if there are fewer input partitions than cores; larger inputs aren't moved."""
+    """The rows over all cores, if there are fewer input partitions than cores; larger inputs aren't moved, nor is what a shuffle spreads already (asking for its partitions would run it)."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

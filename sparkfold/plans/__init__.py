@@ -1,6 +1,6 @@
 """The registered queries and their oracle SQL."""
 
-from . import encoding, media, profiles, redundancy  # noqa: F401
+from . import encoding, files, media, profiles, redundancy  # noqa: F401
 from .common import ORACLES, QUERIES
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from sparkfold.functions import content as C
 from sparkfold.operators import gradients, raster
 
-from . import archives
+from . import archives, container
 
 
 def binary(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -20,6 +20,20 @@ def binary(spark: SparkSession, path: str, glob: str = "*", recursive: bool = Tr
     return read.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+def write(rows: DataFrame, folder: str) -> None:
+    """Rows (name, content) as files of a folder that all executors share, by the tasks themselves; a task that runs again writes the same files."""
+
+    def put(part) -> None:
+        store, base = container.opened(folder)
+        for r in part:
+            path = f"{base}/{container.safe(r['name'])}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as f:
+                f.write(bytes(r["content"]))
+
+    rows.select("name", "content").foreachPartition(put)
+
+
 def headers(files: DataFrame, limit: int = 256) -> DataFrame:
     """Files with their first bytes only; content is dropped early."""
     return files.withColumn("header", C.slice_of(F.col("content"), 0, limit)).drop("content")
