@@ -68,6 +68,8 @@ THRESHOLD = 0.5
 #: Slots of which two signatures that pass must share one, if the rarest are taken: all but as many as may differ, and
 #: 12 more, for slots that agree in the compared byte by chance (13 of them do so once in 10^16 pairs).
 PREFIX = SLOTS - int(THRESHOLD * SLOTS) + 12
+#: Elements whose permutations are held at once, but for a single text.
+MOST = 1 << 17
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -96,8 +98,20 @@ def superminhash(x: np.ndarray, ptr: np.ndarray, m: int = SLOTS) -> np.ndarray:
             new = np.ones(len(x), bool)
             new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
             x, doc = x[new], doc[new]
+            if len(x) > MOST:  # their permutations are made for a part of the texts at a time
+                edge = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
+                lo = 0
+                while lo < len(edge) - 1:
+                    hi = max(int(np.searchsorted(edge, edge[lo] + MOST, side="right")) - 1, lo + 1)
+                    if hi - lo < len(edge) - 1:
+                        sig.reshape(n, m)[doc[edge[lo:hi]]] = superminhash(x[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo], m)
+                        lo = hi
+                        continue
+                    break
+                else:
+                    break
             k = (((mix(x + _STEP) & _LOW) * _U(m)) >> _U(32)).astype(np.int64)
-            perm = np.tile(np.arange(m, dtype=np.uint16), (len(x), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(x), 1))
             perm[:, 0] = k
             perm[np.arange(len(x)), k] = 0
         else:
@@ -149,6 +163,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["id", "k0", "k1", "bands", "slots", "more"],
             )
+            del x, ptr, sig, fold, band, short, more
+        pa.default_memory_pool().release_unused()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,13 +68,16 @@ def naive_signature(elements, m):
     return best
 
 
-def test_superminhash_slot_by_slot():
+def test_superminhash_slot_by_slot(monkeypatch):
     rng = np.random.default_rng(0)
     sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 7, 40, 300)]
     x, ptr = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     got = minhash.superminhash(x, ptr, 32)
     for s, row in zip(sets, got, strict=True):
         assert row.tolist() == naive_signature(s.tolist(), 32)
+    for most in (1, 10, 45):  # in parts
+        monkeypatch.setattr(minhash, "MOST", most)
+        assert (minhash.superminhash(x, ptr, 32) == got).all()
 
 
 def test_superminhash_estimates_jaccard():
