@@ -32,9 +32,14 @@ def strategy_summary(records: DataFrame) -> DataFrame:
     return records.where("error IS NULL").groupBy("strategy").agg(F.count(F.lit(1)).alias("records"), *means, F.bool_and("lossless").alias("all_lossless"))
 
 
+def ranking(records: DataFrame) -> DataFrame:
+    """strategy_summary with the best mean ratio first."""
+    return strategy_summary(records).orderBy(F.desc("avg_ratio"), "strategy")
+
+
 def write_report(records: DataFrame, folder: str, kind: str = "csv") -> None:
-    """The report as CSV with the eleven columns, or as JSON lines; columns that are missing are empty."""
-    out = records.select(*[F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS])
+    """The report as CSV with the eleven columns, or as JSON lines, by file and strategy; columns that are missing are empty."""
+    out = records.select(*[F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS]).orderBy("file_name", "strategy")
     if kind == "csv":
         out.write.mode("overwrite").csv(folder, header=True)
     elif kind == "json":

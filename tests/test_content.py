@@ -106,6 +106,7 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame(rows, "file_id long, strategy string, ratio double, compression_ms double, decompression_ms double, lossless boolean, error string")
     assert {r["file_id"]: r["strategy"] for r in grid.best_per_file(df).collect()} == {1: "b", 2: "b"}
     assert {r["strategy"]: (r["records"], r["avg_ratio"], r["all_lossless"]) for r in grid.strategy_summary(df).collect()} == {"a": (1, 2.0, True), "b": (2, 2.5, False)}
+    assert [r["strategy"] for r in grid.ranking(df).collect()] == ["b", "a"]
     grid.write_report(df, str(tmp_path / "r"))
     head = next((tmp_path / "r").glob("*.csv")).read_text().splitlines()[0]
     assert head == ",".join(grid.REPORT_COLUMNS)
