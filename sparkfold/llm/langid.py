@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded, id_field, of, sized, typed, wrapped
+from .frames import bounded, id_field, of, sized, small_batches, typed, wrapped
 from .words import Words, slices, slices_of, words
 
 TRAIN_PER_LANGUAGE = 300
@@ -406,7 +406,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             columns = [part.column(0), pa.array(names, pa.string()), pa.array(np.round(share, 6)), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), pa.array(keep, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "share", "words", "spans", "keep"])
 
-    rows = docs.select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text"))
+    rows = small_batches(docs).select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text"))
     return rows.mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), f"lang string, share double, words long, spans {SPANS}, keep boolean"))
 
 
@@ -419,5 +419,5 @@ def keep(docs: DataFrame, model: Model, text: str = "text", penalty: float = PEN
             stay = np.flatnonzero([n is not None and s >= known_share for n, s in zip(names, known.tolist(), strict=True)])
             yield part if len(stay) == part.num_rows else part.take(pa.array(stay, pa.int64()))
 
-    rows = wrapped(docs)
+    rows = wrapped(small_batches(docs))
     return rows.mapInArrow(run, rows.schema).select("_row.*")

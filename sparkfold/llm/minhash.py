@@ -57,7 +57,7 @@ from pyspark.sql import types as T
 from sparkfold.operators.columnar import with_position
 from sparkfold.operators.graph import components
 
-from .frames import cut, id_field, of, sized, typed, wrapped
+from .frames import cut, id_field, of, sized, small_batches, typed, wrapped
 from .words import mix, slices, words
 
 SHINGLE = 3
@@ -198,7 +198,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float = THRESHOLD) -> It
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, k0, k1, bands, slots, more) of every row with an id and at least one word."""
-    rows = docs.select(of(docs, doc_id).alias("id"), of(docs, text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = small_batches(docs).select(of(docs, doc_id).alias("id"), of(docs, text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     return rows.mapInArrow(_signed, typed(id_field(docs, doc_id, "id"), "k0 long, k1 long, bands array<long>, slots binary, more binary"))
 
 

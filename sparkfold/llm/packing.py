@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, of, sized, typed
+from .frames import cut, of, sized, small_batches, typed
 
 CAPACITY = 2048
 PER_PARTITION = 20_000
@@ -223,7 +223,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id",
     with null bin_id and 0 tokens.
     """
     placed = cut(_placed(docs, capacity, doc_id, text, per_partition, rounds))
-    rows = docs.select(of(docs, doc_id).alias("id"), F.unhex(F.md5(of(docs, text))).alias("hash"), of(docs, text).alias("text")).where("text IS NOT NULL")
+    rows = small_batches(docs).select(of(docs, doc_id).alias("id"), F.unhex(F.md5(of(docs, text))).alias("hash"), of(docs, text).alias("text")).where("text IS NOT NULL")
     rows = rows.withColumn("_h", F.xxhash64("id", "hash"))
     # of repeated rows one gives the text; the rank limit leaves one in each partition before the shuffle
     again = sized(cut(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")))

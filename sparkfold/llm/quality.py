@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import bounded, comparable, id_field, of, sized, typed
+from .frames import bounded, comparable, id_field, of, sized, small_batches, typed
 from .words import _flat, slices
 
 LABELLED_PER_CLASS = 1500
@@ -170,4 +170,4 @@ def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                     quality = np.round(vote, 6)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(quality, from_pandas=True), pa.array(quality >= threshold)], names=["doc_id", "quality", "keep"])
 
-    return docs.select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text")).mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), "quality double, keep boolean"))
+    return small_batches(docs).select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text")).mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), "quality double, keep boolean"))

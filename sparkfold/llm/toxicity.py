@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded, comparable, id_field, of, sized, typed
+from .frames import bounded, comparable, id_field, of, sized, small_batches, typed
 from .words import Words, mix, slices, words
 
 TRAIN_PER_CLASS = 3000
@@ -226,4 +226,4 @@ def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 score = np.round(model.scores(part.column(1)), 6)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(score > threshold)], names=["doc_id", "score", "toxic"])
 
-    return docs.select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text")).mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), "score double, toxic boolean"))
+    return small_batches(docs).select(of(docs, doc_id).alias("doc_id"), of(docs, text).alias("text")).mapInArrow(run, typed(id_field(docs, doc_id, "doc_id"), "score double, toxic boolean"))
