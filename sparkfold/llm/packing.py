@@ -228,7 +228,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id",
     # of repeated rows one gives the text; the rank limit leaves one in each partition before the shuffle
     again = sized(cut(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")))
     one = rows.join(again, "_h", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("_h", "id", "hash").orderBy(F.lit(0)))).where("_r = 1")
-    texts = rows.join(again, "_h", "left_anti").select("id", "hash", "text").unionByName(one.select("id", "hash", "text"))
+    texts = rows.join(again, "_h", "left_anti").select("id", "hash", "text").unionByName(cut(one.select("id", "hash", "text")))
     # a text of so few characters has one piece, which needs no Python
     short = F.length("text") < 2 * capacity
     one_piece = texts.where(short).select("id", "hash", F.lit(0).alias("piece"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
