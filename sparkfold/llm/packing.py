@@ -139,8 +139,9 @@ def _repack(capacity: int):
 
 def pieces(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, hash, piece, size) of every row; tokens are maximal runs of characters other than white space."""
-    tokens = F.coalesce(F.size(F.regexp_extract_all(of(docs, text), F.lit(r"\S+"), 0)), F.lit(0))
-    tokens = F.greatest(tokens, F.lit(0))
+    # a letter for each token, then without white space: no string is made for each token
+    letters = F.regexp_replace(F.regexp_replace(of(docs, text), r"\S+", "x"), r"\s+", "")
+    tokens = F.coalesce(F.length(letters), F.lit(0))
     rows = docs.select(of(docs, doc_id).alias("id"), F.unhex(F.md5(of(docs, text))).alias("hash"), tokens.alias("n"))
     rows = rows.select("id", "hash", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {capacity}"), F.lit(0)).cast("int"))).alias("piece"))
     return rows.select("id", "hash", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"))
