@@ -1,6 +1,7 @@
 """Columnar encodings, containers, archives, images and streams."""
 
 import io
+import lzma
 import random
 import zipfile
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfold.operators import columnar, images, residuals
+from sparkfold.operators import codecs, columnar, images, residuals
 from sparkfold.sources import archives, container, files
 from sparkfold.streaming import ingest
 
@@ -173,3 +174,13 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     got = {(r["hash"], r["size"], r["ref_count"]) for r in ingest.read_store(spark, str(tmp_path / "out")).collect()}
     whole = spark.createDataFrame([d for part in docs for d in part], "doc_id long, text string").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     assert got == {(r["hash"], r["size"], r["ref_count"]) for r in cas.block_store(whole, 64, "doc_id").collect()}
+
+
+def test_lzma_of_a_short_text_needs_little_memory(spark):
+    """The dictionary of the preset takes 8 MiB, and time to clear, for each text; the stream stays one that any reader takes."""
+    text = b"a short text, " * 20
+    packed = codecs.codec("traditional_lzma").compress(text)
+    assert lzma.LZMADecompressor(memlimit=1 << 20).decompress(packed) == text == lzma.decompress(packed)
+    assert len(packed) <= len(lzma.compress(text, preset=6))
+    long = bytes(range(256)) * 50_000
+    assert lzma.decompress(codecs.codec("traditional_lzma").compress(long)) == long
