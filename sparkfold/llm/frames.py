@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfold.functions.lineage import cut, shared_folder, sized  # noqa: F401
+from sparkfold.functions.lineage import cut, shared_folder, sized, small_batches  # noqa: F401
 from sparkfold.operators.columnar import with_position
 
 
-BATCH_BYTES = 4 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,17 +42,6 @@ def id_field(docs: DataFrame, name: str, called: str) -> T.StructField:
     return T.StructField(called, docs.schema[name].dataType)
 
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, in a session whose Arrow batches hold about BATCH_BYTES, however long the texts, unless the session has a limit of its own.
-
-    Without it a batch is 10000 rows: of texts of 100 KB, a gigabyte on both sides of the pipe.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if docs.sparkSession.conf.get(key, None) is None:
-        docs.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return docs
-
-
 def numbered(ids: DataFrame) -> DataFrame:
     """(id, n) of a table of distinct ids: numbers in the order of the ids, without a global sort."""
     return cut(with_position(ids.select("id"), "id", "n").select("id", "n"))
