@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,52 @@ def test_growing_index(spark, tmp_path):
     assert sorted(map(tuple, ingest.read_pairs(spark, out).collect())) == sorted(map(tuple, lsh.similar_pairs(heads.select("id", "sig")).collect()))
     assert {r["id"]: r["head"] for r in ingest.read_members(spark, out).collect()} == {r["id"]: r["head"] for r in member.collect()}
     assert [n for n, _, _ in told] == list(range(1, len(told) + 1))
+
+
+def test_signatures_of_extreme_numbers_are_exact(spark):
+    """Residues at both ends, where one folding of the sum isn't enough, over more than one step."""
+    a, b = np.array([1, lsh.P - 1, lsh.P - 1, 2]), np.array([0, lsh.P - 1, 0, lsh.P - 1])
+    rng = np.random.default_rng(14)
+    words = np.concatenate((np.array([0, 0, lsh.P, 0, lsh.P - 1, 0, 2**32 - 1, 2**32 - 1], "<u4"), rng.integers(0, 2**32, 3 * lsh.STEP, dtype=np.uint32).astype("<u4")))
+    for data in (words[:2].tobytes(), words[1:5].tobytes(), words.tobytes()):
+        want = [min((int(x) * int(v) + int(y)) % lsh.P for v in lsh.reduced_shingles(data)) for x, y in zip(a, b, strict=True)]
+        assert lsh.minima(data, a, b).tolist() == want
+
+
+def test_packed_bands_are_the_bands(spark):
+    """Keys of numbers meet exactly where the keys of text do, for even and odd numbers of slots in a band."""
+    rng = random.Random(15)
+    sigs = [[rng.choice((0, 1, lsh.P - 1)) for _ in range(12)] for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(sigs)), "id long, sig array<long>")
+    for bands in (2, 4, 6, 12):
+        pairs = lambda t: {tuple(r) for r in lsh.candidates(t).collect()}
+        assert pairs(lsh.packed_bands(df, bands, 12)) == pairs(lsh.band_table(df, bands, 12)) != set()
+    with pytest.raises(ValueError):
+        lsh.packed_bands(df, 5, 12)
+
+
+def test_cluster_stats_of_representatives(spark):
+    """Representatives that count for their copies give what all members give, and no signature is made twice."""
+    rng = random.Random(16)
+    base = rng.randbytes(4096)
+    df = items(spark, base, base, near(rng, base, 9), near(rng, base, 9), base, b"tiny", b"tiny", rng.randbytes(4096))
+    heads, member = lsh.classes(df)
+    clustered = lsh.clusters(lsh.linked(heads, member))
+    light = lsh.cluster_stats(clustered, heads)
+    assert sorted(map(tuple, light.collect())) == sorted(map(tuple, lsh.cluster_stats(clustered, lsh.signatures(df)).collect()))
+    assert "Python" not in light._jdf.queryExecution().executedPlan().toString() and "ArrowEval" not in light._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_small(spark, sf_dir):
+    """Queries and operators bound the bytes of a batch, so Python's memory doesn't follow the length of texts."""
+    from sparkfold.functions.lineage import BATCH_BYTES, spread
+    from sparkfold.plans.common import contents
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for use in (lambda: contents(spark, sf_dir), lambda: spread(spark.range(3).toDF("id"))):
+        spark.conf.unset(key)
+        use()
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+    long = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 100_000).alias("t"))
+    sizes = long.mapInArrow(lambda bs: (b.select(["id"]).slice(0, 1).set_column(0, "id", [b.num_rows]) for b in bs), "id long").collect()
+    assert len(sizes) > 4 and max(r["id"] for r in sizes) < 100
