@@ -369,10 +369,15 @@ def placement_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("accuracy", components.accuracy(F.col("placed"), F.col("total")))
 
 
+#: Micro-batches that the streams below take their files in, at most: each is held against all before it, so one for every file would cost their number squared.
+MICRO_BATCHES = 4
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     docs = table(spark, sf_dir, "documents")
     path = f"{sf_dir}/documents.parquet" if len(docs.inputFiles()) > 1 else f"{sf_dir}/documents*.parquet"
-    return ingest.content_stream(spark, path, docs.schema), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    files = -(-len(docs.inputFiles()) // MICRO_BATCHES)
+    return ingest.content_stream(spark, path, docs.schema, files=files), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT * FROM {_STORE}")

@@ -66,8 +66,8 @@ def ingest_signatures(stream: DataFrame, folder: str, id_col: str = "doc_id", th
         known = stored("index", number, f"id {kind}, sig array<long>, k string")
         found = cut(keyed.join(known.select("k", F.col("id").alias("_first")), "k", "left"))
         fresh = found.where("_first IS NULL").select("id", "sig", "k")
-        bands_of = lsh.band_table(fresh)
-        old = stored("bands", number, f"id {kind}, band int, key string")
+        bands_of = lsh.packed_bands(fresh)
+        old = stored("bands", number, f"id {kind}, band int, key {bands_of.schema['key'].dataType.simpleString()}")
         mixed = bands_of.toDF("x", "band", "key").join(old.toDF("y", "band", "key"), ["band", "key"]).select("x", "y").distinct()
         pairs = lsh.candidates(bands_of).unionByName(mixed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         near = lsh.verified(pairs, fresh.select("id", "sig").unionByName(known.select("id", "sig")), threshold)
