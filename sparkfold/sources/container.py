@@ -12,9 +12,12 @@ import hashlib
 import json
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -24,6 +27,11 @@ HEADER, VERSION = 512, 1
 SUFFIX, HIDDEN = ".fold", ".writing"
 _FORM = "<4sIQQQ"
 SCHEMA = "name string, version int, original_size long, compressed_size long, strategy string, metadata map<string,string>, payload binary, error string"
+_ARROW = pa.schema([("name", pa.string()), ("version", pa.int32()), ("original_size", pa.int64()), ("compressed_size", pa.int64()), ("strategy", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("error", pa.string())])
+#: Bytes and rows of a batch that is read, and how many files the driver moves at once.
+BATCH_BYTES, BATCH_ROWS, MOVES = 4 << 20, 10_000, 16
+#: Files a task: the fewest and the most, and between them as many as give TASKS tasks.
+FEWEST, MOST, TASKS = 64, 2048, 128
 
 
 class FormatError(ValueError):
@@ -99,10 +107,10 @@ class _Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """The driver lists names; tasks open ``filesPerTask`` files each, wherever they are."""
+    """The driver lists names; tasks open ``filesPerTask`` files each, wherever they are, and hold about BATCH_BYTES or one file of them. Unless it is given, it grows with the files, so that millions don't make tasks by ten thousands."""
 
     def __init__(self, options: dict):
-        self.folder, self.per_task = options["path"], int(options.get("filesPerTask", 64))
+        self.folder, self.per_task = options["path"], int(options.get("filesPerTask", 0))
 
     def partitions(self) -> list[InputPartition]:
         store, base = opened(self.folder)
@@ -110,20 +118,36 @@ class _Reader(DataSourceReader):
             paths = [base]
         else:
             paths = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if f.path.endswith(SUFFIX))
-        return [_Files(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
+        n = self.per_task or max(FEWEST, min(MOST, -(-len(paths) // TASKS)))
+        return [_Files(paths[i : i + n]) for i in range(0, len(paths), n)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            held += len(row[6] or b"")
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, partition: _Files) -> Iterator[tuple]:
         store, base = opened(self.folder)
         for p in partition.paths:
             name = p.removeprefix(base).lstrip("/").removesuffix(SUFFIX) or Path(p).stem
             try:
                 with store.open_input_stream(p) as f:
                     c = unpack(f.read())
-                yield (name, c["version"], c["original_size"], c["compressed_size"], c["strategy"], c["metadata"], c["payload"], None)
+                yield (name, c["version"], c["original_size"], c["compressed_size"], c["strategy"], list(c["metadata"].items()), c["payload"], None)
             except FormatError as e:
                 yield (name, None, None, None, None, None, None, str(e))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 class _Done(WriterCommitMessage):
     def __init__(self, moves: list[tuple[str, str]]):
         self.moves = moves
@@ -151,7 +175,7 @@ class _Writer(DataSourceWriter):
         moves = [x for m in messages if m for x in m.moves]
         there = [f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if f.path.endswith(SUFFIX)]
         names = [b for _, b in moves]
-        clash = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set()
+        clash = {n for n, times in Counter(names).items() if times > 1}
         if not self.overwrite:
             clash |= set(there) & set(names)
         if clash:
@@ -162,8 +186,9 @@ class _Writer(DataSourceWriter):
                 store.delete_file(old)
         for folder in {b.rsplit("/", 1)[0] for b in names}:
             store.create_dir(folder, recursive=True)
-        for a, b in moves:
-            store.move(a, b)
+        with ThreadPoolExecutor(MOVES) as threads:  # each waits for the file system; the first error is raised
+            for lo in range(0, len(moves), BATCH_ROWS):
+                list(threads.map(lambda m: store.move(*m), moves[lo : lo + BATCH_ROWS]))
         self._clean(store, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
