@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfold.functions import content as C
-from sparkfold.operators import codecs, columnar, grid, selection
+from sparkfold.operators import codecs, columnar, grid
 
 from .common import contents, query, table, values
 
@@ -233,11 +233,8 @@ def bench_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_GRID} SELECT file_id, file_size AS original_size, strategy, ratio, hash AS restored_hash FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ratio DESC, strategy DESC) AS r FROM grid WHERE error IS NULL) JOIN files USING (file_id, file_size) WHERE r = 1")
 def codec_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attempt that is kept of each document (the first of equals), and what comes back from its payload."""
-    tries = codecs.attempts(contents(spark, sf_dir), _STRATEGIES, "doc_id", excellent=1e9, keep_packed=True)
-    best = selection.best_attempt(tries, 1e9)
-    kept = tries.join(best, ["file_id", "strategy"])
-    back = F.when(F.col("strategy") == "run_length", codecs.decompressor("run_length")(F.col("packed"))).otherwise(codecs.decompressor("delta_run_length")(F.col("packed")))
-    return kept.select("file_id", "original_size", "strategy", "ratio", F.sha2(back, 256).alias("restored_hash"))
+    kept = codecs.best_of(contents(spark, sf_dir), _STRATEGIES, "doc_id").where("strategy IS NOT NULL")
+    return kept.select("file_id", "original_size", "strategy", "ratio", F.sha2(codecs.restored("packed", "strategy"), 256).alias("restored_hash"))
 
 
 @query(f"SELECT 'd' || doc_id AS name, 1 AS version, octet_length(encode(text)) AS original_size, octet_length(encode(text)) AS compressed_size, 'plain' AS strategy, sha256(encode(text)) AS payload_hash, lang AS lang, CASE WHEN doc_id % 10 = 0 THEN 'the payload has another checksum' END AS error FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'd' || doc_id, -1, -1, -1, NULL, NULL, NULL, 'the payload has another checksum' FROM documents WHERE doc_id % 10 = 0")

@@ -184,3 +184,38 @@ def test_lzma_of_a_short_text_needs_little_memory(spark):
     assert len(packed) <= len(lzma.compress(text, preset=6))
     long = bytes(range(256)) * 50_000
     assert lzma.decompress(codecs.codec("traditional_lzma").compress(long)) == long
+
+
+def test_many_containers_make_few_tasks(tmp_path, monkeypatch):
+    """Files a task grow with the files, a given number counts, and a batch is bounded by bytes."""
+    for i in range(10):
+        (tmp_path / f"n{i}.fold").write_bytes(container.pack(bytes(1000), 1000, "plain", {"k": str(i)}))
+    (tmp_path / "n3.fold").write_bytes(b"none")
+    monkeypatch.setattr(container, "FEWEST", 1)
+    monkeypatch.setattr(container, "TASKS", 3)
+    monkeypatch.setattr(container, "BATCH_BYTES", 2000)
+    parts = container._Reader({"path": str(tmp_path)}).partitions()
+    assert [len(p.paths) for p in parts] == [4, 4, 2]
+    given = container._Reader({"path": str(tmp_path), "filesPerTask": "5"})
+    assert [len(p.paths) for p in given.partitions()] == [5, 5]
+    batches = list(given.read(given.partitions()[0]))
+    assert [b.num_rows for b in batches] == [2, 3]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["name"] for r in rows] == [f"n{i}" for i in range(5)] and rows[3]["error"] == "no container" and dict(rows[4]["metadata"])["k"] == "4"
+
+
+def test_best_of_keeps_one_payload_a_row(spark):
+    """As the ranking of all attempts has it, with each codec run once and no shuffle of payloads."""
+    from sparkfold.operators import selection
+
+    texts = ["", "a" * 600, "abcdefgh" * 30, "".join(chr(97 + i % 26) for i in range(500)), "x"]
+    df = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)] + [(9, None)], "id long, content binary")
+    names = ("run_length", "delta_run_length", "semantic_json")
+    best = codecs.best_of(df, names)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Aggregate" not in plan
+    got = {r["file_id"]: (r["strategy"], r["ratio"]) for r in best.collect()}
+    want = {r["file_id"]: (r["strategy"], r["ratio"]) for r in selection.best_attempt(codecs.attempts(df.where("content IS NOT NULL"), names, excellent=1e9), 1e9).collect()}
+    assert got == want | {9: (None, None)}
+    back = {r["file_id"]: bytes(r["b"]) for r in best.where("strategy IS NOT NULL").select("file_id", codecs.restored("packed", "strategy").alias("b")).collect()}
+    assert back == {i: t.encode() for i, t in enumerate(texts)}
