@@ -401,7 +401,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_lsh_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _stream(spark, sf_dir)
     ingest.ingest_signatures(stream, folder).awaitTermination()
-    return ingest.read_pairs(spark, folder)
+    least = ingest.read_members(spark, folder).groupBy("head").agg(F.min("id").alias("least"))  # the first to come isn't always the smallest id
+    pairs = ingest.read_pairs(spark, folder).join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
