@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfold.functions import content as C
-from sparkfold.functions.lineage import cut, shared_folder
+from sparkfold.functions.lineage import cut, shared_folder, spread
 from sparkfold.operators import bundles, codecs, components, images, orchestrate, positions, raster, residuals, windows
 from sparkfold.sources import archives, pdf
 from sparkfold.streaming import ingest
@@ -196,7 +196,7 @@ def gradient_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): documents as office archives; a media part occurs twice."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     names = F.array(*map(F.lit, ("[Content_Types].xml", "word/document.xml", "word/media/a.bin", "word/media/b.bin", "docProps/app.xml")))
     media = C.utf8(F.repeat(F.col("lang"), 40))
     parts = F.array(C.utf8(F.lit("<Types/>")), C.utf8(F.col("text")), media, media, C.utf8(F.concat(F.lit("<p>"), F.col("source"), F.lit("</p>"))))

@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfold.operators import components
+from sparkfold.functions.lineage import BATCH_BYTES
+from sparkfold.operators import bundles, components
 
 from . import pdf
 
 Part = tuple[str, str, bytes]
+#: Parts that leave Python in one batch, unless their bytes are enough before.
+BATCH_ROWS = 4096
 
 
 def zip_parts(data: bytes) -> list[Part]:
@@ -73,34 +76,42 @@ def member_names(content: pa.Array) -> pa.Array:
 @F.arrow_udf(T.BinaryType())
 def zip_of(paths: pa.Array, parts: pa.Array) -> pa.Array:
     """An archive of the members with these names and contents."""
-    out = []
-    for names, datas in zip(paths.to_pylist(), parts.to_pylist(), strict=True):
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data in zip(names or [], datas or [], strict=True):
-                z.writestr(zipfile.ZipInfo(name), data or b"", compress_type=zipfile.ZIP_DEFLATED)
-        out.append(held.getvalue())
-    return pa.array(out, pa.binary())
+    rows = zip(paths.to_pylist(), parts.to_pylist(), strict=True)
+    return pa.array([bundles.zipped([(name, data or b"") for name, data in zip(names or [], datas or [], strict=True)]) for names, datas in rows], pa.binary())
 
 
 SCHEMA = "ord int, path string, type string, hash string, data binary, error string"
 
 
-def _parts(files: DataFrame, read: Callable[[bytes], list[Part]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, data in enumerate(batch.column(1)):  # one file at a time in memory
-                try:
-                    rows = [(n, path, kind, hashlib.sha256(d).hexdigest() if d else "", d, None) for n, (path, kind, d) in enumerate(read(data.as_py() or b""))]
-                except (zipfile.BadZipFile, ValueError) as e:
-                    rows = [(0, None, None, None, None, str(e))]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                ids = batch.column(0).slice(i, 1).take(pa.array([0] * len(rows), pa.int64()))
-                types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["id", "ord", "path", "type", "hash", "data", "error"])
+_TYPES = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+
+def _batch(ids: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], names=["id", "ord", "path", "type", "hash", "data", "error"])
+
 
+def _read(batches: Iterator[pa.RecordBatch], read: Callable[[bytes], list[Part]]) -> Iterator[pa.RecordBatch]:
+    """The parts of files (id, content): one file at a time in memory, and parts of those before it up to a batch."""
+    for batch in batches:
+        at, rows, held = [], [], 0
+        for i, data in enumerate(batch.column(1)):
+            try:
+                found = [(n, path, kind, hashlib.sha256(d).hexdigest() if d else "", d, None) for n, (path, kind, d) in enumerate(read(data.as_py() or b""))]
+                held += sum(len(r[4]) for r in found)
+            except (zipfile.BadZipFile, ValueError) as e:
+                found = [(0, None, None, None, None, str(e))]
+            rows += found
+            at += [i] * len(found)
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield _batch(batch.column(0), at, rows)
+                at, rows, held = [], [], 0
+        yield _batch(batch.column(0), at, rows)
+
+
+def _parts(files: DataFrame, read: Callable[[bytes], list[Part]]) -> DataFrame:
     some = files.select("id", "content")
-    return some.mapInArrow(run, T.StructType([some.schema["id"], *T.StructType.fromDDL(SCHEMA).fields]))
+    return some.mapInArrow(lambda batches: _read(batches, read), T.StructType([some.schema["id"], *T.StructType.fromDDL(SCHEMA).fields]))
 
 
 def zip_components(files: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Raster files, gradients, bundles, PDF files with places, and learned codecs."""
 
+import hashlib
 import io
+import json
 import random
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +121,40 @@ def test_office_bundle():
         bundles.office_compress(plain.getvalue())
 
 
+def test_office_bundle_stores_no_part_twice_packed():
+    """The parts are compressed already and lie in the bundle as they are; bundles of the first form, packed twice, are still read."""
+    data = office(c=random.Random(2).randbytes(3000))
+    packed = bundles.office_compress(data)
+    form, parts = bundles.unpack(packed)
+    blobs = [bundles._zstd(19).compress(p["data"]) for p in parts]
+    assert packed.endswith(b"".join(blobs)) and all(hashlib.sha256(p["data"]).hexdigest() == p["hash"] for p in parts)
+    head = json.dumps({"format": form, "parts": [{k: p[k] for k in ("path", "type", "hash", "codec", "at", "size")} for p in parts]}).encode()
+    old = bundles._zstd(19).compress(len(head).to_bytes(8, "big") + head + b"".join(blobs))
+    assert bundles.unpack(old) == (form, parts) and bundles.office_decompress(old) == bundles.office_decompress(packed)
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 128, 129, 250, 5000, 70_000, 1 << 20])
+def test_zipped(size):
+    noise = random.Random(size).randbytes(size)
+    members = [("[Content_Types].xml", b"<a/>"), ("wörd/ä.xml", noise), ("wide.xml", noise[:300] * (size // 100)), ("odd\0name", b"x" * size)]
+    for some in ([], members[:3], members):
+        back = zipfile.ZipFile(io.BytesIO(bundles.zipped(some)))
+        assert back.testzip() is None and back.namelist() == [n.split("\0")[0] for n, _ in some]
+        assert [back.read(i) for i in back.infolist()] == [d for _, d in some]
+
+
+def test_zip_components_in_few_batches(spark):
+    """Many files of few parts leave Python together, each part beside the id of its file; large ones don't."""
+    files = [(i, bundles.zipped([("a.xml", b"%d" % i), ("b.bin", b"")]) if i % 3 else b"no zip") for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in files]), pa.array([d for _, d in files], pa.binary())], names=["id", "content"])
+    assert [b.num_rows for b in archives._read([batch], archives.zip_parts)] == [500]
+    large = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([bundles.zipped([("a", bytes(5 << 20))])] * 2, pa.binary())], names=["id", "content"])
+    assert [b.num_rows for b in archives._read([large], archives.zip_parts)] == [1, 1, 0]
+    found = archives.zip_components(spark.createDataFrame([(i, bytearray(d)) for i, d in files], "id long, content binary"))
+    rows = {(r["id"], r["ord"]): (r["path"], r["data"], r["error"] is None) for r in found.collect()}
+    assert len(rows) == 500 and all(rows[i, 0] == ("a.xml", b"%d" % i, True) and rows[i, 1] == ("b.bin", b"", True) for i in range(300) if i % 3) and rows[0, 0] == (None, None, False)
+
+
 def document():
     gray, colour = bytes(range(12)), bytes(36)
     page = pdf.Page(1, 612, 792, 0, [pdf.Element("image", [50, 100, 250, 300], 0, gray, "Im0", 4, 3), pdf.Element("image", [0, 0, 10, 20], 1, colour, "Im1", 4, 3), pdf.Element("text", [0, 0, 1, 1], 100, b"Hello (World) \\ end")])
