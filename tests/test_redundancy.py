@@ -1,5 +1,6 @@
 """Block storage, similarity, clusters, delta and windows: invariants and the reference's own kinds of cases."""
 
+import hashlib
 import itertools
 import random
 
@@ -233,3 +234,47 @@ def test_batches_are_small(spark, sf_dir):
     long = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 100_000).alias("t"))
     sizes = long.mapInArrow(lambda bs: (b.select(["id"]).slice(0, 1).set_column(0, "id", [b.num_rows]) for b in bs), "id long").collect()
     assert len(sizes) > 4 and max(r["id"] for r in sizes) < 100
+
+
+def test_minima_work_on_flat_arrays():
+    """One product of two arrays of one length for each step, filled up; fewer shingles than a step, a step and more give exact minima."""
+    a, b = lsh.coefficients(5)
+    for n in (2, 63, 64, 65, 66, lsh.STEP, lsh.STEP + 1, lsh.STEP + 2, 3 * lsh.STEP):
+        data = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32).astype("<u4").tobytes()
+        x = lsh.reduced_shingles(data).tolist()
+        assert lsh.minima(data, a, b).tolist() == [min((int(i) * v + int(j)) % lsh.P for v in x) for i, j in zip(a, b, strict=True)]
+    flat = lsh._repeated(a.astype(np.uint64).tobytes(), lsh.FILL)
+    assert flat.shape == (5 * lsh.FILL,) and flat[lsh.FILL :: lsh.FILL].tolist() == a[1:].tolist()
+
+
+def test_candidates_are_joined_by_numbers(spark):
+    """No struct is sorted: the numbers of a key come first."""
+    data = [(i, [i % 3, 5, 2**31 - 2, i % 2] * 3) for i in range(12)]
+    df = lsh.packed_bands(spark.createDataFrame(data, "id long, sig array<long>"), 3, 12)
+    plan = lsh.candidates(df)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.split("\n") if "Sort [" in line]
+    assert sorts and all("Sort [_k0" in line and "key" not in line for line in sorts)
+    assert {tuple(r) for r in lsh.candidates(df).collect()} == {(i, j) for i in range(12) for j in range(i + 1, 12) if i % 6 == j % 6}
+
+
+def test_classes_hash_signatures_in_the_worker(spark):
+    """Equal signatures have one key, which comes with them out of one Python pass."""
+    df = spark.createDataFrame([(1, bytearray(b"abcdefgh" * 9)), (2, bytearray(b"abcdefgh" * 9)), (3, bytearray(b"other text of its own")), (4, bytearray(b"")), (5, None)], "id long, content binary")
+    keyed = lsh.keyed_signatures(df)
+    assert keyed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = {r["id"]: r for r in keyed.collect()}
+    assert set(rows) == {1, 2, 3} and rows[1]["k"] == rows[2]["k"] != rows[3]["k"] and rows[1]["sig"] == rows[2]["sig"]
+    assert bytes(rows[3]["k"]) == hashlib.sha256(np.array(rows[3]["sig"], np.int64).tobytes()).digest()
+    heads, member = lsh.classes(df)
+    assert {r["id"]: r["copies"] for r in heads.collect()} == {1: 2, 3: 1} and {tuple(r) for r in member.collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_bands_of_duplicates_have_numbers(spark, monkeypatch):
+    """32 rows a signature are joined: their ids are numbers, not hashes."""
+    seen = []
+    real = lsh.similar_pairs
+    monkeypatch.setattr(lsh, "similar_pairs", lambda heads, *a: seen.append(heads.schema["id"].dataType.simpleString()) or real(heads, *a))
+    text = np.random.default_rng(3).bytes(9000)
+    rows = [(1, bytearray(text)), (1, bytearray(text)), (None, bytearray(text[:-4])), (4, bytearray(b"something else")), (5, bytearray(b"")), (6, None)]
+    found = lsh.duplicates(spark.createDataFrame(rows, "id long, content binary"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, True), (1, True), (None, True), (4, False), (5, False), (6, False)], key=str) and seen == ["bigint"]
