@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfold.operators import cas, delta, graph, lsh, windows
+from sparkfold.plans import redundancy
 
 
 def items(spark, *data):
@@ -278,3 +279,11 @@ def test_bands_of_duplicates_have_numbers(spark, monkeypatch):
     rows = [(1, bytearray(text)), (1, bytearray(text)), (None, bytearray(text[:-4])), (4, bytearray(b"something else")), (5, bytearray(b"")), (6, None)]
     found = lsh.duplicates(spark.createDataFrame(rows, "id long, content binary"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, True), (1, True), (None, True), (4, False), (5, False), (6, False)], key=str) and seen == ["bigint"]
+
+
+def test_first_of_equal_texts_without_moving_texts(spark):
+    rows = [(1, b"a"), (2, b"a"), (3, b"b"), (3, b"a"), (None, b"c"), (5, b"d"), (5, b"e"), (6, b"e")]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in rows], "doc_id long, content binary")
+    found = redundancy._first_of_equal(df)
+    assert sorted((r["doc_id"], bytes(r["content"])) for r in found.collect()) == [(1, b"a"), (3, b"a"), (3, b"b"), (5, b"d"), (5, b"e")]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
