@@ -31,12 +31,12 @@ BATCH_ROWS = 4096
 def zip_parts(data: bytes) -> list[Part]:
     """(path, "", data) of every member; folders and unreadable members are left out."""
     found = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(io.BytesIO(data)) as z, memoryview(data) as view:
         for info in z.infolist():
             if info.is_dir():
                 continue
             try:
-                found.append((info.filename, "", z.read(info)))
+                found.append((info.filename, "", bundles.member(z, view, info)))
             except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError):
                 continue
     return found

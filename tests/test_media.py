@@ -143,6 +143,46 @@ def test_zipped(size):
         assert [back.read(i) for i in back.infolist()] == [d for _, d in some]
 
 
+def test_members_are_read_as_zipfile_reads_them():
+    """Plain deflated members are read without zipfile; stored, renamed and broken ones and those after a prefix give what it gives."""
+    plain = bundles.zipped([("word/document.xml", b"text " * 900), ("wörd/ä.xml", b""), ("b.bin", bytes(range(256)))])
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w") as z:
+        z.writestr("a.txt", b"stored")
+        z.writestr("b.txt", b"deflated" * 99, compress_type=zipfile.ZIP_DEFLATED)
+        z.writestr("c.txt", b"bz" * 99, compress_type=zipfile.ZIP_BZIP2)
+
+    def outcome(read):
+        try:
+            return read()
+        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+            return type(e)
+
+    rng, broken = random.Random(5), 0
+    cases = [plain, stored.getvalue(), b"prefix" * 20 + plain]
+    for _ in range(300):
+        data = bytearray(plain)
+        data[rng.randrange(len(plain) - 22)] ^= 1 << rng.randrange(8)
+        cases.append(bytes(data))
+    for data in cases:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data))
+        except (zipfile.BadZipFile, NotImplementedError, UnicodeDecodeError):
+            continue
+        for info in z.infolist():
+            want = outcome(lambda: z.read(info))
+            assert outcome(lambda: bundles.member(z, data, info)) == want
+            broken += isinstance(want, type)
+    assert broken > 20
+
+    class Unread(zipfile.ZipFile):
+        def read(self, *a):
+            raise AssertionError("the slow way")
+
+    z = Unread(io.BytesIO(plain))
+    assert [bundles.member(z, plain, i) for i in z.infolist()] == [b"text " * 900, b"", bytes(range(256))]
+
+
 def test_zip_components_in_few_batches(spark):
     """Many files of few parts leave Python together, each part beside the id of its file; large ones don't."""
     files = [(i, bundles.zipped([("a.xml", b"%d" % i), ("b.bin", b"")]) if i % 3 else b"no zip") for i in range(300)]
