@@ -287,3 +287,10 @@ def test_first_of_equal_texts_without_moving_texts(spark):
     found = redundancy._first_of_equal(df)
     assert sorted((r["doc_id"], bytes(r["content"])) for r in found.collect()) == [(1, b"a"), (3, b"a"), (3, b"b"), (5, b"d"), (5, b"e")]
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_clusters_are_found_without_moving_all(spark, sf_dir):
+    found = redundancy._grouped(spark, sf_dir)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    own = {r["doc_id"]: r["cluster_root"] for r in redundancy.lsh_clusters(spark, sf_dir).collect()}
+    assert own and {r["doc_id"]: r["cluster_root"] for r in found.collect()} == own
